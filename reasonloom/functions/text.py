@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, LongType
@@ -106,27 +106,32 @@ def running_ends(lengths: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ends, pa.int32()))
 
 
-def boxed_start(col: Column) -> Column:
-    """1-based position of the first boxed marker, 0 if there is none."""
-    return F.instr(col, BOX_OPEN)
+def with_boxed_answer(df: DataFrame, col: str) -> DataFrame:
+    """Add the first boxed answer: `has_box`, `answer`, `c0`, `c1`.
 
-
-def boxed_answer(col: Column | str) -> Column:
-    """First boxed answer as struct(has, text, c0, c1), [c0, c1) in characters.
-
-    The content ends at the first closing brace, so a plain substring search
-    finds it; braces are not balanced. Without an answer text, c0 and c1 are null.
+    [c0, c1) is the content in characters. It ends at the first closing brace,
+    so two substring searches find it; braces are not balanced. Without an
+    answer the other columns are null.
     """
-    text = text_or_empty(col)
-    start = boxed_start(text) + F.lit(len(BOX_OPEN))
-    end = F.call_function("locate", F.lit(BOX_CLOSE), text, start)
-    has = (boxed_start(text) > 0) & (end > 0)
-    return F.struct(
-        has.alias("has"),
-        F.when(has, F.substring(text, start, end - start)).alias("text"),
-        F.when(has, start - 1).alias("c0"),
-        F.when(has, end - 1).alias("c1"),
+    found = df.withColumn("_text", text_or_empty(col)).withColumn("_at", F.instr("_text", BOX_OPEN))
+    ended = found.withColumn("_from", F.col("_at") + len(BOX_OPEN)).withColumn(
+        "_end",
+        F.when(
+            F.col("_at") > 0,
+            F.call_function("locate", F.lit(BOX_CLOSE), F.col("_text"), F.col("_from")),
+        ).otherwise(0),
     )
+    has = F.col("_end") > 0
+    return ended.withColumns(
+        {
+            "has_box": has,
+            "answer": F.when(
+                has, F.substring(F.col("_text"), F.col("_from"), F.col("_end") - F.col("_from"))
+            ),
+            "c0": F.when(has, F.col("_from") - 1),
+            "c1": F.when(has, F.col("_end") - 1),
+        }
+    ).drop("_text", "_at", "_from", "_end")
 
 
 def split_path(col: Column | str) -> tuple[Column, Column]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from reasonloom.functions import text as T
+from reasonloom.session import computed_once
 
 PAD = "<pad>"
 SPANS = "array<struct<token: string, s: int, e: int>>"
@@ -23,6 +24,22 @@ SPANS = "array<struct<token: string, s: int, e: int>>"
 Tokenizer = Callable[[str], list[tuple[str, int, int]]]
 
 
+EXAMPLE_COLUMNS = (
+    "tokens",
+    "n_tok",
+    "target_start",
+    "n_tgt",
+    "think_open",
+    "think_close",
+    "n_think",
+    "answer_lo",
+    "answer_hi",
+    "n_ans",
+    "think_status",
+    "status",
+)
+
+
 @dataclass(frozen=True)
 class ExampleConfig:
     """`tokenizer` replaces the built-in one: text -> (token, start, end), in text order."""
@@ -69,15 +86,15 @@ def _tokens_by_section(df: DataFrame) -> DataFrame:
     the full text, and their sizes say where the answer lies. No character
     offsets are needed.
     """
-    solution = T.text_or_empty("generated_solution")
-    cut = df.withColumn("_box", T.boxed_answer("generated_solution")).withColumns(
+    box = T.with_boxed_answer(df, "_solution")
+    cut = box.withColumns(
         {
             "_before": F.when(
-                F.col("_box.has"), F.substring(solution, F.lit(1), F.col("_box.c0"))
-            ).otherwise(solution),
+                F.col("has_box"), F.substring(F.col("_solution"), F.lit(1), F.col("c0"))
+            ).otherwise(F.col("_solution")),
             "_after": F.when(
-                F.col("_box.has"),
-                F.substring(solution, F.col("_box.c1") + 1, F.length(solution)),
+                F.col("has_box"),
+                F.substring(F.col("_solution"), F.col("c1") + 1, F.length("_solution")),
             ).otherwise(F.lit("")),
         }
     )
@@ -85,7 +102,7 @@ def _tokens_by_section(df: DataFrame) -> DataFrame:
         {
             "_p": T.tokens(F.col("_prompt")),
             "_b": T.tokens(F.col("_before")),
-            "_a": T.tokens(T.text_or_empty(F.col("_box.text"))),
+            "_a": T.tokens(T.text_or_empty("answer")),
             "_z": T.tokens(F.col("_after")),
         }
     )
@@ -95,7 +112,6 @@ def _tokens_by_section(df: DataFrame) -> DataFrame:
             "target_start": F.size("_p"),
             "_lo": F.size("_p") + F.size("_b"),
             "_n_answer": F.size("_a"),
-            "_has_box": F.col("_box.has"),
         }
     )
 
@@ -103,10 +119,9 @@ def _tokens_by_section(df: DataFrame) -> DataFrame:
 def _tokens_by_spans(df: DataFrame, cfg: ExampleConfig) -> DataFrame:
     """The caller's tokenizer: the answer tokens are those whose span lies in the box."""
     spans = spans_udf(cfg.tokenizer)
-    full = F.concat("_prompt", T.text_or_empty("generated_solution"))
-    cut = df.withColumns(
+    full = F.concat("_prompt", "_solution")
+    cut = T.with_boxed_answer(df, "_solution").withColumns(
         {
-            "_box": T.boxed_answer("generated_solution"),
             "_spans": F.slice(spans(full), 1, cfg.max_length),
             "_n_prompt": F.size(spans(F.col("_prompt"))),
         }
@@ -118,8 +133,8 @@ def _tokens_by_spans(df: DataFrame, cfg: ExampleConfig) -> DataFrame:
     placed = cut.withColumns(
         {
             "target_start": F.col("_n_prompt") + bos,
-            "_c0": F.length("_prompt") + F.col("_box.c0"),
-            "_c1": F.length("_prompt") + F.col("_box.c1"),
+            "_c0": F.length("_prompt") + F.col("c0"),
+            "_c1": F.length("_prompt") + F.col("c1"),
         }
     )
     inside = F.transform(
@@ -137,7 +152,6 @@ def _tokens_by_spans(df: DataFrame, cfg: ExampleConfig) -> DataFrame:
             "_all": F.transform("_spans", lambda x: x["token"]),
             "_lo": F.array_position("_in", True).cast("int") - 1,
             "_n_answer": F.size(F.filter("_in", lambda x: x)),
-            "_has_box": F.col("_box.has"),
         }
     )
 
@@ -145,12 +159,16 @@ def _tokens_by_spans(df: DataFrame, cfg: ExampleConfig) -> DataFrame:
 def build_examples(df: DataFrame, cfg: ExampleConfig = ExampleConfig()) -> DataFrame:
     """Add tokens, token positions and a status to every row; no row is removed.
 
-    New columns: `tokens` (at most `max_length`), `n_tok`, `target_start`,
-    `n_tgt`, `think_open`, `think_close`, `n_think`, `answer_lo`, `answer_hi`
-    (exclusive), `n_ans`, `think_status`, `status`. The think positions are null
-    where the tag is missing.
+    The new columns are EXAMPLE_COLUMNS. `tokens` holds at most `max_length`
+    entries, `answer_hi` is exclusive, and the think positions are null where
+    the tag is missing.
     """
-    base = df.withColumn("_prompt", prompt_text(F.col("problem"), cfg.system_prompt))
+    base = df.withColumns(
+        {
+            "_prompt": prompt_text(F.col("problem"), cfg.system_prompt),
+            "_solution": T.text_or_empty("generated_solution"),
+        }
+    )
     made = _tokens_by_spans(base, cfg) if cfg.tokenizer else _tokens_by_section(base)
     kept = made.withColumn("tokens", F.slice("_all", 1, cfg.max_length)).withColumns(
         {
@@ -182,13 +200,13 @@ def build_examples(df: DataFrame, cfg: ExampleConfig = ExampleConfig()) -> DataF
         }
     ).withColumn("n_ans", F.col("answer_hi") - F.col("answer_lo"))
     status = (
-        F.when(~F.col("_has_box"), "no_boxed")
+        F.when(~F.col("has_box"), "no_boxed")
         .when(F.col("think_status") != "ok", F.col("think_status"))
         .when(F.col("n_ans") == 0, "answer_unmapped")
         .otherwise("ok")
     )
-    done = placed.withColumn("status", status)
-    return done.drop(*[c for c in done.columns if c.startswith("_") and c not in df.columns])
+    done = placed.withColumn("status", status).select(*df.columns, *EXAMPLE_COLUMNS)
+    return computed_once(done, *EXAMPLE_COLUMNS)
 
 
 def example_report(examples: DataFrame) -> DataFrame:

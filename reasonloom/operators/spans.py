@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reasonloom.functions import text as T
+from reasonloom.session import computed_once
 from reasonloom.operators.examples import Tokenizer, spans_udf
 
 
@@ -45,5 +46,5 @@ def token_spans(
         )
     if max_length is not None:
         spans = spans.withColumn("spans", F.slice("spans", 1, max_length))
-    rows = spans.select(key, F.posexplode("spans").alias("i", "x"))
+    rows = computed_once(spans, "spans").select(key, F.posexplode("spans").alias("i", "x"))
     return rows.select(key, "i", "x.token", "x.s", "x.e")

@@ -208,15 +208,8 @@ def render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxed_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    box = T.boxed_answer("generated_solution")
-    rows = reasoning(spark, sf_dir).select("example_id", box.alias("b"))
-    return rows.select(
-        "example_id",
-        F.col("b.has").alias("has_box"),
-        F.col("b.text").alias("answer"),
-        F.col("b.c0").cast("long").alias("c0"),
-        F.col("b.c1").cast("long").alias("c1"),
-    )
+    rows = T.with_boxed_answer(reasoning(spark, sf_dir), "generated_solution")
+    return _longs(rows.select("example_id", "has_box", "answer", "c0", "c1"), "c0", "c1")
 
 
 def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

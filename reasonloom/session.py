@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -39,3 +40,14 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+def computed_once(df: DataFrame, *names: str) -> DataFrame:
+    """Keep the optimizer from writing the named columns out again in later filters.
+
+    A filter on a computed column is moved below its computation with the whole
+    expression copied into it, and a filter is also inferred for every explode,
+    so costly text work would run twice or more. A one-row generator stays where it is.
+    """
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.inline(F.array(F.struct(*names))))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from reasonloom.session import computed_once
 from reasonloom.sources.paths import is_directory, list_files, plain_path, relative_path
 
 CORPUS_COLUMNS = (
@@ -54,7 +55,8 @@ def _parsed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     row = F.from_json("value", wide, options)
     bad = F.col("row").isNull() | F.col(f"row.{CORRUPT}").isNotNull()
-    return spark.read.text(path).select("value", row.alias("row")).withColumn("bad", bad)
+    rows = spark.read.text(path).select("value", row.alias("row"))
+    return computed_once(rows, "row").withColumn("bad", bad)
 
 
 def read_jsonl(
