@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once.
+
+    An expression used inside a lambda is computed again for every element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def token_ce(logits: Column | str, label: Column | str) -> Column:
     """Cross-entropy of one token, -log softmax(logits)[label], by stable log-sum-exp.
 
@@ -13,9 +23,15 @@ def token_ce(logits: Column | str, label: Column | str) -> Column:
     """
     logits = F.col(logits) if isinstance(logits, str) else logits
     label = F.col(label) if isinstance(label, str) else label
-    top = F.array_max(logits).cast("double")
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - top))
-    return top + F.log(total) - F.get(logits, label).cast("double")
+
+    def log_sum(x: Column) -> Column:
+        shares = F.aggregate(
+            x["all"], F.lit(0.0), lambda acc, v: acc + F.exp(v.cast("double") - x["top"])
+        )
+        return x["top"] + F.log(shares)
+
+    scaled = F.struct(logits.alias("all"), F.array_max(logits).cast("double").alias("top"))
+    return bound(scaled, log_sum) - F.get(logits, label).cast("double")
 
 
 def sigmoid(col: Column) -> Column:
@@ -37,9 +53,13 @@ def ngrams(tokens: Column, n: int) -> Column:
     string. Strings, unlike arrays, are hashed when made distinct.
     """
     marked = F.transform(tokens, lambda t: F.concat(F.length(t).cast("string"), F.lit(":"), t))
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    runs = F.transform(starts, lambda k: F.array_join(F.slice(marked, k, n), ""))
-    return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(x: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(x) - n)
+        run = F.transform(starts, lambda k: F.concat(*[F.get(x, k + j) for j in range(n)]))
+        return F.when(F.size(x) >= n, run).otherwise(F.array().cast("array<string>"))
+
+    return bound(marked, runs)
 
 
 def repetition_score(grams: Column, coeff: float) -> Column:

@@ -99,11 +99,11 @@ def repetition(
     Row-wise: the think tokens of one example are at most `max_length`.
     """
     first = F.greatest(F.col("think_open") + 1, F.lit(1))
-    think = F.slice("tokens", first + 1, F.col("think_close") - first)
-    long_enough = F.col("think_close") - first > cfg.repetition_n
+    n_think = F.col("think_close") - first
     return (
-        examples.filter(long_enough)
-        .select(key, *carry, L.ngrams(think, cfg.repetition_n).alias("_grams"))
+        examples.filter(n_think > cfg.repetition_n)
+        .select(key, *carry, F.slice("tokens", first + 1, n_think).alias("_think"))
+        .select(key, *carry, L.ngrams(F.col("_think"), cfg.repetition_n).alias("_grams"))
         .select(
             key,
             *carry,

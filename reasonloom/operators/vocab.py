@@ -30,15 +30,15 @@ def build_vocab(tokens: DataFrame) -> DataFrame:
     extra. The result stands in the checkpoint folder and is cheap to reuse.
     """
     spark = tokens.sparkSession
+    reserved = F.col("token").isin(*RESERVED)
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    ranked = order_position(
-        counts.filter(~F.col("token").isin(*RESERVED)), [F.desc("n"), F.asc("token")], "_rank"
-    ).select("token", "n", (F.col("_rank") + len(RESERVED)).alias("id"))
+    ranked = order_position(counts, [F.desc(reserved), F.desc("n"), F.asc("token")], "_rank")
+    found = ranked.filter(reserved)  # at most five rows, ranked first
+    shift = len(RESERVED) - found.count()
+    rest = ranked.filter(~reserved).select("token", "n", (F.col("_rank") + shift).alias("id"))
     fixed = spark.createDataFrame(list(zip(RESERVED, range(len(RESERVED)))), "token string, id long")
-    reserved = fixed.join(
-        counts.filter(F.col("token").isin(*RESERVED)), "token", "left"
-    ).select("token", "n", "id")
-    return ranked.unionByName(reserved)
+    first = fixed.join(found, "token", "left").select("token", "n", "id")
+    return rest.unionByName(first).checkpoint()
 
 
 def in_head() -> Column:

@@ -11,7 +11,7 @@ from reasonloom.functions import text as T
 from reasonloom.functions.losses import token_ce
 from reasonloom.operators import batching, chat, curate, examples, ordering, scores, spans, vocab
 from reasonloom.plans.reasoning import SYSTEM_PROMPT, reasoning
-from reasonloom.session import scratch_path
+from reasonloom.session import scratch_path, write_once
 from reasonloom.sources import files, paths, readers, sink
 
 CFG = examples.ExampleConfig(max_length=1024, system_prompt=SYSTEM_PROMPT)
@@ -202,6 +202,11 @@ def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return examples.build_examples(reasoning(spark, sf_dir), CFG)
 
 
+def _examples_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For queries that read the examples several times."""
+    return write_once(_examples(spark, sf_dir).select("example_id", *examples.EXAMPLE_COLUMNS), "examples")
+
+
 def render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     rendered = examples.render_prompt(reasoning(spark, sf_dir), SYSTEM_PROMPT)
     return rendered.select("example_id", "prompt", "full_text")
@@ -271,13 +276,13 @@ def build_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vocab.token_rows(_examples(spark, sf_dir))
+    rows = vocab.token_rows(_examples_once(spark, sf_dir))
     return _longs(vocab.encode(rows, vocab.build_vocab(rows)), "i")
 
 
 def example_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums over the fixed-length arrays, so that every array is really built."""
-    made = _examples(spark, sf_dir)
+    made = _examples_once(spark, sf_dir)
     encoded = vocab.encode_examples(made, vocab.build_vocab(vocab.token_rows(made)))
     arrays = examples.example_arrays(encoded, CFG, "token_ids")
 
@@ -359,7 +364,7 @@ def score_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     The loss stands in for a model's: minus the log of the token's share of all
     kept tokens.
     """
-    return score_input_of(_examples(spark, sf_dir))
+    return score_input_of(_examples_once(spark, sf_dir))
 
 
 def score_input_of(made: DataFrame) -> tuple[DataFrame, DataFrame]:
