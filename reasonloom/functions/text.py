@@ -91,19 +91,24 @@ def is_blank(col: Column) -> Column:
     return col.rlike(f"^[{WHITESPACE}]")
 
 
-@arrow_udf(ArrayType(IntegerType()))
-def running_ends(lengths: pa.Array) -> pa.Array:
-    """Running total inside each list.
+def running_ends(lengths: Column) -> Column:
+    """Running total inside each list of an array<int> column.
 
     Built-in array functions copy the list for every step, and a window would
-    shuffle every token. One cumulative sum over the whole batch does neither.
+    shuffle every token. One cumulative sum over a whole Arrow batch does neither.
     """
-    bounds = lengths.offsets.to_numpy()
-    flat = lengths.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]]
-    bounds = bounds - bounds[0]
-    total = np.concatenate(([0], np.cumsum(flat, dtype=np.int64)))
-    ends = total[1:] - np.repeat(total[bounds[:-1]], np.diff(bounds))
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ends, pa.int32()))
+
+    # Inside a function, so that it travels to the workers by value.
+    @arrow_udf(ArrayType(IntegerType()))
+    def totals(lists: pa.Array) -> pa.Array:
+        bounds = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        total = np.concatenate(([0], np.cumsum(flat, dtype=np.int64)))
+        ends = total[1:] - np.repeat(total[bounds[:-1]], np.diff(bounds))
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ends, pa.int32()))
+
+    return totals(lengths)
 
 
 def with_boxed_answer(df: DataFrame, col: str) -> DataFrame:

@@ -359,22 +359,23 @@ def token_ce_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Usable examples, and a loss for each of their tokens.
+    """Usable examples, and a loss for each of their predicted tokens.
 
-    The loss stands in for a model's: minus the log of the token's share of all
-    kept tokens.
+    The loss stands in for a model's: minus the log of the token's share of
+    those tokens.
     """
     return score_input_of(_examples_once(spark, sf_dir))
 
 
 def score_input_of(made: DataFrame) -> tuple[DataFrame, DataFrame]:
-    words = vocab.build_vocab(vocab.token_rows(made))
-    total = words.agg(F.sum("n")).first()[0]
-    losses = words.select("token", "id", (-F.log(F.col("n") / total)).alias("loss"))
     usable = made.filter(F.col("status") == "ok").withColumn(
         "batch_id", F.col("example_id") % N_BATCHES
     )
-    rows = vocab.join_vocab(vocab.token_rows(usable), losses)
+    tokens = vocab.token_rows(usable).filter(F.col("i") >= 1)
+    words = vocab.build_vocab(tokens)
+    total = words.agg(F.sum("n")).first()[0]
+    losses = words.select("token", "id", (-F.log(F.col("n") / total)).alias("loss"))
+    rows = vocab.join_vocab(tokens, losses)
     return usable, rows.select("example_id", "i", "loss")
 
 
