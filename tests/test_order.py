@@ -1,0 +1,90 @@
+"""Shuffles, shards, batches, positions."""
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from reasonloom.operators import batching, ordering
+
+
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def test_shuffle_is_the_hash_order(spark):
+    ids = spark.range(500).withColumnRenamed("id", "example_id").repartition(7)
+    got = {r.example_id: r.pos for r in ordering.shuffle_rows(ids, 3, epoch=2).collect()}
+    order = sorted(range(500), key=lambda k: (md5(f"3:2:{k}"), k))
+    assert got == {k: pos for pos, k in enumerate(order)}
+
+
+def test_epochs_differ(spark):
+    ids = spark.range(100).withColumnRenamed("id", "example_id")
+    first, second = (
+        [r.example_id for r in ordering.shuffle_rows(ids, 1, e).orderBy("pos").collect()]
+        for e in (0, 1)
+    )
+    assert first != second and sorted(first) == sorted(second)
+
+
+def test_order_position_and_running_total(spark):
+    rows = spark.range(1000).select(
+        F.concat(F.lit("k"), F.col("id")).alias("k"), (F.col("id") % 13).alias("v")
+    )
+    names = sorted(f"k{i}" for i in range(1000))
+    got = {r.k: r.pos for r in ordering.order_position(rows, [F.asc("k")]).collect()}
+    assert got == {k: i for i, k in enumerate(names)}
+    total, wanted = 0, {}
+    for k in names:
+        wanted[k] = total
+        total += int(k[1:]) % 13
+    got = ordering.running_total(rows, [F.asc("k")], "v", "before").collect()
+    assert {r.k: r.before for r in got} == wanted
+
+
+@pytest.mark.parametrize("n_rows, n_shards", [(10, 4), (12, 4), (3, 7), (1, 5), (0, 3)])
+def test_shards(spark, n_rows, n_shards):
+    ids = spark.range(n_rows).withColumnRenamed("id", "example_id")
+    order = sorted(range(n_rows), key=lambda k: (md5(f"5:0:{k}"), k))
+    plain = batching.assign_shards(ids, n_shards, 5).collect()
+    assert sorted(r.example_id for r in plain) == list(range(n_rows))
+    assert {(r.shard, r.slot): r.example_id for r in plain} == {
+        (p % n_shards, p // n_shards): k for p, k in enumerate(order)
+    }
+    padded = list(order)
+    while len(padded) % n_shards and order:
+        padded.append(padded[len(padded) - n_rows])
+    got = batching.assign_shards(ids, n_shards, 5, pad=True).collect()
+    assert {(r.shard, r.slot): r.example_id for r in got} == {
+        (p % n_shards, p // n_shards): k for p, k in enumerate(padded)
+    }
+    assert len(got) == len(padded)
+
+
+def test_golden_shards(spark, medium_dir):
+    ids = spark.read.parquet(f"{medium_dir}/documents.parquet").select(F.col("doc_id").alias("example_id"))
+    got = {r.example_id: (r.shard, r.slot) for r in batching.assign_shards(ids, 4, 42).collect()}
+    assert got[0] == (3, 29) and got[1] == (1, 105)
+
+
+def test_batches_are_cut_before_rows_are_dropped(spark):
+    rows = spark.range(11).select(
+        F.col("id").alias("example_id"),
+        F.when(F.col("id") % 3 == 0, "no_boxed").otherwise("ok").alias("status"),
+        F.array(F.col("id").cast("int")).alias("input_ids"),
+    )
+    placed = batching.assign_batches(batching.assign_shards(rows, 2, 9), 2)
+    sizes = {(r.shard, r.batch_id): r["count"] for r in placed.groupBy("shard", "batch_id").count().collect()}
+    assert sorted(sizes.values()) == [1, 2, 2, 2, 2, 2]
+    usable = {}
+    for r in placed.filter("status = 'ok'").orderBy("slot").collect():
+        usable.setdefault((r.shard, r.batch_id), []).append([r.example_id])
+    got = {(r.shard, r.batch_id): r.input_ids for r in batching.collate(placed).collect()}
+    assert got == usable
+
+
+@pytest.mark.parametrize("call", [lambda d: batching.assign_shards(d, 0, 1), lambda d: batching.assign_batches(d, 0)])
+def test_arguments(spark, call):
+    with pytest.raises(ValueError):
+        call(spark.range(1).withColumnRenamed("id", "example_id"))

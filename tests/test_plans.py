@@ -1,0 +1,63 @@
+"""Physical plans: what is pushed down, what is shuffled, what is computed twice."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as contract
+from reasonloom.functions.text import TOKEN_PATTERN
+from reasonloom.operators import curate, examples, scores, vocab
+from reasonloom.plans.reasoning import reasoning
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """The corpus as files, as a user has it, so that plans start at the scan."""
+    path = str(tmp_path_factory.mktemp("corpus"))
+    reasoning(spark, "/root/testdata/sf0.001").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_curation_is_one_scan_with_pushdown(corpus):
+    text = plan(curate.curate(corpus))
+    assert "Exchange" not in text and "Python" not in text
+    assert "Not(EqualTo(problem_type,no_answer_extracted))" in text
+
+
+def test_cheap_filters_run_below_a_callers_tokenizer(corpus):
+    text = plan(curate.curate(corpus, curate.CurateConfig(tokenizer=len)))
+    assert text.index("ArrowEvalPython") < text.index("no_answer_extracted")
+
+
+def test_examples_need_no_shuffle_and_tokenize_once(corpus):
+    text = plan(examples.build_examples(corpus).filter("status = 'ok'"))
+    assert "Exchange" not in text and "Python" not in text
+    assert text.count(TOKEN_PATTERN) == 4  # prompt, before, inside and after the box
+    rows = plan(vocab.token_rows(examples.build_examples(corpus)))
+    assert rows.count(TOKEN_PATTERN) == 4
+
+
+def test_funnel_reads_only_its_columns(corpus):
+    text = plan(curate.funnel(corpus))
+    assert "expected_answer" not in text.split("ReadSchema")[1]
+    assert text.count("Exchange") == 1
+
+
+def test_repetition_needs_no_shuffle(corpus):
+    assert "Exchange" not in plan(scores.repetition(examples.build_examples(corpus)))
+
+
+@pytest.mark.parametrize("name", sorted(contract.queries()))
+def test_no_query_has_a_cross_join(spark, small_dir, name):
+    text = plan(contract.queries()[name](spark, small_dir))
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_scores_pre_aggregate(spark, corpus):
+    made = examples.build_examples(corpus).withColumn("batch_id", F.col("example_id") % 5)
+    losses = vocab.token_rows(made).select("example_id", "i", F.lit(1.0).alias("loss"))
+    text = plan(scores.base_loss(scores.score_tokens(made, losses, ("batch_id",)), "batch_id"))
+    assert "partial_sum" in text

@@ -1,0 +1,37 @@
+"""Hot keys: the paths taken when a side is too large to broadcast."""
+
+from pyspark.sql import functions as F
+
+from reasonloom.operators import curate, vocab
+from reasonloom.plans.reasoning import reasoning
+
+
+def hot_tokens(spark):
+    """A third of all rows is one token."""
+    token = F.when(F.col("id") % 3 == 0, "the").otherwise(F.concat(F.lit("w"), F.col("id") % 500))
+    return spark.range(9000).select((F.col("id") % 40).alias("example_id"), F.col("id").alias("i"), token.alias("token"))
+
+
+def test_rare_tokens_are_joined_by_shuffle(spark, monkeypatch):
+    rows = hot_tokens(spark)
+    words = vocab.build_vocab(rows)
+    whole = vocab.encode(rows, words).collect()
+    monkeypatch.setattr(vocab, "HEAD_IDS", 20)
+    split = vocab.encode(rows, words)
+    assert "left_anti" in split._jdf.queryExecution().logical().toString().lower().replace("leftanti", "left_anti")
+    assert sorted(split.collect()) == sorted(whole) and len(whole) == 9000
+    assert words.filter("token = 'the'").first().id == len(vocab.RESERVED)
+
+
+def test_long_tokens_leave_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(vocab, "HEAD_BYTES", 3)
+    rows = hot_tokens(spark)
+    assert vocab.encode(rows, vocab.build_vocab(rows)).count() == 9000
+
+
+def test_one_hot_file(spark, small_dir):
+    rows = reasoning(spark, small_dir).withColumn(
+        "source_file", F.when(F.col("example_id") % 2 == 0, "hot").otherwise(F.col("source_file"))
+    )
+    funnel = {r.source_file: r.n0 for r in curate.funnel(rows).collect()}
+    assert funnel["hot"] == 100 and sum(funnel.values()) == 200
