@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from reasonloom.functions.text import to_number, token_count, word_count_bound
-from reasonloom.sources.paths import relative_path
+from reasonloom.sources.paths import relative_path, scanned_path
 from reasonloom.sources.readers import discovery_reader
 from reasonloom.sources.sink import write_filtered
 
@@ -134,7 +134,7 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
         .option("ignoreCorruptFiles", True)
         .parquet(root)
     )
-    return rows.select("*", relative_path(F.col("_metadata.file_path"), root).alias("source_file"))
+    return rows.select("*", relative_path(scanned_path(), root).alias("source_file"))
 
 
 def unmark(df: DataFrame) -> DataFrame:

@@ -251,6 +251,15 @@ def pad_truncate(values: Column, length: int, pad) -> Column:
     return F.concat(kept, F.array_repeat(F.lit(pad), F.lit(length) - F.size(kept)))
 
 
+def run_mask(start: Column, end: Column, length: int, outside=False, inside=True) -> Column:
+    """Array of `length` entries that are `inside` in [start, end) and `outside` elsewhere."""
+    return F.concat(
+        F.array_repeat(F.lit(outside), start),
+        F.array_repeat(F.lit(inside), end - start),
+        F.array_repeat(F.lit(outside), F.lit(length) - end),
+    )
+
+
 def shifted(values: Column) -> Column:
     """Drop position 0: what stands at i is predicted from i - 1."""
     return F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))
@@ -264,13 +273,14 @@ def example_arrays(examples: DataFrame, cfg: ExampleConfig, ids: str = "tokens")
     """
     length = cfg.max_length
     pad = PAD if ids == "tokens" else 0
-    positions = F.sequence(F.lit(0), F.lit(length - 1))
-    arrays = {name: F.transform(positions, rule) for name, rule in MASKS.items()}
-    arrays["loss_mask"] = F.transform(positions, lambda i: in_target(i).cast("int"))
+    closed = F.col("think_close").isNotNull()
+    after_open = F.when(closed, F.col("think_open") + 1).otherwise(0)
     return examples.withColumns(
         {
             "input_ids": pad_truncate(F.col(ids), length, pad),
-            "attention_mask": F.transform(positions, lambda i: (i < F.col("n_tok")).cast("int")),
-            **arrays,
+            "attention_mask": run_mask(F.lit(0), F.col("n_tok"), length, 0, 1),
+            "loss_mask": run_mask(F.least("target_start", "n_tok"), F.col("n_tok"), length, 0, 1),
+            "answer_mask": run_mask(F.col("answer_lo"), F.col("answer_hi"), length),
+            "think_mask": run_mask(after_open, F.coalesce("think_close", F.lit(0)), length),
         }
     ).withColumn("labels", F.col("input_ids"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reasonloom.functions import text as T
@@ -119,7 +119,7 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "filtered")
-    sink.write_filtered(curate.curate(reasoning(spark, sf_dir)), path)
+    sink.write_filtered(curate.curate(reasoning(spark, sf_dir)), path, gather=True)
     return spark.read.parquet(path).groupBy("source_file").agg(F.count("*").alias("n_rows"))
 
 
@@ -280,23 +280,25 @@ def encode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _longs(vocab.encode(rows, vocab.build_vocab(rows)), "i")
 
 
+def _set(mask: Column, outside) -> Column:
+    return F.size(F.array_remove(mask, outside)).cast("long")
+
+
 def example_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums over the fixed-length arrays, so that every array is really built."""
     made = _examples_once(spark, sf_dir)
     encoded = vocab.encode_examples(made, vocab.build_vocab(vocab.token_rows(made)))
     arrays = examples.example_arrays(encoded, CFG, "token_ids")
 
-    def total(col: str):
-        return F.aggregate(col, F.lit(0).cast("long"), lambda acc, x: acc + x.cast("long"))
-
+    id_sum = F.aggregate("input_ids", F.lit(0).cast("long"), lambda acc, x: acc + x)
     return arrays.select(
         "example_id",
         F.size("input_ids").cast("long").alias("n"),
-        total("input_ids").alias("id_sum"),
-        total("attention_mask").alias("n_tok"),
-        total("loss_mask").alias("n_tgt"),
-        total("think_mask").alias("n_think"),
-        total("answer_mask").alias("n_ans"),
+        id_sum.alias("id_sum"),
+        _set(F.col("attention_mask"), 0).alias("n_tok"),
+        _set(F.col("loss_mask"), 0).alias("n_tgt"),
+        _set(F.col("think_mask"), False).alias("n_think"),
+        _set(F.col("answer_mask"), False).alias("n_ans"),
     )
 
 
@@ -335,18 +337,13 @@ def collate(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = examples.example_arrays(examples.build_examples(rows, CFG), CFG)
     batches = batching.collate(made)
 
-    def total(col: str):
-        return F.aggregate(
-            F.flatten(col), F.lit(0).cast("long"), lambda acc, x: acc + x.cast("long")
-        )
-
     return batches.select(
         "shard",
         "batch_id",
         "n_kept",
-        total("loss_mask").alias("n_tgt"),
-        total("think_mask").alias("n_think"),
-        total("answer_mask").alias("n_ans"),
+        _set(F.flatten("loss_mask"), 0).alias("n_tgt"),
+        _set(F.flatten("think_mask"), False).alias("n_think"),
+        _set(F.flatten("answer_mask"), False).alias("n_ans"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,11 +35,21 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def scanned_path() -> Column:
+    """Path of the file a scanned row comes from, spelled as in a listing.
+
+    Scans escape special characters as URLs do, except the plus sign.
+    """
+    path = F.col("_metadata.file_path")
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return plain_path(F.when(F.contains(path, F.lit("%")), decoded).otherwise(path))
+
+
 def relative_path(path: Column, root: str) -> Column:
     """Path below `root`; the whole path if it lies elsewhere."""
-    base = plain_path(F.lit(root.rstrip("/") + "/"))
-    full = plain_path(path)
-    return F.when(F.startswith(full, base), F.substring(full, F.length(base) + 1, F.length(full))).otherwise(full)
+    base = re.sub("^file:/+", "/", root.rstrip("/")) + "/"
+    below = F.substring(path, F.lit(len(base) + 1), F.length(path))
+    return F.when(F.startswith(path, F.lit(base)), below).otherwise(path)
 
 
 def glob_regex(patterns: Sequence[str]) -> str:

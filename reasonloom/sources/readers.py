@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from reasonloom.session import computed_once
-from reasonloom.sources.paths import is_directory, list_files, plain_path, relative_path
+from reasonloom.sources.paths import (
+    is_directory,
+    list_files,
+    plain_path,
+    relative_path,
+    scanned_path,
+)
 
 CORPUS_COLUMNS = (
     "problem",
@@ -46,7 +52,7 @@ def skipped_files(spark: SparkSession, path: str, pattern: str = "*.parquet") ->
     rows = read_parquet_dir(spark, path, pattern)
     if not rows.inputFiles():
         return listed
-    seen = rows.select(plain_path(F.col("_metadata.file_path")).alias("path")).distinct()
+    seen = rows.select(scanned_path().alias("path")).distinct()
     return listed.join(seen, "path", "left_anti")
 
 
@@ -113,6 +119,6 @@ def with_source_file(df: DataFrame, root: str) -> DataFrame:
     """Add the file's path below `root` and, for Parquet, the row's number in it."""
     return df.select(
         "*",
-        relative_path(F.col("_metadata.file_path"), root).alias("source_file"),
+        relative_path(scanned_path(), root).alias("source_file"),
         F.col("_metadata.row_index").alias("row_in_file"),
     )

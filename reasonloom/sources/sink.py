@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def write_filtered(df: DataFrame, out: str, col: str = "source_file") -> None:
+def write_filtered(
+    df: DataFrame, out: str, col: str = "source_file", gather: bool = False
+) -> None:
     """Write each source file's rows to its own folder; no rows, no folder.
 
-    The rebalance hint gathers the rows of small files and lets the adaptive
-    planner split a large one over several tasks.
+    Rows that come straight from a scan lie together by file, so nothing is
+    shuffled. After a shuffle of their own, `gather` avoids many small files: the
+    rebalance hint brings a file's rows together, and the adaptive planner
+    splits a large file over several tasks.
     """
-    df.hint("rebalance", col).write.mode("overwrite").partitionBy(col).parquet(out)
+    rows = df.hint("rebalance", col) if gather else df
+    rows.write.mode("overwrite").partitionBy(col).parquet(out)

@@ -117,10 +117,14 @@ def test_split_and_glob(spark, folder, put):
     assert readers.read_glob(spark, f"{folder}/*-00000-*.parquet").count() == 5
 
 
-def test_paths_with_spaces(spark, folder, put):
-    put("a b/c d.parquet", good(1))
-    found = readers.with_source_file(readers.read_parquet_dir(spark, f"{folder}/a b"), folder)
-    assert found.first().source_file.replace("%20", " ") == "a b/c d.parquet"
+def test_odd_characters_in_paths(spark, folder, put):
+    names = {"c d+e.parquet", "p%20q.parquet", "\u00fc.parquet"}
+    for name in names:
+        put(f"a b+c%20d/{name}", good(1))
+    root = f"{folder}/a b+c%20d"
+    rows = readers.with_source_file(readers.read_parquet_dir(spark, root), root)
+    assert {r.source_file for r in rows.collect()} == names
+    assert readers.skipped_files(spark, root).isEmpty()
 
 
 def test_files_with_different_columns(spark, folder, put):
@@ -184,11 +188,12 @@ def test_callers_token_counter(spark):
     assert curate.curate(rows, cfg).count() == 3
 
 
-def test_sink_splits_no_file_and_loses_nothing(spark, folder):
+@pytest.mark.parametrize("gather", [False, True])
+def test_sink_keeps_every_row_of_a_hot_file(spark, folder, gather):
     rows = spark.range(3000).select(
         "id", F.when(F.col("id") < 2000, "hot").otherwise(F.concat(F.lit("f/"), F.col("id") % 7)).alias("source_file")
     )
-    sink.write_filtered(rows, f"{folder}/out")
+    sink.write_filtered(rows, f"{folder}/out", gather=gather)
     back = spark.read.parquet(f"{folder}/out")
     assert back.count() == 3000 and back.filter("source_file = 'hot'").count() == 2000
 
