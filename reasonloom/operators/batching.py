@@ -62,7 +62,7 @@ def collate(df: DataFrame, arrays: tuple[str, ...] = ARRAY_COLUMNS) -> DataFrame
     batch without a usable example disappears. A group holds at most one batch.
     """
     present = [c for c in arrays if c in df.columns]
-    rows = F.array_sort(F.collect_list(F.struct("slot", *present)))
+    rows = F.sort_array(F.collect_list(F.struct("slot", *present)))
     return (
         df.filter(F.col("status") == "ok")
         .groupBy("shard", "batch_id")

@@ -55,7 +55,7 @@ def render_chat(
     message = template.message(F.col("role"), F.col("text"))
 
     def joined(order: str, text: str) -> Column:
-        rows = F.array_sort(F.collect_list(F.struct(order, text)))
+        rows = F.sort_array(F.collect_list(F.struct(order, text)))
         return F.array_join(rows[text], "")
 
     chunks = (

@@ -70,7 +70,7 @@ def encode_examples(examples: DataFrame, vocab: DataFrame, key: str = "example_i
     ids = (
         encode(token_rows(examples, key), vocab)
         .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("i", "id"))).alias("_ids"))
+        .agg(F.sort_array(F.collect_list(F.struct("i", "id"))).alias("_ids"))
         .select(key, F.col("_ids.id").alias("token_ids"))
     )
     return examples.join(ids, key, "left").withColumn(

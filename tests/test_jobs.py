@@ -1,0 +1,46 @@
+"""The command-line jobs, on files written from the corpus."""
+
+import tempfile
+
+import pytest
+
+from reasonloom.__main__ import main
+from reasonloom.operators import curate
+from reasonloom.plans.reasoning import reasoning
+
+
+@pytest.fixture(scope="module")
+def source(spark):
+    path = tempfile.mkdtemp(prefix="reasonloom-source-")
+    rows = reasoning(spark, "/root/testdata/sf0.001").drop("source_file")
+    rows.write.mode("overwrite").parquet(path)
+    return path
+
+
+@pytest.fixture
+def target():
+    return tempfile.mkdtemp(prefix="reasonloom-target-")
+
+
+def test_curate(spark, source, target):
+    main(["curate", source, target, "--max_len", "300"])
+    wanted = curate.curate(spark.read.parquet(source), curate.CurateConfig(max_len=300)).count()
+    assert spark.read.parquet(target).count() == wanted > 0
+
+
+def test_report(spark, source, target):
+    main(["report", source, target])
+    assert spark.read.parquet(target).agg({"n0": "sum"}).first()[0] == 200
+
+
+def test_sample(spark, source, target):
+    main(["sample", "--source_dir", source, "--target_dir", target, "--sample_count", "3"])
+    kept = spark.read.parquet(target)
+    assert kept.select("source_file").distinct().count() == 3
+    assert 0 < kept.count() < 200
+
+
+def test_examples(spark, source, target):
+    main(["examples", source, target, "--max_length", "64"])
+    rows = spark.read.parquet(target)
+    assert rows.count() == 200 and rows.filter("n_tok > 64").isEmpty()
