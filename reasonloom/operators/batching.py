@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reasonloom.operators.examples import POSITION_COLUMNS, ExampleConfig, array_columns
 from reasonloom.operators.ordering import shuffle_rows
 
-ARRAY_COLUMNS = ("input_ids", "labels", "loss_mask", "answer_mask", "think_mask")
-
 
 def assign_shards(
     df: DataFrame,
@@ -55,17 +54,23 @@ def assign_batches(df: DataFrame, size: int) -> DataFrame:
     return df.withColumn("batch_id", F.floor(F.col("slot") / size).cast("long"))
 
 
-def collate(df: DataFrame, arrays: tuple[str, ...] = ARRAY_COLUMNS) -> DataFrame:
+def collate(df: DataFrame, cfg: ExampleConfig, ids: str = "tokens") -> DataFrame:
     """One row per batch with the stacked arrays of its usable examples.
 
     Batches are cut before unusable examples are dropped, so sizes vary and a
-    batch without a usable example disappears. A group holds at most one batch.
+    batch without a usable example disappears. Tokens and positions are
+    shuffled; the padded arrays are made from them afterwards. A group holds at
+    most one batch.
     """
-    present = [c for c in arrays if c in df.columns]
-    rows = F.sort_array(F.collect_list(F.struct("slot", *present)))
-    return (
+    member = F.struct("slot", ids, *POSITION_COLUMNS)
+    batches = (
         df.filter(F.col("status") == "ok")
         .groupBy("shard", "batch_id")
-        .agg(F.count("*").alias("n_kept"), rows.alias("_rows"))
-        .select("shard", "batch_id", "n_kept", *[F.col(f"_rows.{c}").alias(c) for c in present])
+        .agg(F.count("*").alias("n_kept"), F.sort_array(F.collect_list(member)).alias("_rows"))
     )
+
+    def stacked(name: str) -> Column:
+        return F.transform("_rows", lambda x: array_columns(x.getField, cfg.max_length, ids)[name])
+
+    names = array_columns(F.col, cfg.max_length, ids)
+    return batches.select("shard", "batch_id", "n_kept", *[stacked(n).alias(n) for n in names])

@@ -40,6 +40,17 @@ EXAMPLE_COLUMNS = (
 )
 
 
+# From these and the tokens, every array of an example follows.
+POSITION_COLUMNS = (
+    "n_tok",
+    "target_start",
+    "think_open",
+    "think_close",
+    "answer_lo",
+    "answer_hi",
+)
+
+
 @dataclass(frozen=True)
 class ExampleConfig:
     """`tokenizer` replaces the built-in one: text -> (token, start, end), in text order."""
@@ -234,12 +245,7 @@ def mask_rows(examples: DataFrame, mask: str, key: str = "example_id") -> DataFr
     """One row (key, i, mask) per kept token."""
     positions = examples.select(
         key,
-        "n_tok",
-        "target_start",
-        "think_open",
-        "think_close",
-        "answer_lo",
-        "answer_hi",
+        *POSITION_COLUMNS,
         F.explode(F.when(F.col("n_tok") > 0, F.sequence(F.lit(0), F.col("n_tok") - 1))).alias("i"),
     )
     return positions.select(key, "i", MASKS[mask](F.col("i")).alias("mask"))
@@ -265,22 +271,25 @@ def shifted(values: Column) -> Column:
     return F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))
 
 
+def array_columns(field: Callable[[str], Column], length: int, ids: str) -> dict[str, Column]:
+    """The fixed-length arrays of one example; `field` gives its columns by name."""
+    n_tok, closed = field("n_tok"), field("think_close")
+    after_open = F.when(closed.isNotNull(), field("think_open") + 1).otherwise(0)
+    filled = pad_truncate(field(ids), length, PAD if ids == "tokens" else 0)
+    return {
+        "input_ids": filled,
+        "attention_mask": run_mask(F.lit(0), n_tok, length, 0, 1),
+        "labels": filled,
+        "loss_mask": run_mask(F.least(field("target_start"), n_tok), n_tok, length, 0, 1),
+        "answer_mask": run_mask(field("answer_lo"), field("answer_hi"), length),
+        "think_mask": run_mask(after_open, F.coalesce(closed, F.lit(0)), length),
+    }
+
+
 def example_arrays(examples: DataFrame, cfg: ExampleConfig, ids: str = "tokens") -> DataFrame:
     """Add the fixed-length arrays of a training example.
 
     `ids` names the column of token ids (see `vocab.encode_examples`); without
     one, the token strings stand for themselves.
     """
-    length = cfg.max_length
-    pad = PAD if ids == "tokens" else 0
-    closed = F.col("think_close").isNotNull()
-    after_open = F.when(closed, F.col("think_open") + 1).otherwise(0)
-    return examples.withColumns(
-        {
-            "input_ids": pad_truncate(F.col(ids), length, pad),
-            "attention_mask": run_mask(F.lit(0), F.col("n_tok"), length, 0, 1),
-            "loss_mask": run_mask(F.least("target_start", "n_tok"), F.col("n_tok"), length, 0, 1),
-            "answer_mask": run_mask(F.col("answer_lo"), F.col("answer_hi"), length),
-            "think_mask": run_mask(after_open, F.coalesce("think_close", F.lit(0)), length),
-        }
-    ).withColumn("labels", F.col("input_ids"))
+    return examples.withColumns(array_columns(F.col, cfg.max_length, ids))

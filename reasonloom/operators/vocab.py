@@ -54,10 +54,13 @@ def join_vocab(rows: DataFrame, vocab: DataFrame) -> DataFrame:
     """
     head = vocab.filter(in_head())
     common = rows.join(F.broadcast(head), "token")
-    if vocab.filter(~in_head()).isEmpty():
+    tail = vocab.filter(~in_head())
+    if tail.isEmpty():
         return common
     rare = rows.join(F.broadcast(head.select("token")), "token", "left_anti")
-    return common.unionByName(rare.join(vocab.filter(~in_head()), "token"))
+    # The optimizer does not see how many rows an explode makes,
+    # so it is told not to broadcast either side.
+    return common.unionByName(rare.join(tail.hint("merge"), "token"))
 
 
 def encode(rows: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -178,7 +178,7 @@ def filter_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reasoning(spark, sf_dir).select(
+    return reasoning(spark, sf_dir, spread_rows=True).select(
         "example_id", curate.combined_length(curate.CurateConfig()).alias("n_tokens")
     )
 
@@ -188,7 +188,7 @@ def filter_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curate.funnel(reasoning(spark, sf_dir))
+    return curate.funnel(reasoning(spark, sf_dir, spread_rows=True))
 
 
 def curate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +199,7 @@ def curate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return examples.build_examples(reasoning(spark, sf_dir), CFG)
+    return examples.build_examples(reasoning(spark, sf_dir, spread_rows=True), CFG)
 
 
 def _examples_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +218,8 @@ def boxed_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rendered = examples.render_prompt(reasoning(spark, sf_dir), SYSTEM_PROMPT)
+    rows = reasoning(spark, sf_dir, spread_rows=True)
+    rendered = examples.render_prompt(rows, SYSTEM_PROMPT)
     return _longs(spans.token_spans(rendered, "full_text"), "i", "s", "e")
 
 
@@ -334,8 +335,7 @@ def assign_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows get their batch first, so that only raw text is shuffled for the order."""
     rows = batching.assign_batches(batching.assign_shards(reasoning(spark, sf_dir), 2, SEED), 4)
-    made = examples.example_arrays(examples.build_examples(rows, CFG), CFG)
-    batches = batching.collate(made)
+    batches = batching.collate(examples.build_examples(rows, CFG), CFG)
 
     return batches.select(
         "shard",

@@ -47,8 +47,13 @@ FROM (SELECT *, {body} AS body,
              concat(chr(92), 'boxed{{', {number}, '}}') AS box FROM {documents}) d"""
 
 
-def reasoning(spark: SparkSession, sf_dir: str, body_chars: int | None = None) -> DataFrame:
-    documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def reasoning(
+    spark: SparkSession, sf_dir: str, body_chars: int | None = None, spread_rows: bool = False
+) -> DataFrame:
+    """`spread_rows` is for work on the text that is worth a shuffle of a small input."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    if spread_rows:
+        documents = spread(documents)
     # Braces are doubled once more because spark.sql formats its text.
     text = reasoning_sql("@", body_chars).replace("{", "{{").replace("}", "}}")
     return spark.sql(text.replace("@", "{documents}"), documents=documents)

@@ -230,7 +230,7 @@ def test_golden_batch_scores(golden):
 def test_golden_batches(golden):
     placed = batching.assign_batches(batching.assign_shards(golden, 2, 42), 4)
     assert placed.select("shard", "batch_id").distinct().count() == 250
-    kept = batching.collate(examples.example_arrays(placed, CFG))
+    kept = batching.collate(placed, CFG)
     assert kept.count() == 250 - 49
     assert kept.agg(F.sum("n_kept")).first()[0] == 338
 

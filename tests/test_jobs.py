@@ -12,7 +12,7 @@ from reasonloom.plans.reasoning import reasoning
 @pytest.fixture(scope="module")
 def source(spark):
     path = tempfile.mkdtemp(prefix="reasonloom-source-")
-    rows = reasoning(spark, "/root/testdata/sf0.001").drop("source_file")
+    rows = reasoning(spark, "/root/testdata/sf0.001").drop("source_file").repartition(8)
     rows.write.mode("overwrite").parquet(path)
     return path
 

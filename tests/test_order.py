@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from reasonloom.operators import batching, ordering
+from reasonloom.operators import batching, examples, ordering
 
 
 def md5(text):
@@ -69,19 +69,27 @@ def test_golden_shards(spark, medium_dir):
 
 
 def test_batches_are_cut_before_rows_are_dropped(spark):
+    cfg = examples.ExampleConfig(max_length=12)
     rows = spark.range(11).select(
         F.col("id").alias("example_id"),
-        F.when(F.col("id") % 3 == 0, "no_boxed").otherwise("ok").alias("status"),
-        F.array(F.col("id").cast("int")).alias("input_ids"),
+        F.lit("q").alias("problem"),
+        F.when(F.col("id") % 3 == 0, "none")
+        .otherwise(F.concat(F.lit("\\boxed{"), F.col("id"), F.lit("}")))
+        .alias("generated_solution"),
     )
     placed = batching.assign_batches(batching.assign_shards(rows, 2, 9), 2)
-    sizes = {(r.shard, r.batch_id): r["count"] for r in placed.groupBy("shard", "batch_id").count().collect()}
-    assert sorted(sizes.values()) == [1, 2, 2, 2, 2, 2]
-    usable = {}
-    for r in placed.filter("status = 'ok'").orderBy("slot").collect():
-        usable.setdefault((r.shard, r.batch_id), []).append([r.example_id])
-    got = {(r.shard, r.batch_id): r.input_ids for r in batching.collate(placed).collect()}
-    assert got == usable
+    made = examples.build_examples(placed, cfg)
+    sizes = [r["count"] for r in made.groupBy("shard", "batch_id").count().collect()]
+    assert sorted(sizes) == [1, 2, 2, 2, 2, 2]
+    wanted = {}
+    usable = examples.example_arrays(made, cfg).filter("status = 'ok'").orderBy("slot").collect()
+    names = ("input_ids", "labels", "attention_mask", "loss_mask", "answer_mask", "think_mask")
+    for r in usable:
+        for name in names:
+            wanted.setdefault((r.shard, r.batch_id, name), []).append(r[name])
+    batches = batching.collate(made, cfg).collect()
+    assert {(r.shard, r.batch_id, n): r[n] for r in batches for n in names} == wanted
+    assert all(len(r.input_ids) == r.n_kept for r in batches)
 
 
 @pytest.mark.parametrize("call", [lambda d: batching.assign_shards(d, 0, 1), lambda d: batching.assign_batches(d, 0)])
