@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from reasonloom.operators.curate import CurateConfig, curate_files, funnel, read_files
-from reasonloom.operators.examples import ExampleConfig, build_examples
+from reasonloom.operators.examples import DEFAULT_SYSTEM_PROMPT, ExampleConfig, build_examples
 from reasonloom.sources.files import sample_files
 from reasonloom.sources.readers import read_corpus, read_parquet_dir, with_source_file
 from reasonloom.sources.sink import write_filtered
@@ -35,7 +35,7 @@ def _parser() -> argparse.ArgumentParser:
     job.add_argument("source")
     job.add_argument("target_dir")
     job.add_argument("--max_length", type=int, default=1024)
-    job.add_argument("--system_prompt")
+    job.add_argument("--system_prompt", default=DEFAULT_SYSTEM_PROMPT, help="empty for none")
     return parser
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from reasonloom.functions.text import to_number, token_count, word_count_bound
 from reasonloom.sources.paths import relative_path, scanned_path
-from reasonloom.sources.readers import discovery_reader
+from reasonloom.sources.readers import corpus_reader, only_below
 from reasonloom.sources.sink import write_filtered
 
 NO_ANSWER = "no_answer_extracted"  # fixed value
@@ -108,32 +108,26 @@ def funnel(df: DataFrame, cfg: CurateConfig = CurateConfig(), by: str = "source_
     )
 
 
-def read_files(spark: SparkSession, root: str) -> DataFrame:
+def read_files(spark: SparkSession, root: str, skip_corrupt: bool = True) -> DataFrame:
     """Corpus files whose columns may differ, with `source_file`.
 
     A merged schema alone would turn a column that a file does not have into
     nulls, and the pass-rate step would drop that file. A default for missing
     columns marks such rows instead, in one scan, whatever the number of files.
     """
-    merged = (
-        discovery_reader(spark, root)
-        .option("mergeSchema", True)
-        .option("ignoreCorruptFiles", True)
-        .parquet(root)
-        .schema
-    )
+    recursive = only_below(spark, root)
+
+    def reader() -> DataFrameReader:
+        return corpus_reader(spark, recursive).option("ignoreCorruptFiles", skip_corrupt)
+
+    merged = reader().option("mergeSchema", True).parquet(root).schema
 
     def marked(field: StructField) -> StructField:
         if field.name not in (RATE, *TEXTS) or field.dataType != StringType():
             return field
         return StructField(field.name, field.dataType, True, {"EXISTS_DEFAULT": f"'{ABSENT}'"})
 
-    rows = (
-        discovery_reader(spark, root)
-        .schema(StructType([marked(f) for f in merged.fields]))
-        .option("ignoreCorruptFiles", True)
-        .parquet(root)
-    )
+    rows = reader().schema(StructType([marked(f) for f in merged.fields])).parquet(root)
     return rows.select("*", relative_path(scanned_path(), root).alias("source_file"))
 
 

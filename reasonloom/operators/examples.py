@@ -19,6 +19,16 @@ from reasonloom.functions import text as T
 from reasonloom.session import computed_once
 
 PAD = "<pad>"
+# Fixed value: the instruction that training puts before every question.
+DEFAULT_SYSTEM_PROMPT = (
+    "You are an AI assistant. Your primary task is to solve the given mathematical problem.\n"
+    "First, think step-by-step to break down the problem, outline your reasoning, and perform "
+    "necessary calculations. Enclose your entire thought process within <think> and </think> "
+    "tags.\n"
+    "After your thought process, clearly state the final answer. The final answer must be "
+    "enclosed within \\boxed{}. For example: <think>This is step 1... This is step 2... Thus "
+    "the answer is X.</think>The final answer is \\boxed{X}."
+)
 SPANS = "array<struct<token: string, s: int, e: int>>"
 
 Tokenizer = Callable[[str], list[tuple[str, int, int]]]

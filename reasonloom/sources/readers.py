@@ -27,23 +27,29 @@ CORPUS_SCHEMA = StructType([StructField(c, StringType()) for c in CORPUS_COLUMNS
 CORRUPT = "_corrupt_record"
 
 
-def _load(reader: DataFrameReader, path: str) -> DataFrame:
-    """Read Parquet, skipping unreadable files; nothing readable gives an empty corpus."""
+def _load(reader: DataFrameReader, path: str, skip_corrupt: bool) -> DataFrame:
+    """Read Parquet; nothing readable gives an empty corpus.
+
+    Spark takes any read error of a file for corruption if it may skip. Where
+    storage itself may fail, read with `skip_corrupt=False`, which stops instead.
+    """
     try:
-        return reader.option("ignoreCorruptFiles", True).parquet(path)
+        return reader.option("ignoreCorruptFiles", skip_corrupt).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
             raise
         return SparkSession.active().createDataFrame([], CORPUS_SCHEMA)
 
 
-def read_parquet_dir(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+def read_parquet_dir(
+    spark: SparkSession, path: str, pattern: str = "*.parquet", skip_corrupt: bool = True
+) -> DataFrame:
     """Files at the top level of a folder. `skipped_files` tells which gave no rows."""
-    return _load(spark.read.option("pathGlobFilter", pattern), path)
+    return _load(spark.read.option("pathGlobFilter", pattern), path, skip_corrupt)
 
 
-def read_parquet_file(spark: SparkSession, path: str) -> DataFrame:
-    return _load(spark.read, path)
+def read_parquet_file(spark: SparkSession, path: str, skip_corrupt: bool = True) -> DataFrame:
+    return _load(spark.read, path, skip_corrupt)
 
 
 def skipped_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
@@ -94,20 +100,23 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unsupported path: {path}")
 
 
-def discovery_reader(spark: SparkSession, root: str) -> DataFrameReader:
-    """Top level of a folder, or everything below it if the top level has no file."""
+def only_below(spark: SparkSession, root: str) -> bool:
+    """True if the top level of a folder has no Parquet file."""
+    return list_files(spark, root).isEmpty()
+
+
+def corpus_reader(spark: SparkSession, recursive: bool) -> DataFrameReader:
     reader = spark.read.option("pathGlobFilter", "*.parquet")
-    if list_files(spark, root).isEmpty():
-        reader = reader.option("recursiveFileLookup", True)
-    return reader
+    return reader.option("recursiveFileLookup", recursive)
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    return _load(discovery_reader(spark, root), root)
+def discover(spark: SparkSession, root: str, skip_corrupt: bool = True) -> DataFrame:
+    """Top level of a folder, or everything below it if the top level has no file."""
+    return _load(corpus_reader(spark, only_below(spark, root)), root, skip_corrupt)
 
 
-def read_glob(spark: SparkSession, pattern: str) -> DataFrame:
-    return _load(spark.read, pattern)
+def read_glob(spark: SparkSession, pattern: str, skip_corrupt: bool = True) -> DataFrame:
+    return _load(spark.read, pattern, skip_corrupt)
 
 
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:

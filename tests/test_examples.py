@@ -67,9 +67,11 @@ def agrees(row, wanted):
         assert list(range(row.answer_lo, row.answer_hi)) == wanted["answer"]
 
 
-def test_edge_rows_against_emulation(edge_rows):
-    for row in examples.build_examples(edge_rows, CFG).collect():
-        agrees(row, emulation.example(row.problem, row.generated_solution, 256, SYSTEM_PROMPT))
+@pytest.mark.parametrize("prompt", [SYSTEM_PROMPT, examples.DEFAULT_SYSTEM_PROMPT, None])
+def test_edge_rows_against_emulation(edge_rows, prompt):
+    # The default prompt has think tags and a box of its own; they must not count.
+    for row in examples.build_examples(edge_rows, examples.ExampleConfig(256, prompt)).collect():
+        agrees(row, emulation.example(row.problem, row.generated_solution, 256, prompt))
 
 
 @pytest.mark.parametrize("length", [256, 1024])

@@ -66,6 +66,8 @@ def test_a_corrupt_file_alone_fails_without_the_option(spark, folder):
     assert readers.read_parquet_dir(spark, folder).count() == 0
     assert readers.read_parquet_file(spark, f"{folder}/bad.parquet").count() == 0
     assert readers.skipped_files(spark, folder).count() == 1
+    with pytest.raises(Exception):
+        readers.read_parquet_dir(spark, folder, skip_corrupt=False).count()
 
 
 def test_empty_folder_is_an_empty_corpus(spark, folder):
