@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from reasonloom.operators.curate import CurateConfig, curate_files, funnel, read_files
 from reasonloom.operators.examples import DEFAULT_SYSTEM_PROMPT, ExampleConfig, build_examples
 from reasonloom.sources.files import sample_files
+from reasonloom.sources.paths import list_source_files
 from reasonloom.sources.readers import read_corpus, read_parquet_dir, with_source_file
 from reasonloom.sources.sink import write_filtered
 
@@ -54,7 +55,9 @@ def main(argv: list[str] | None = None) -> None:
         if ratio is None and args.sample_count is None:
             ratio = 0.1
         rows = with_source_file(read_parquet_dir(spark, args.source_dir), args.source_dir)
-        chosen = sample_files(rows.drop("row_in_file"), ratio, args.sample_count, args.seed)
+        listing = list_source_files(spark, args.source_dir)
+        rows = rows.drop("row_in_file")
+        chosen = sample_files(rows, ratio, args.sample_count, args.seed, listing=listing)
         write_filtered(chosen, args.target_dir)
     else:
         cfg = ExampleConfig(args.max_length, args.system_prompt)

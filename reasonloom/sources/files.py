@@ -33,15 +33,19 @@ def sample_files(
     count: int | None = None,
     seed: int = 42,
     col: str = "source_file",
+    listing: DataFrame | None = None,
 ) -> DataFrame:
     """All rows of a seeded sample of files.
 
+    The files are those of `listing`, with a column `col`, or else those that
+    the rows name. A scan whose `col` is its file path reads the chosen files only.
+
     Files are ranked by md5(seed:file). Only the last one taken is looked up;
     every row then decides for itself whether its file ranks no later. So there
     is no join, and it does not matter how many rows one file has.
     """
     sample_size(1, ratio, count)  # the arguments are checked before any job runs
-    files = df.select(col).distinct()
+    files = (df if listing is None else listing).select(col).distinct()
     n_files = files.count()
     if n_files == 0:
         return df

@@ -52,6 +52,12 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(F.startswith(path, F.lit(base)), below).otherwise(path)
 
 
+def list_source_files(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
+    """(source_file) of a folder's top level, spelled as `with_source_file` does."""
+    listed = list_files(spark, root, pattern)
+    return listed.select(relative_path(plain_path(F.col("path")), root).alias("source_file"))
+
+
 def glob_regex(patterns: Sequence[str]) -> str:
     """Dots are literal, `*` matches anything, patterns are alternatives.
 

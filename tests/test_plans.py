@@ -7,6 +7,7 @@ import __spark_entry__ as contract
 from reasonloom.functions.text import TOKEN_PATTERN
 from reasonloom.operators import curate, examples, scores, vocab
 from reasonloom.plans.reasoning import reasoning
+from reasonloom.sources import files, paths, readers
 
 
 def plan(df):
@@ -61,3 +62,19 @@ def test_scores_pre_aggregate(spark, corpus):
     losses = vocab.token_rows(made).select("example_id", "i", F.lit(1.0).alias("loss"))
     text = plan(scores.base_loss(scores.score_tokens(made, losses, ("batch_id",)), "batch_id"))
     assert "partial_sum" in text
+
+
+def test_a_file_sample_reads_only_its_files(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows.repartition(10).write.parquet(path)
+    scanned = readers.with_source_file(readers.read_parquet_dir(spark, path), path)
+    listing = paths.list_source_files(spark, path)
+    assert listing.exceptAll(scanned.select("source_file").distinct()).isEmpty()
+    sample = files.sample_files(scanned, count=3, listing=listing)
+    executed = sample._jdf.queryExecution().executedPlan()
+    executed.executeCollect()
+    while executed.children().size():
+        executed = executed.children().head()
+    assert executed.metrics().apply("numFiles").value() == 3
+    assert sample.exceptAll(files.sample_files(scanned, count=3)).isEmpty()
