@@ -1,5 +1,7 @@
 """Golden numbers, edge rows, and an independent emulation of the example rules."""
 
+import random
+
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -241,3 +243,31 @@ def test_golden_cross_entropy(spark, medium_dir):
     rows = spark.read.parquet(f"{medium_dir}/embeddings.parquet").filter("vec_id < 2")
     got = rows.select("vec_id", losses.token_ce("embedding", "label").alias("ce")).collect()
     assert [round(r.ce, 6) for r in sorted(got)] == [4.20329, 4.296138]
+
+
+PARTS = [
+    "<think>", "</think>", "<answer>", "</answer>", "\\boxed{", "\\boxed", "{", "}", "a", "bc", "1",
+    " ", "  ", "\n", "\x85", "　", "<", "think>", "</", "\\", "é", "é", "\U0001f600",
+    "中文", ".",
+]
+
+
+@pytest.mark.parametrize("length", [5, 12, 60])
+def test_random_texts_against_emulation(spark, length):
+    draw = random.Random(length)
+
+    def text(n):
+        return "".join(draw.choice(PARTS) for _ in range(draw.randrange(n)))
+
+    rows = [
+        (i, draw.choice([None, text(4)]), draw.choice([text(12), text(40), "\\boxed{" + text(9)]))
+        for i in range(1500)
+    ]
+    cfg = examples.ExampleConfig(max_length=length)
+    made = examples.build_examples(spark.createDataFrame(rows, COLUMNS), cfg).collect()
+    for row in made:
+        agrees(row, emulation.example(row.problem, row.generated_solution, length))
+    if length == 60:
+        assert {row.status for row in made} == {
+            "ok", "no_boxed", "think_unclosed", "think_orphan_end", "answer_unmapped",
+        }
