@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reasonloom.functions import losses as L
@@ -30,7 +30,7 @@ class ScoreConfig:
     repetition_coeff: float = 1.0
 
 
-def token_weight(cfg: ScoreConfig = ScoreConfig()):
+def token_weight(cfg: ScoreConfig = ScoreConfig()) -> Column:
     """Weight of a scored token: the marker weight on target tags, 1 on targets, else 0."""
     weight = F.when(F.array_contains("tags", F.col("i")), cfg.marker_weight).otherwise(1.0)
     return F.when(F.col("target"), weight).otherwise(0.0)
@@ -77,7 +77,7 @@ def efficiency(
     scored: DataFrame, key: str = "example_id", cfg: ScoreConfig = ScoreConfig(), carry=()
 ) -> DataFrame:
     """(key, carry..., n_ans, score) of every example with an answer token."""
-    used = scored.filter(F.col("answer") & F.col("target"))
+    used = scored.filter(is_answer())
     return (
         used.groupBy(key, *carry)
         .agg(F.count("*").alias("n_ans"), F.avg("loss").alias("_mean"))
@@ -85,61 +85,82 @@ def efficiency(
     )
 
 
-def _efficiency(n, mean, cfg: ScoreConfig):
+def is_answer() -> Column:
+    return F.col("answer") & F.col("target")
+
+
+def _answer_parts() -> list[Column]:
+    """Per example, without dropping those that have no answer token."""
+    return [
+        F.count_if(is_answer()).alias("_n_ans"),
+        F.avg(F.when(is_answer(), F.col("loss"))).alias("_mean"),
+    ]
+
+
+def _efficiency(n: Column, mean: Column, cfg: ScoreConfig) -> Column:
     return L.efficiency_score(
         n, mean, cfg.efficiency_threshold, cfg.efficiency_reward, cfg.efficiency_penalty
     )
 
 
-def repetition(
-    examples: DataFrame, key: str = "example_id", cfg: ScoreConfig = ScoreConfig(), carry=()
+def _mean_efficiency(cfg: ScoreConfig) -> Column:
+    score = _efficiency(F.col("_n_ans"), F.col("_mean"), cfg)
+    return F.coalesce(F.avg(F.when(F.col("_n_ans") > 0, score)), F.lit(0.0))
+
+
+def efficiency_batch(
+    scored: DataFrame, by: str, key: str = "example_id", cfg: ScoreConfig = ScoreConfig()
 ) -> DataFrame:
-    """(key, carry..., n_grams, score) of every example with more than n think tokens.
+    """(by, eff): mean over the batch's examples with an answer token, 0 if there are none."""
+    per_example = scored.groupBy(key, by).agg(*_answer_parts())
+    return per_example.groupBy(by).agg(_mean_efficiency(cfg).alias("eff"))
 
-    Row-wise: the think tokens of one example are at most `max_length`.
-    """
-    first = F.greatest(F.col("think_open") + 1, F.lit(1))
-    n_think = F.col("think_close") - first
-    return (
-        examples.filter(n_think > cfg.repetition_n)
-        .select(key, *carry, F.slice("tokens", first + 1, n_think).alias("_think"))
-        .select(key, *carry, L.ngrams(F.col("_think"), cfg.repetition_n).alias("_grams"))
-        .select(
-            key,
-            *carry,
-            F.size("_grams").cast("long").alias("n_grams"),
-            _repetition(cfg).alias("score"),
-        )
-    )
 
+def _first_think() -> Column:
+    return F.greatest(F.col("think_open") + 1, F.lit(1))
 
-def _repetition(cfg: ScoreConfig):
-    if cfg.repetition_coeff <= 0:
-        return F.lit(0.0)
-    return L.repetition_score(F.col("_grams"), cfg.repetition_coeff)
 
+def _n_think() -> Column:
+    return F.col("think_close") - _first_think()
 
-def batch_mean(per_example: DataFrame, batches: DataFrame, by: str, out: str) -> DataFrame:
-    """Mean example score per batch; a batch without scored examples gets 0.
 
-    `batches` has one row per batch, `per_example` carries `by`.
+def _repetition_rows(examples: DataFrame, cfg: ScoreConfig, *cols: str) -> DataFrame:
+    """Score of every example, null where it has too few think tokens.
+
+    Row-wise: the think tokens of one example are at most `max_length`.
     """
-    means = per_example.groupBy(by).agg(F.avg("score").alias(out))
-    return batches.join(means, by, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    think = F.when(
+        _n_think() > cfg.repetition_n, F.slice("tokens", _first_think() + 1, _n_think())
+    )
+    n_grams = F.size("_grams")
+    score = F.lit(0.0)
+    if cfg.repetition_coeff > 0:
+        score = L.repetition_score(F.col("_grams"), cfg.repetition_coeff)
+    return (
+        examples.select(*cols, think.alias("_think"))
+        .select(*cols, L.ngrams(F.col("_think"), cfg.repetition_n).alias("_grams"))
+        .select(
+            *cols,
+            n_grams.cast("long").alias("n_grams"),
+            F.when(n_grams > 0, score).alias("score"),
+        )
+    )
 
 
-def efficiency_batch(
-    scored: DataFrame, by: str, key: str = "example_id", cfg: ScoreConfig = ScoreConfig()
+def repetition(
+    examples: DataFrame, key: str = "example_id", cfg: ScoreConfig = ScoreConfig(), carry=()
 ) -> DataFrame:
-    per_example = efficiency(scored, key, cfg, carry=(by,))
-    return batch_mean(per_example, scored.select(by).distinct(), by, "eff")
+    """(key, carry..., n_grams, score) of every example with more than n think tokens."""
+    long_enough = examples.filter(_n_think() > cfg.repetition_n)
+    return _repetition_rows(long_enough, cfg, key, *carry)
 
 
 def repetition_batch(
-    examples: DataFrame, by: str, key: str = "example_id", cfg: ScoreConfig = ScoreConfig()
+    examples: DataFrame, by: str, cfg: ScoreConfig = ScoreConfig()
 ) -> DataFrame:
-    per_example = repetition(examples, key, cfg, carry=(by,))
-    return batch_mean(per_example, examples.select(by).distinct(), by, "rep")
+    """(by, rep): mean over the batch's long enough examples, 0 if there are none."""
+    mean = F.coalesce(F.avg("score"), F.lit(0.0))
+    return _repetition_rows(examples, cfg, by).groupBy(by).agg(mean.alias("rep"))
 
 
 def combined(
@@ -156,21 +177,16 @@ def combined(
     is not computed and counts as 0.
     """
     scored = score_tokens(examples, losses, (by,), cfg, key)
-    is_answer = F.col("answer") & F.col("target")
     per_example = scored.groupBy(key, by).agg(
         F.sum(F.col("loss") * F.col("weight")).alias("_loss"),
         F.count_if("target").alias("_n"),
-        F.count_if(is_answer).alias("_n_ans"),
-        F.avg(F.when(is_answer, F.col("loss"))).alias("_mean"),
+        *_answer_parts(),
     )
-    eff = F.lit(0.0)
-    if cfg.efficiency_weight > 0:
-        score = _efficiency(F.col("_n_ans"), F.col("_mean"), cfg)
-        eff = F.coalesce(F.avg(F.when(F.col("_n_ans") > 0, score)), F.lit(0.0))
+    eff = _mean_efficiency(cfg) if cfg.efficiency_weight > 0 else F.lit(0.0)
     base = F.when(F.sum("_n") > 0, F.sum("_loss") / F.sum("_n")).otherwise(0.0)
     parts = per_example.groupBy(by).agg(base.alias("base"), eff.alias("eff"))
     if cfg.repetition_weight > 0:
-        means = repetition(examples, key, cfg, (by,)).groupBy(by).agg(F.avg("score").alias("rep"))
+        means = repetition_batch(examples, by, cfg)
         parts = parts.join(means, by, "full").fillna(0.0, ["base", "eff", "rep"])
     else:
         parts = parts.withColumn("rep", F.lit(0.0))

@@ -78,3 +78,11 @@ def test_a_file_sample_reads_only_its_files(spark, tmp_path):
         executed = executed.children().head()
     assert executed.metrics().apply("numFiles").value() == 3
     assert sample.exceptAll(files.sample_files(scanned, count=3)).isEmpty()
+
+
+def test_batch_means_read_their_input_once(corpus):
+    made = examples.build_examples(corpus).withColumn("batch_id", F.col("example_id") % 5)
+    assert plan(scores.repetition_batch(made, "batch_id")).count("FileScan") == 1
+    losses = vocab.token_rows(made).select("example_id", "i", F.lit(1.0).alias("loss"))
+    scored = scores.score_tokens(made, losses, ("batch_id",))
+    assert plan(scores.efficiency_batch(scored, "batch_id")).count("FileScan") == 2
