@@ -23,8 +23,8 @@ THINK_CLOSE = "</think>"
 ANSWER_OPEN = "<answer>"
 ANSWER_CLOSE = "</answer>"
 TAGS = (THINK_OPEN, THINK_CLOSE, ANSWER_OPEN, ANSWER_CLOSE)
-# Fixed value: spellings that count as numbers.
-NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+# Fixed value: spellings that count as numbers; unlike $, \z does not allow a newline.
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\z"
 BOX_OPEN = "\\boxed{"
 BOX_CLOSE = "}"
 

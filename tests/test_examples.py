@@ -182,7 +182,7 @@ def test_words_are_pythons_words(spark):
 NUMBERS = {
     "0.9": 0.9, "1": 1.0, "1.": 1.0, ".5": 0.5, "-2e3": -2000.0, "+1.5E-1": 0.15, "n/a": None,
     "": None, "0.9d": None, "0.9f": None, "0x1p0": None, "1_0": None, "NaN": None, "inf": None,
-    " 1": None, None: None,
+    " 1": None, "0.9\n": None, None: None,
 }
 
 
