@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reasonloom.llm import binary_ids, packing
+from reasonloom.llm import binary_ids, ngram_join, packing
 from reasonloom.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), packing.PackConfig(TOKENIZER))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "id-planes")
     documents = _table(spark, sf_dir, "documents")
@@ -32,6 +36,7 @@ def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_ngram_join": op3_ngram_join,
     "op7_binary_ids": op7_binary_ids,
 }
 
