@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reasonloom.llm.tokens import WordEncoder, char_batches
+from reasonloom.llm.tokens import char_batches, shared_encoder
 
 MAGIC = b"BPLANES1"
 NO_ID = -(2**63)  # stands for a null document id inside a file
@@ -170,7 +170,7 @@ def write_ids(docs: DataFrame, folder: str, cfg: BinaryConfig) -> DataFrame:
         part = TaskContext.get().partitionId()
         store, root = fs.FileSystem.from_uri(folder)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.planes"
-        encoder = WordEncoder(cfg.tokenizer)
+        encoder = shared_encoder(cfg.tokenizer)
         writer = None
         end = np.array([cfg.end_id], np.uint32)
         for batch in batches:

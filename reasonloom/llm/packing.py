@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reasonloom.llm.tokens import WordEncoder, char_batches
+from reasonloom.llm.tokens import char_batches, shared_encoder
 from reasonloom.session import write_once
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -41,7 +41,7 @@ def cut_documents(docs: DataFrame, cfg: PackConfig) -> DataFrame:
     """A row per piece of at most `max_tokens` ids of each document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(cfg.tokenizer)
+        encoder = shared_encoder(cfg.tokenizer)
         for batch in batches:
             rows = zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True)
             for group in char_batches(rows):

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 BATCH_CHARS = 2_000_000
-MAX_WORDS = 400_000
+MAX_WORDS = 800_000
+LAST = "\xff"  # of Latin-1
+MARKS = frozenset(",.;:!?|")
 
 
 def char_batches(rows: Iterable[tuple], size: int = BATCH_CHARS) -> Iterator[list[tuple]]:
@@ -24,12 +28,23 @@ def char_batches(rows: Iterable[tuple], size: int = BATCH_CHARS) -> Iterator[lis
         yield group
 
 
+def _folded(text: str) -> str:
+    """Lower case where that is certain to be what the tokenizer does itself: within Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer whose tokens never cross a blank or a line feed.
 
     That holds for `word_bpe_49k.json`: it drops white space and splits at it, and its
-    normalizations do not reach over a blank. Words repeat, so each is encoded once while
-    it is remembered; the memory is emptied when it holds `max_words`.
+    normalizations do not reach over a blank. It also folds case and splits letters from
+    punctuation, so a Latin-1 word of letters with one mark behind it is the word and the mark. Words
+    repeat, so each is encoded once while it is remembered; the memory is emptied when it
+    would hold more than `max_words`.
     """
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
@@ -46,32 +61,54 @@ class WordEncoder:
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
+    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         known = len(self.index)
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         ends = np.cumsum(lengths) + len(self.flat)
         self.index.update(zip(words, range(known, known + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, ends - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        new = np.fromiter((i for word in ids for i in word), np.uint32, int(lengths.sum()))
-        self.flat = np.concatenate([self.flat, new])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _look_up(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words at these places, and the end of each word among them."""
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        inside = np.arange(total) + np.repeat(self.starts[at] - ends + lengths, lengths)
+        return self.flat[inside], ends
+
+    def _learn(self, words: set[str]) -> None:
+        marked = [w for w in words if w[-1:] in MARKS and w[:-1].isalpha() and max(w) <= LAST]
+        plain = words.difference(marked).union([w[:-1] for w in marked], [w[-1] for w in marked])
+        plain = list(plain.difference(self.index))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        self._add(plain, flat, lengths)
+        both = self._look_up([part for w in marked for part in (w[:-1], w[-1])])
+        ids, ends = self._ids(both)
+        self._add(marked, ids, np.diff(ends[1::2], prepend=0))
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers; a null text has none."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        words = [w for text in split for w in text]
+        split = [_folded(t).replace("\n", " ").split(" ") if t else [] for t in texts]
+        words = list(chain.from_iterable(split))
         unknown = set(words).difference(self.index)
         if len(self.index) + len(unknown) > self.max_words:
             self._clear()
             unknown = set(words)
         if unknown:
-            self._learn(list(unknown))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(self.starts[at] - ends + lengths, lengths)]
+            self._learn(unknown)
+        ids, ends = self._ids(self._look_up(words))
         text_ends = np.cumsum([len(text) for text in split], dtype=np.int64)
         cuts = np.concatenate([[0], ends])[text_ends] if len(split) else []
         return np.split(ids, cuts[:-1]) if len(split) else []
+
+
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks that a Python worker runs, so that words stay remembered."""
+    return WordEncoder(path)
