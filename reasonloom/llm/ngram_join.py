@@ -271,7 +271,8 @@ def verify(candidates: DataFrame, n_sets: int, cfg: JoinConfig) -> DataFrame:
 def _with_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
     """The text of each member set, from one of its documents."""
     wanted = members.select("set_id", "cluster", "copies", "n_blocks", "sample.row_key")
-    found = _columns(docs).join(wanted, "row_key").dropDuplicates(["row_key"])
+    # a merge join at every size: the plan does not turn with the size of either side
+    found = _columns(docs).hint("merge").join(wanted, "row_key").dropDuplicates(["row_key"])
     return found.select("set_id", "cluster", "copies", "n_blocks", "text")
 
 
