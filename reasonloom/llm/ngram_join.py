@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 
 from reasonloom.llm.columns import fresh
 from reasonloom.llm.components import components
-from reasonloom.llm.tokens import MAX_WORDS, char_batches
+from reasonloom.llm.tokens import char_batches
 from reasonloom.session import write_once
 
 WORD = re.compile(r"\w+")
 SIGNED = np.int64
+MAX_WORDS = 400_000  # whose hashes a task remembers
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 

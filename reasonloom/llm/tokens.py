@@ -6,11 +6,12 @@ import os
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 
 BATCH_CHARS = 2_000_000
-MAX_WORDS = 800_000
+MAX_WORDS = 1_500_000
 LAST = "\xff"  # of Latin-1
 MARKS = frozenset(",.;:!?|")
 
@@ -70,7 +71,9 @@ class WordEncoder:
         self.flat = np.concatenate([self.flat, ids])
 
     def _look_up(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if len(words) < 2:
+            return np.array([self.index[w] for w in words], np.int64)
+        return np.array(itemgetter(*words)(self.index), np.int64)
 
     def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words at these places, and the end of each word among them."""
