@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reasonloom.llm import binary_ids, ngram_join, packing, toxicity
+from reasonloom.llm import binary_ids, ngram_join, packing, quality, toxicity
 from reasonloom.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -33,6 +33,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_table(spark, sf_dir, "documents"))
+
+
 def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "id-planes")
     documents = _table(spark, sf_dir, "documents")
@@ -44,6 +48,7 @@ QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_join": op3_ngram_join,
+    "op5_quality_rules": op5_quality_rules,
     "op7_binary_ids": op7_binary_ids,
 }
 
