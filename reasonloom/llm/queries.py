@@ -7,7 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reasonloom.llm import binary_ids, ngram_join, packing, quality, toxicity
+from reasonloom.llm import (
+    binary_ids,
+    decontaminate,
+    licenses,
+    ngram_join,
+    packing,
+    quality,
+    toxicity,
+)
 from reasonloom.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +45,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = (_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontaminate.contaminated(documents, benchmark)
+
+
 def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "id-planes")
     documents = _table(spark, sf_dir, "documents")
@@ -44,12 +57,18 @@ def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ids.read_ids(spark, folder)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_join": op3_ngram_join,
     "op5_quality_rules": op5_quality_rules,
+    "op6_decontamination": op6_decontamination,
     "op7_binary_ids": op7_binary_ids,
+    "op9_license_scan": op9_license_scan,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_license_scan": licenses.oracle_sql()}
