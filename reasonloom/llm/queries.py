@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from reasonloom.llm import (
     binary_ids,
     decontaminate,
+    langid,
     licenses,
     ngram_join,
     packing,
@@ -41,6 +42,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return langid.predict(documents, langid.fit(documents))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_join": op3_ngram_join,
+    "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op7_binary_ids": op7_binary_ids,

@@ -227,7 +227,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig) -> DataF
     merged = usable.groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
     some = merged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.max_train)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(some), "doc_id")  # at most max_train rows of two numbers
+    found = texts.join(F.broadcast(some), "doc_id")  # at most max_train rows of two numbers
+    return found.dropDuplicates(["doc_id"])
 
 
 def _beginnings(words: Column, k: int) -> Column:
