@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from reasonloom.llm import (
     binary_ids,
     decontaminate,
+    html_text,
     langid,
     licenses,
     ngram_join,
@@ -63,6 +64,10 @@ def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ids.read_ids(spark, folder)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op7_binary_ids": op7_binary_ids,
+    "op8_html_text": op8_html_text,
     "op9_license_scan": op9_license_scan,
 }
 
