@@ -47,6 +47,7 @@ CHROME_NAMES = re.compile(
 )
 # An open element of the key is closed by the start of one of the values.
 CLOSED_BY = {
+    "head": BLOCKS,
     "p": frozenset(
         "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr "
         "main nav ol p pre section table ul".split()

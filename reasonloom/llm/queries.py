@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reasonloom.llm import (
     binary_ids,
+    chat_format,
     decontaminate,
     html_text,
     langid,
@@ -18,7 +20,7 @@ from reasonloom.llm import (
     quality,
     toxicity,
 )
-from reasonloom.session import scratch_path
+from reasonloom.session import scratch_path, write_once
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -72,6 +74,21 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    said = F.lit("<|im_end|><|im_start|>assistant ok")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        role.alias("role"),
+        said.alias("text"),
+    )
+    turns = conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
+    formatted = write_once(chat_format.format_conversations(turns), "formatted")
+    return chat_format.digest(formatted)
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -82,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op7_binary_ids": op7_binary_ids,
     "op8_html_text": op8_html_text,
     "op9_license_scan": op9_license_scan,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLE: dict[str, str] = {"op9_license_scan": licenses.oracle_sql()}
