@@ -11,12 +11,13 @@ from reasonloom.session import ensure_checkpoint_dir
 # about the same size, however large the data.
 HASH_DIGITS = 4
 ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
-MAX_BROADCAST_ROWS = 100_000
+NULL_KEY = "\x00"  # what a null key is hashed as; no name or number is this text
 
 
 def seeded_hash(prefix: str, key: Column | str) -> Column:
+    """Never null, so a row with a null key keeps its place in the order."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(prefix), key.cast("string")))
+    return F.md5(F.concat(F.lit(prefix), F.coalesce(key.cast("string"), F.lit(NULL_KEY))))
 
 
 def _starts(sizes: DataFrame, group: str, size: str) -> DataFrame:
@@ -30,7 +31,7 @@ def hash_position(df: DataFrame, key: str, prefix: str, out: str = "pos") -> Dat
 
     The groups are ranges of the hash, so counting them, adding up the counts
     and numbering the rows inside each group gives the global position. `key`
-    must be unique. The input is read twice, once for the key column only.
+    must be unique; a null key counts as one and comes first among equal hashes. The input is read twice, once for the key column only.
     """
     digits = F.substring(seeded_hash(prefix, key), 1, HASH_DIGITS)
     sizes = df.groupBy(digits.alias("_bucket")).agg(F.count("*").alias("_size"))

@@ -252,6 +252,9 @@ ORACLE: dict[str, str] = {
     ),
     "global_index": "SELECT doc_id, 'documents.parquet' AS source_file, "
     "row_number() OVER (ORDER BY doc_id) - 1 AS global_idx FROM documents",
+    "rows_at": "SELECT global_idx, doc_id FROM (SELECT doc_id, count(*) OVER () AS n, "
+    "row_number() OVER (ORDER BY doc_id) - 1 AS global_idx FROM documents) "
+    "WHERE global_idx IN (0, 7, 500, n - 1)",
     "profile": _with(
         REASONING,
         final="\nUNION ALL ".join(

@@ -153,6 +153,16 @@ def global_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.with_global_index(rows).select("doc_id", "source_file", "global_idx")
 
 
+def rows_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows 0, 7, 500 and the last one of a folder of several files."""
+    path = scratch_path(spark, "numbered")
+    documents = _documents(spark, sf_dir)
+    documents.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    last = documents.count() - 1
+    found = files.rows_at(spark, path, [i for i in (0, 7, 500, last) if i <= last])
+    return found.select("global_idx", "doc_id")
+
+
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.profile(reasoning(spark, sf_dir), required=REQUIRED)
 
@@ -429,6 +439,7 @@ QUERIES: dict[str, Query] = {
     "file_offsets_shuffled": file_offsets_shuffled,
     "row_at_index": row_at_index,
     "global_index": global_index,
+    "rows_at": rows_at,
     "profile": profile,
     "filter_answer": filter_answer,
     "lenient_cast": lenient_cast,

@@ -6,8 +6,8 @@ import pytest
 
 import __spark_entry__ as contract
 
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
+QUERIES = contract.QUERIES
+ORACLE = contract.ORACLE
 TYPES = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
 
 

@@ -96,3 +96,10 @@ def test_batches_are_cut_before_rows_are_dropped(spark):
 def test_arguments(spark, call):
     with pytest.raises(ValueError):
         call(spark.range(1).withColumnRenamed("id", "example_id"))
+
+
+def test_null_keys_keep_their_rows(spark):
+    rows = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "example_id long, x string")
+    placed = ordering.shuffle_rows(rows, 42)
+    assert sorted(r.pos for r in placed.collect()) == [0, 1, 2]
+    assert batching.assign_shards(rows, 2, 42).count() == 3

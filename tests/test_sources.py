@@ -238,13 +238,42 @@ def test_global_index(spark):
 
 
 @pytest.mark.parametrize("seed", [None, 7])
-def test_global_index_of_many_files(spark, monkeypatch, seed):
-    rows = rows_of_files(spark, [30, 1, 5, 2])
-    small = files.with_global_index(rows, seed=seed)
-    monkeypatch.setattr(files, "MAX_BROADCAST_ROWS", 0)
-    large = files.with_global_index(rows, seed=seed)
+def test_global_index_of_filtered_rows(spark, monkeypatch, seed):
+    rows = rows_of_files(spark, [4, 4, 4])
     columns = ["source_file", "row_in_file", "global_idx"]
-    assert sorted(small.select(columns).collect()) == sorted(large.select(columns).collect())
+    whole = sorted(files.with_global_index(rows, seed=seed).select(columns).collect())
+    odd = rows.filter("row_in_file % 2 = 1")
+    wanted = [r for r in whole if r.row_in_file % 2]
+    offsets = files.file_offsets(rows, seed=seed)
+    for bits in (20, 1, 0):  # however the files are cut into ranges
+        monkeypatch.setattr(files, "CHUNK_BITS", bits)
+        got = files.with_global_index(odd, seed=seed, offsets=offsets)
+        assert sorted(got.select(columns).collect()) == wanted
+        assert sorted(files.with_global_index(odd, seed=seed).select(columns).collect()) == wanted
+
+
+def test_null_files_keep_their_rows(spark):
+    rows = spark.createDataFrame(
+        [("a", 0), (None, 0), (None, 1), ("b", 0)], "source_file string, row_in_file long"
+    )
+    got = files.with_global_index(rows).select("global_idx").collect()
+    assert sorted(r[0] for r in got) == [0, 1, 2, 3]
+    for count, n in ((1, 1), (2, 2), (3, 3)):
+        chosen = files.sample_files(rows, count=count).select("source_file").distinct()
+        assert chosen.count() == n
+
+
+def test_rows_at_reads_only_their_files(spark, tmp_path):
+    folder = str(tmp_path / "corpus")
+    rows = spark.range(100).repartitionByRange(5, "id").sortWithinPartitions("id")
+    rows.write.parquet(folder)
+    found = files.rows_at(spark, folder, [3, 41, 99])
+    assert sorted((r.global_idx, r.id) for r in found.collect()) == [(3, 3), (41, 41), (99, 99)]
+    assert len(found.inputFiles()) == 3
+    assert files.rows_at(spark, folder, []).count() == 0
+    for idx in (-1, 100):
+        with pytest.raises(IndexError):
+            files.rows_at(spark, folder, [0, idx])
 
 
 @pytest.mark.parametrize(
