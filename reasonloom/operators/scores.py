@@ -15,6 +15,8 @@ from reasonloom.functions import losses as L
 from reasonloom.functions.text import TAGS
 from reasonloom.operators.examples import in_answer, in_target
 
+By = str | tuple[str, ...] | list[str]
+
 POSITIONS = ("n_tok", "target_start", "answer_lo", "answer_hi")
 
 
@@ -30,6 +32,11 @@ class ScoreConfig:
     repetition_coeff: float = 1.0
 
 
+def _names(by: By) -> tuple[str, ...]:
+    """The columns that name a batch, such as ("shard", "batch_id")."""
+    return (by,) if isinstance(by, str) else tuple(by)
+
+
 def token_weight(cfg: ScoreConfig = ScoreConfig()) -> Column:
     """Weight of a scored token: the marker weight on target tags, 1 on targets, else 0."""
     weight = F.when(F.array_contains("tags", F.col("i")), cfg.marker_weight).otherwise(1.0)
@@ -66,11 +73,38 @@ def score_tokens(
     )
 
 
-def base_loss(scored: DataFrame, by: str) -> DataFrame:
+def loss_gaps(examples: DataFrame, losses: DataFrame, key: str = "example_id") -> DataFrame:
+    """(key, n_expected, n_missing, n_repeated, n_null) of every example with such a gap.
+
+    Positions 1 to n_tok - 1 are expected once each, with a loss that is not null. Scores use
+    the losses there are, so a gap changes the mean: look here before trusting them.
+    """
+    wanted = examples.select(key, "n_tok")
+    given = losses.join(wanted, key).filter((F.col("i") >= 1) & (F.col("i") < F.col("n_tok")))
+    per_token = given.groupBy(key, "i").agg(
+        F.count("*").alias("_n"), F.count_if(F.col("loss").isNull()).alias("_null")
+    )
+    per_example = per_token.groupBy(key).agg(
+        F.count("*").alias("_seen"),
+        F.count_if(F.col("_n") > 1).alias("n_repeated"),
+        F.sum("_null").alias("n_null"),
+    )
+    n_expected = F.greatest(F.col("n_tok") - 1, F.lit(0)).cast("long")
+    report = wanted.join(per_example, key, "left").select(
+        key,
+        n_expected.alias("n_expected"),
+        (n_expected - F.coalesce("_seen", F.lit(0))).alias("n_missing"),
+        F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"),
+        F.coalesce("n_null", F.lit(0)).cast("long").alias("n_null"),
+    )
+    return report.filter("n_missing > 0 OR n_repeated > 0 OR n_null > 0")
+
+
+def base_loss(scored: DataFrame, by: By) -> DataFrame:
     """Weighted loss over the unweighted number of target tokens; 0 if there are none."""
     n = F.count_if("target")
     total = F.sum(F.col("loss") * F.col("weight"))
-    return scored.groupBy(by).agg(F.when(n > 0, total / n).otherwise(0.0).alias("base"))
+    return scored.groupBy(*_names(by)).agg(F.when(n > 0, total / n).otherwise(0.0).alias("base"))
 
 
 def efficiency(
@@ -109,11 +143,12 @@ def _mean_efficiency(cfg: ScoreConfig) -> Column:
 
 
 def efficiency_batch(
-    scored: DataFrame, by: str, key: str = "example_id", cfg: ScoreConfig = ScoreConfig()
+    scored: DataFrame, by: By, key: str = "example_id", cfg: ScoreConfig = ScoreConfig()
 ) -> DataFrame:
     """(by, eff): mean over the batch's examples with an answer token, 0 if there are none."""
-    per_example = scored.groupBy(key, by).agg(*_answer_parts())
-    return per_example.groupBy(by).agg(_mean_efficiency(cfg).alias("eff"))
+    names = _names(by)
+    per_example = scored.groupBy(key, *names).agg(*_answer_parts())
+    return per_example.groupBy(*names).agg(_mean_efficiency(cfg).alias("eff"))
 
 
 def _first_think() -> Column:
@@ -156,17 +191,18 @@ def repetition(
 
 
 def repetition_batch(
-    examples: DataFrame, by: str, cfg: ScoreConfig = ScoreConfig()
+    examples: DataFrame, by: By, cfg: ScoreConfig = ScoreConfig()
 ) -> DataFrame:
     """(by, rep): mean over the batch's long enough examples, 0 if there are none."""
     mean = F.coalesce(F.avg("score"), F.lit(0.0))
-    return _repetition_rows(examples, cfg, by).groupBy(by).agg(mean.alias("rep"))
+    names = _names(by)
+    return _repetition_rows(examples, cfg, *names).groupBy(*names).agg(mean.alias("rep"))
 
 
 def combined(
     examples: DataFrame,
     losses: DataFrame,
-    by: str,
+    by: By,
     cfg: ScoreConfig = ScoreConfig(),
     key: str = "example_id",
 ) -> DataFrame:
@@ -176,18 +212,19 @@ def combined(
     before its shuffle, so a batch of any size is fine. A part whose weight is 0
     is not computed and counts as 0.
     """
-    scored = score_tokens(examples, losses, (by,), cfg, key)
-    per_example = scored.groupBy(key, by).agg(
+    names = _names(by)
+    scored = score_tokens(examples, losses, names, cfg, key)
+    per_example = scored.groupBy(key, *names).agg(
         F.sum(F.col("loss") * F.col("weight")).alias("_loss"),
         F.count_if("target").alias("_n"),
         *_answer_parts(),
     )
     eff = _mean_efficiency(cfg) if cfg.efficiency_weight > 0 else F.lit(0.0)
     base = F.when(F.sum("_n") > 0, F.sum("_loss") / F.sum("_n")).otherwise(0.0)
-    parts = per_example.groupBy(by).agg(base.alias("base"), eff.alias("eff"))
+    parts = per_example.groupBy(*names).agg(base.alias("base"), eff.alias("eff"))
     if cfg.repetition_weight > 0:
-        means = repetition_batch(examples, by, cfg)
-        parts = parts.join(means, by, "full").fillna(0.0, ["base", "eff", "rep"])
+        means = repetition_batch(examples, names, cfg)
+        parts = parts.join(means, list(names), "full").fillna(0.0, ["base", "eff", "rep"])
     else:
         parts = parts.withColumn("rep", F.lit(0.0))
     total = (
@@ -195,4 +232,4 @@ def combined(
         + cfg.efficiency_weight * F.col("eff")
         + cfg.repetition_weight * F.col("rep")
     )
-    return parts.select(by, "base", "eff", "rep", total.alias("total"))
+    return parts.select(*names, "base", "eff", "rep", total.alias("total"))

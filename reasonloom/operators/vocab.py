@@ -63,6 +63,19 @@ def join_vocab(rows: DataFrame, vocab: DataFrame) -> DataFrame:
     return common.unionByName(rare.join(tail.hint("merge"), "token"))
 
 
+def join_counts(rows: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """Inner join of `rows` to (token, n, ...) on `token`, where `n` adds up to `total`.
+
+    At most 65,536 tokens hold one in 65,536 of the rows or more, so those of at most 1 KiB are
+    broadcast, whatever the data; rows of all others are shuffled. No ranking is needed.
+    """
+    common = (F.col("n") * HEAD_IDS >= total) & (F.octet_length("token") <= HEAD_BYTES)
+    head, tail = counts.filter(common), counts.filter(~common)
+    frequent = rows.join(F.broadcast(head), "token")
+    rare = rows.join(F.broadcast(head.select("token")), "token", "left_anti")
+    return frequent.unionByName(rare.join(tail.hint("merge"), "token"))
+
+
 def encode(rows: DataFrame, vocab: DataFrame) -> DataFrame:
     """Replace `token` by its `id`; a token outside the vocabulary is left out."""
     return join_vocab(rows, vocab.select("token", "id")).drop("token")

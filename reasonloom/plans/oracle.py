@@ -106,47 +106,51 @@ RESERVED = """reserved AS (
   SELECT * FROM (VALUES ('<pad>', 0), ('<think>', 1), ('</think>', 2),
                         ('<answer>', 3), ('</answer>', 4)) v(token, id))"""
 VOCAB = f"""{RESERVED},
-vocab AS (
+vocab AS MATERIALIZED (
   SELECT token, row_number() OVER (ORDER BY n DESC, token) + 4 AS id
   FROM (SELECT token, count(*) AS n FROM kept
         WHERE token NOT IN (SELECT token FROM reserved) GROUP BY token)
   UNION ALL SELECT token, CAST(id AS BIGINT) FROM reserved)"""
 
-SCORED = f"""usable AS (
+def scored_ctes(
+    batch: str = "k.example_id % 50 AS batch_id", by: str = "batch_id", joined: str = ""
+) -> str:
+    """`batch` computes the columns that name a batch, `by` lists their names."""
+    return f"""usable AS (
   SELECT k.* FROM masked k JOIN ex ON ex.example_id = k.example_id AND ex.status = 'ok'
   WHERE k.i >= 1),
 losses AS (
   SELECT token, -ln(count(*) / (SELECT count(*) FROM usable)) AS loss FROM usable GROUP BY token),
 scored AS (
-  SELECT k.example_id, k.example_id % 50 AS batch_id, k.i, k.token, l.loss,
+  SELECT k.example_id, {batch}, k.i, k.token, l.loss,
          k.loss_mask, k.think_mask, k.answer_mask,
          CASE WHEN NOT k.loss_mask THEN 0.0 WHEN k.token IN {TAG_LIST} THEN 10.0 ELSE 1.0 END AS w
-  FROM usable k JOIN losses l ON l.token = k.token),
+  FROM usable k JOIN losses l ON l.token = k.token {joined}),
 base AS (
-  SELECT batch_id, CASE WHEN count_if(loss_mask) > 0 THEN sum(loss * w) / count_if(loss_mask)
+  SELECT {by}, CASE WHEN count_if(loss_mask) > 0 THEN sum(loss * w) / count_if(loss_mask)
                         ELSE 0.0 END AS base
-  FROM scored GROUP BY batch_id),
+  FROM scored GROUP BY {by}),
 answers AS (
-  SELECT example_id, batch_id, count(*) AS n_ans, 1 / (1 + exp(-(avg(loss) - 0.5))) AS g
-  FROM scored WHERE answer_mask AND loss_mask GROUP BY example_id, batch_id),
+  SELECT example_id, {by}, count(*) AS n_ans, 1 / (1 + exp(-(avg(loss) - 0.5))) AS g
+  FROM scored WHERE answer_mask AND loss_mask GROUP BY example_id, {by}),
 eff AS (
-  SELECT example_id, batch_id, CAST(n_ans AS BIGINT) AS n_ans,
+  SELECT example_id, {by}, CAST(n_ans AS BIGINT) AS n_ans,
          -0.1 * (1 / (n_ans + 1e-6)) * (1 - g) + 0.1 * n_ans * g AS score
   FROM answers),
 thoughts AS (
-  SELECT example_id, batch_id, token,
+  SELECT example_id, {by}, token,
          row_number() OVER w AS r, lead(token, 1) OVER w AS t1,
          lead(token, 2) OVER w AS t2, lead(token, 3) OVER w AS t3,
          count(*) OVER (PARTITION BY example_id) AS n
   FROM scored WHERE think_mask AND loss_mask
   WINDOW w AS (PARTITION BY example_id ORDER BY i)),
 rep AS (
-  SELECT example_id, batch_id, CAST(count(*) AS BIGINT) AS n_grams,
+  SELECT example_id, {by}, CAST(count(*) AS BIGINT) AS n_grams,
          (count(*) - count(DISTINCT (token, t1, t2, t3))) / count(*) AS score
-  FROM thoughts WHERE n > 4 AND t3 IS NOT NULL GROUP BY example_id, batch_id)"""
+  FROM thoughts WHERE n > 4 AND t3 IS NOT NULL GROUP BY example_id, {by})"""
 
 EXAMPLE_PARTS = (REASONING, TEXTS, BOXES, TOKENS, KEPT)
-SCORE_PARTS = (*EXAMPLE_PARTS, SCORED)
+SCORE_PARTS = (*EXAMPLE_PARTS, scored_ctes())
 
 SHUFFLED = """(SELECT example_id, row_number() OVER (
     ORDER BY md5(concat('42:{epoch}:', example_id)), example_id) - 1 AS pos FROM reasoning)"""
@@ -357,6 +361,19 @@ ORACLE: dict[str, str] = {
         "CAST(sum(n_think) AS BIGINT) AS n_think, CAST(sum(n_ans) AS BIGINT) AS n_ans "
         "FROM batched JOIN ex USING (example_id) WHERE status = 'ok' GROUP BY shard, batch_id",
     ),
+    "batch_scores": _with(
+        *EXAMPLE_PARTS,
+        BATCHED,
+        scored_ctes(
+            "b.shard, b.batch_id", "shard, batch_id", "JOIN batched b ON b.example_id = k.example_id"
+        ),
+        "e AS (SELECT shard, batch_id, avg(score) AS eff FROM eff GROUP BY shard, batch_id)",
+        "r AS (SELECT shard, batch_id, avg(score) AS rep FROM rep GROUP BY shard, batch_id)",
+        final="SELECT shard, batch_id, round(base, 6) AS base, round(coalesce(eff, 0), 6) AS eff, "
+        "round(coalesce(rep, 0), 6) AS rep, "
+        "round(base + 0.1 * coalesce(eff, 0) + 0.05 * coalesce(rep, 0), 6) AS total "
+        "FROM base LEFT JOIN e USING (shard, batch_id) LEFT JOIN r USING (shard, batch_id)",
+    ),
     "token_ce": """SELECT vec_id, round(top + ln(list_sum(list_transform(embedding, lambda x:
         exp(CAST(x AS DOUBLE) - top)))) - CAST(embedding[label + 1] AS DOUBLE), 6) AS ce
         FROM (SELECT *, CAST(list_max(embedding) AS DOUBLE) AS top FROM embeddings)""",

@@ -379,10 +379,10 @@ def score_input_of(made: DataFrame) -> tuple[DataFrame, DataFrame]:
         "batch_id", F.col("example_id") % N_BATCHES
     )
     tokens = vocab.token_rows(usable).filter(F.col("i") >= 1)
-    words = vocab.build_vocab(tokens)
-    total = words.agg(F.sum("n")).first()[0]
-    losses = words.select("token", "id", (-F.log(F.col("n") / total)).alias("loss"))
-    rows = vocab.join_vocab(tokens, losses)
+    counts = write_once(tokens.groupBy("token").agg(F.count("*").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    losses = counts.select("token", "n", (-F.log(F.col("n") / total)).alias("loss"))
+    rows = vocab.join_counts(tokens, losses, total)
     return usable, rows.select("example_id", "i", "loss")
 
 
@@ -422,6 +422,16 @@ def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(result, "base", "eff", "rep", "total")
 
 
+def batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scores of the batches that shards of the shuffled corpus are cut into."""
+    usable, losses = score_input(spark, sf_dir)
+    keys = reasoning(spark, sf_dir).select("example_id")
+    batches = batching.assign_batches(batching.assign_shards(keys, 2, SEED), 4).drop("slot")
+    batched = usable.drop("batch_id").join(batches, "example_id")
+    result = scores.combined(batched, losses, ("shard", "batch_id"))
+    return _rounded(result, "base", "eff", "rep", "total")
+
+
 QUERIES: dict[str, Query] = {
     "src_parquet_dir": src_parquet_dir,
     "src_parquet_file": src_parquet_file,
@@ -477,4 +487,5 @@ QUERIES: dict[str, Query] = {
     "repetition": repetition,
     "repetition_batch": repetition_batch,
     "combined": combined,
+    "batch_scores": batch_scores,
 }

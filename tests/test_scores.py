@@ -127,3 +127,31 @@ def test_cross_entropy(spark):
     assert got[0] == pytest.approx(math.log(2))
     assert got[1] == pytest.approx(math.log(sum(math.exp(v - 2) for v in (0, 1, 2))))
     assert got[2] is None
+
+
+def test_batches_of_several_columns(spark):
+    rows = made(spark, [r"\boxed{7}", r"\boxed{1 2 3 4}", r"\boxed{5}", "no answer"])
+    rows = rows.withColumn("shard", (F.col("example_id") > 1).cast("long"))
+    given = constant_losses(rows, 0.5)
+    got = scores.combined(rows, given, ("shard", "batch_id"))
+    assert got.columns == ["shard", "batch_id", "base", "eff", "rep", "total"]
+    assert sorted((r.shard, r.batch_id) for r in got.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    one = {r.batch_id: r.base for r in scores.combined(rows.filter("shard = 0"), given, "batch_id").collect()}
+    assert {r.batch_id: r.base for r in got.filter("shard = 0").collect()} == one
+
+
+def test_loss_gaps(spark):
+    rows = made(spark, [r"\boxed{7}", r"\boxed{1 2}", r"\boxed{3}", r"\boxed{4}"])
+    given = constant_losses(rows, 0.5)
+    assert scores.loss_gaps(rows, given).isEmpty()
+    cut = given.filter("NOT (example_id = 0 AND i = 2) AND example_id <> 3")
+    cut = cut.unionByName(given.filter("example_id = 1 AND i IN (1, 3)"))
+    cut = cut.withColumn("loss", F.expr("CASE WHEN example_id = 2 AND i = 1 THEN NULL ELSE loss END"))
+    n_tok = {r.example_id: r.n_tok for r in rows.collect()}
+    got = {r.example_id: tuple(r)[1:] for r in scores.loss_gaps(rows, cut).collect()}
+    assert got == {
+        0: (n_tok[0] - 1, 1, 0, 0),
+        1: (n_tok[1] - 1, 0, 2, 0),
+        2: (n_tok[2] - 1, 0, 0, 1),
+        3: (n_tok[3] - 1, n_tok[3] - 1, 0, 0),
+    }
