@@ -10,9 +10,17 @@ from reasonloom.operators.curate import CurateConfig, curate_files, funnel, read
 from reasonloom.operators.examples import DEFAULT_SYSTEM_PROMPT, ExampleConfig, build_examples
 from reasonloom.sources.files import sample_files
 from reasonloom.sources.paths import list_source_files
-from reasonloom.sources.readers import read_corpus, read_parquet_dir, with_source_file
+from reasonloom.sources.readers import (
+    ABSENT,
+    only_below,
+    read_corpus,
+    read_differing,
+    skipped_files,
+)
 from reasonloom.sources.sink import write_filtered
 
+SKIP = "leave out unreadable and damaged files, and name them"
+
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="reasonloom")
@@ -24,13 +32,16 @@ def _parser() -> argparse.ArgumentParser:
         job.add_argument("target_dir")
         job.add_argument("--max_len", type=int, default=2048)
         job.add_argument("--pass_rate", type=float, default=0.8)
+        job.add_argument("--skip_corrupt", action="store_true", help=SKIP)
 
+    # The names and defaults of these options.
     job = jobs.add_parser("sample", help="take whole files at random")
     job.add_argument("--source_dir", required=True)
     job.add_argument("--target_dir", required=True)
     job.add_argument("--sample_ratio", type=float)
     job.add_argument("--sample_count", type=int)
     job.add_argument("--seed", type=int, default=42)
+    job.add_argument("--skip_corrupt", action="store_true", help=SKIP)
 
     job = jobs.add_parser("examples", help="build training examples with a status per row")
     job.add_argument("source")
@@ -40,29 +51,37 @@ def _parser() -> argparse.ArgumentParser:
     return parser
 
 
+def _say_skipped(spark: SparkSession, root: str) -> None:
+    """Name the files that a skipping job left out, with the rows they promise."""
+    left_out = skipped_files(spark, root, recursive=only_below(spark, root))
+    for row in left_out.toLocalIterator():
+        print(f"skipped {row['path']}: {row['rows_read']} of {row['rows_promised']} rows readable")
+
+
 def main(argv: list[str] | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"reasonloom-{args.job}").getOrCreate()
     if args.job == "curate":
         cfg = CurateConfig(args.max_len, args.pass_rate)
-        curate_files(spark, args.source_dir, args.target_dir, cfg)
+        curate_files(spark, args.source_dir, args.target_dir, cfg, args.skip_corrupt)
     elif args.job == "report":
         cfg = CurateConfig(args.max_len, args.pass_rate)
-        rows = funnel(read_files(spark, args.source_dir), cfg)
+        rows = funnel(read_files(spark, args.source_dir, args.skip_corrupt), cfg)
         rows.write.mode("overwrite").parquet(args.target_dir)
     elif args.job == "sample":
         ratio = args.sample_ratio
         if ratio is None and args.sample_count is None:
             ratio = 0.1
-        rows = with_source_file(read_parquet_dir(spark, args.source_dir), args.source_dir)
+        rows = read_differing(spark, args.source_dir, skip_corrupt=args.skip_corrupt).drop(ABSENT)
         listing = list_source_files(spark, args.source_dir)
-        rows = rows.drop("row_in_file")
         chosen = sample_files(rows, ratio, args.sample_count, args.seed, listing=listing)
         write_filtered(chosen, args.target_dir)
     else:
         cfg = ExampleConfig(args.max_length, args.system_prompt)
         rows = build_examples(read_corpus(spark, args.source), cfg)
         rows.write.mode("overwrite").parquet(args.target_dir)
+    if getattr(args, "skip_corrupt", False):
+        _say_skipped(spark, args.source_dir)
 
 
 if __name__ == "__main__":

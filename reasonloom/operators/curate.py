@@ -5,20 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from reasonloom.functions.text import to_number, token_count, word_count_bound
-from reasonloom.sources.paths import relative_path, scanned_path
-from reasonloom.sources.readers import corpus_reader, only_below
+from reasonloom.sources.readers import ABSENT, only_below, read_differing
 from reasonloom.sources.sink import write_filtered
 
 NO_ANSWER = "no_answer_extracted"  # fixed value
 TYPE, RATE = "problem_type", "pass_rate_72b_tir"
 TEXTS = ("problem", "generated_solution")
-# What a row of a file without the column reads as; no text holds a NUL.
-ABSENT = "\x00absent"
 
 
 @dataclass(frozen=True)
@@ -34,8 +30,9 @@ class CurateConfig:
             raise ValueError("pass_rate must lie between 0 and 1")
 
 
-def _absent(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("string") == ABSENT, F.lit(False))
+def _absent(df: DataFrame, name: str) -> Column:
+    """Whether a row's file does not have a column; false where nothing is known of files."""
+    return F.array_contains(ABSENT, name) if ABSENT in df.columns else F.lit(False)
 
 
 def has_answer() -> Column:
@@ -66,11 +63,11 @@ def _steps(df: DataFrame, cfg: CurateConfig) -> list[Column]:
         raise ValueError(f"the corpus has no column {TYPE}")
     steps = [has_answer()]
     if RATE in df.columns:
-        steps.append(_absent(RATE) | high_pass_rate(cfg.pass_rate))
+        steps.append(_absent(df, RATE) | high_pass_rate(cfg.pass_rate))
     else:
         steps.append(F.lit(True))
     if all(c in df.columns for c in TEXTS):
-        steps.append(_absent(TEXTS[0]) | _absent(TEXTS[1]) | short_enough(cfg))
+        steps.append(_absent(df, TEXTS[0]) | _absent(df, TEXTS[1]) | short_enough(cfg))
     else:
         steps.append(F.lit(True))
     return steps
@@ -108,37 +105,21 @@ def funnel(df: DataFrame, cfg: CurateConfig = CurateConfig(), by: str = "source_
     )
 
 
-def read_files(spark: SparkSession, root: str, skip_corrupt: bool = True) -> DataFrame:
-    """Corpus files whose columns may differ, with `source_file`.
+def read_files(spark: SparkSession, root: str, skip_corrupt: bool = False) -> DataFrame:
+    """Corpus files below `root` whose columns and types may differ, with `source_file`.
 
-    A merged schema alone would turn a column that a file does not have into
-    nulls, and the pass-rate step would drop that file. A default for missing
-    columns marks such rows instead, in one scan, whatever the number of files.
+    `_absent` lists the columns that a row's file does not have, so that the steps on them keep
+    the row, whatever the column's type elsewhere.
     """
-    recursive = only_below(spark, root)
-
-    def reader() -> DataFrameReader:
-        return corpus_reader(spark, recursive).option("ignoreCorruptFiles", skip_corrupt)
-
-    merged = reader().option("mergeSchema", True).parquet(root).schema
-
-    def marked(field: StructField) -> StructField:
-        if field.name not in (RATE, *TEXTS) or field.dataType != StringType():
-            return field
-        return StructField(field.name, field.dataType, True, {"EXISTS_DEFAULT": f"'{ABSENT}'"})
-
-    rows = reader().schema(StructType([marked(f) for f in merged.fields])).parquet(root)
-    return rows.select("*", relative_path(scanned_path(), root).alias("source_file"))
-
-
-def unmark(df: DataFrame) -> DataFrame:
-    """Absent columns become null."""
-    found = [c for c in (RATE, *TEXTS) if c in df.columns]
-    return df.withColumns({c: F.when(~_absent(c), F.col(c)) for c in found})
+    return read_differing(spark, root, only_below(spark, root), skip_corrupt)
 
 
 def curate_files(
-    spark: SparkSession, root: str, out: str, cfg: CurateConfig = CurateConfig()
+    spark: SparkSession,
+    root: str,
+    out: str,
+    cfg: CurateConfig = CurateConfig(),
+    skip_corrupt: bool = False,
 ) -> None:
     """Read every file below `root`, curate, and write one folder per source file."""
-    write_filtered(unmark(curate(read_files(spark, root), cfg)), out)
+    write_filtered(curate(read_files(spark, root, skip_corrupt), cfg).drop(ABSENT), out)

@@ -63,7 +63,11 @@ POSITION_COLUMNS = (
 
 @dataclass(frozen=True)
 class ExampleConfig:
-    """`tokenizer` replaces the built-in one: text -> (token, start, end), in text order."""
+    """`tokenizer` replaces the built-in one: text -> (token, start, end), in text order.
+
+    It may add special tokens, of empty spans, to every text it gets; `bos_token` names the one it
+    puts first, which then counts before the target. Prompts are measured without them.
+    """
 
     max_length: int = 1024
     system_prompt: str | None = None
@@ -88,17 +92,37 @@ def render_prompt(df: DataFrame, system_prompt: str | None = None) -> DataFrame:
     )
 
 
-def spans_udf(tokenizer: Tokenizer) -> Callable[[Column], Column]:
+def spans_udf(tokenizer: Tokenizer, most: int) -> Callable[[Column], Column]:
+    """The first `most` spans of a text; what lies beyond does not leave the Python worker."""
+
     @pandas_udf(SPANS)
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(
-                lambda text: [dict(zip(("token", "s", "e"), span)) for span in tokenizer(text)]
+                lambda text: [
+                    dict(zip(("token", "s", "e"), span)) for span in tokenizer(text)[:most]
+                ]
             )
 
     return spans
 
 
+def count_udf(tokenizer: Tokenizer, bos_token: str | None) -> Callable[[Column], Column]:
+    """How many tokens a text has without special ones: those of no text, and a first BOS."""
+
+    @pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(
+                lambda text: sum(
+                    e > s and not (k == 0 and token == bos_token)
+                    for k, (token, s, e) in enumerate(tokenizer(text))
+                )
+            ).astype("int32")
+
+    return count
+
+
 def _tokens_by_section(df: DataFrame) -> DataFrame:
     """Tokenize prompt, text before, inside and after the boxed answer one by one.
 
@@ -139,13 +163,11 @@ def _tokens_by_section(df: DataFrame) -> DataFrame:
 
 def _tokens_by_spans(df: DataFrame, cfg: ExampleConfig) -> DataFrame:
     """The caller's tokenizer: the answer tokens are those whose span lies in the box."""
-    spans = spans_udf(cfg.tokenizer)
+    spans = spans_udf(cfg.tokenizer, cfg.max_length)
+    count = count_udf(cfg.tokenizer, cfg.bos_token)
     full = F.concat("_prompt", "_solution")
     cut = T.with_boxed_answer(df, "_solution").withColumns(
-        {
-            "_spans": F.slice(spans(full), 1, cfg.max_length),
-            "_n_prompt": F.size(spans(F.col("_prompt"))),
-        }
+        {"_spans": spans(full), "_n_prompt": count(F.col("_prompt"))}
     )
     bos = F.lit(0)
     if cfg.bos_token is not None:
@@ -171,7 +193,7 @@ def _tokens_by_spans(df: DataFrame, cfg: ExampleConfig) -> DataFrame:
     return placed.withColumn("_in", inside).withColumns(
         {
             "_all": F.transform("_spans", lambda x: x["token"]),
-            "_lo": F.array_position("_in", True).cast("int") - 1,
+            "_lo": F.greatest(F.array_position("_in", True).cast("int") - 1, F.lit(0)),
             "_n_answer": F.size(F.filter("_in", lambda x: x)),
         }
     )

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -27,39 +31,134 @@ CORPUS_SCHEMA = StructType([StructField(c, StringType()) for c in CORPUS_COLUMNS
 CORRUPT = "_corrupt_record"
 
 
-def _load(reader: DataFrameReader, path: str, skip_corrupt: bool) -> DataFrame:
+def file_report(rows: DataFrame) -> DataFrame:
+    """(path, rows_promised, rows_read) of the scanned files: by their footers, and decoded.
+
+    For rows read with `ignoreCorruptFiles`, under which a damaged file gives only the rows
+    before the damage. A file whose footer is unreadable is not listed.
+    """
+    named = rows.withColumn("path", scanned_path())
+    promised = named.groupBy("path").agg(F.count("*").alias("rows_promised"))
+    # the hash of all columns is asked for, so that all of them are decoded
+    everything = F.max(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+    decoded = F.when(everything.isNotNull(), F.count("*")).otherwise(0)
+    read = named.groupBy(F.col("path").alias("_path")).agg(decoded.alias("_read"))
+    both = promised.join(read, F.col("path") == F.col("_path"), "left")
+    n_read = F.coalesce("_read", F.lit(0)).cast("long")
+    return both.select("path", "rows_promised", n_read.alias("rows_read"))
+
+
+def _damaged() -> Column:
+    return F.col("rows_read") < F.col("rows_promised")
+
+
+def _load(reader: DataFrameReader, path: str | list[str], skip_corrupt: bool) -> DataFrame:
     """Read Parquet; nothing readable gives an empty corpus.
 
-    Spark takes any read error of a file for corruption if it may skip. Where
-    storage itself may fail, read with `skip_corrupt=False`, which stops instead.
+    Strict unless told otherwise: a read error stops the job. With `skip_corrupt` a file is used
+    whole or not at all, which costs one more read of everything: under Spark's own option a
+    damaged file would give part of its rows, and a passing storage error would look like damage.
     """
+    paths = [path] if isinstance(path, str) else path
     try:
-        return reader.option("ignoreCorruptFiles", skip_corrupt).parquet(path)
+        if not skip_corrupt:
+            return reader.option("ignoreCorruptFiles", False).parquet(*paths)
+        rows = reader.option("ignoreCorruptFiles", True).parquet(*paths)
     except AnalysisException as error:
         if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
             raise
         return SparkSession.active().createDataFrame([], CORPUS_SCHEMA)
+    # names of damaged files only: there are few, or the corpus is not worth reading
+    damaged = [r["path"] for r in file_report(rows).filter(_damaged()).collect()]
+    return rows.filter(~scanned_path().isin(damaged)) if damaged else rows
 
 
 def read_parquet_dir(
-    spark: SparkSession, path: str, pattern: str = "*.parquet", skip_corrupt: bool = True
+    spark: SparkSession, path: str, pattern: str = "*.parquet", skip_corrupt: bool = False
 ) -> DataFrame:
     """Files at the top level of a folder. `skipped_files` tells which gave no rows."""
     return _load(spark.read.option("pathGlobFilter", pattern), path, skip_corrupt)
 
 
-def read_parquet_file(spark: SparkSession, path: str, skip_corrupt: bool = True) -> DataFrame:
+def read_parquet_file(spark: SparkSession, path: str, skip_corrupt: bool = False) -> DataFrame:
     return _load(spark.read, path, skip_corrupt)
 
 
-def skipped_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """(path, length) of the files that are unreadable or hold no rows."""
-    listed = list_files(spark, path, pattern).withColumn("path", plain_path(F.col("path")))
-    rows = read_parquet_dir(spark, path, pattern)
-    if not rows.inputFiles():
-        return listed
-    seen = rows.select(scanned_path().alias("path")).distinct()
-    return listed.join(seen, "path", "left_anti")
+def skipped_files(
+    spark: SparkSession, path: str, pattern: str = "*.parquet", recursive: bool = False
+) -> DataFrame:
+    """(path, length, rows_promised, rows_read) of the files that a skipping read leaves out.
+
+    These are files with an unreadable footer (no row numbers), damaged ones, and empty ones.
+    """
+    listed = list_files(spark, path, pattern, recursive).withColumn("path", plain_path(F.col("path")))
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
+    try:
+        rows = reader.option("ignoreCorruptFiles", True).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        none = F.lit(None).cast("long")
+        return listed.select("path", "length", none.alias("rows_promised"), none.alias("rows_read"))
+    report = listed.join(file_report(rows), "path", "left")
+    left_out = F.col("rows_promised").isNull() | (F.col("rows_promised") == 0) | _damaged()
+    return report.filter(left_out).select("path", "length", "rows_promised", "rows_read")
+
+
+ABSENT = "_absent"  # the column that lists what a row's file does not have
+
+
+def _glob_free(path: str) -> str:
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def _schema_of(spark: SparkSession, path: str, skip_corrupt: bool) -> StructType | None:
+    try:
+        return spark.read.parquet(_glob_free(path)).schema
+    except Exception:
+        if skip_corrupt:
+            return None
+        raise
+
+
+def read_differing(
+    spark: SparkSession,
+    root: str,
+    recursive: bool = False,
+    skip_corrupt: bool = False,
+    watched: tuple[str, ...] = CORPUS_COLUMNS,
+) -> DataFrame:
+    """Files of a folder whose columns or types may differ, with `source_file`.
+
+    One read per distinct set of columns and types, whatever the number of files; footers are read
+    by a few threads. A column that a file does not have is null in its rows; those of `watched`
+    are listed in the array `_absent`. A column whose type differs between files is text.
+    """
+    paths = [r["path"] for r in list_files(spark, root, recursive=recursive).collect()]
+    with ThreadPoolExecutor(16) as pool:
+        schemas = list(pool.map(lambda p: _schema_of(spark, p, skip_corrupt), paths))
+    groups: dict[str, tuple[StructType, list[str]]] = {}
+    for path, schema in zip(paths, schemas, strict=True):
+        if schema is not None:
+            key = str(sorted((f.name, f.dataType.simpleString()) for f in schema))
+            groups.setdefault(key, (schema, []))[1].append(_glob_free(path))
+    types: dict[str, set[str]] = {}
+    for schema, _ in groups.values():
+        for f in schema:
+            types.setdefault(f.name, set()).add(f.dataType.simpleString())
+    mixed = {name for name, kinds in types.items() if len(kinds) > 1}
+    parts = []
+    for schema, members in groups.values():
+        rows = _load(spark.read.schema(schema), members, skip_corrupt)
+        found = [F.col(f"`{c}`").cast("string").alias(c) if c in mixed else F.col(f"`{c}`") for c in schema.names]
+        absent = F.array(*[F.lit(c) for c in watched if c not in schema.names]).cast("array<string>")
+        named = relative_path(scanned_path(), root).alias("source_file")
+        parts.append(rows.select(*found, named, absent.alias(ABSENT)))
+    if not parts:
+        empty = spark.createDataFrame([], CORPUS_SCHEMA)
+        none = F.array().cast("array<string>").alias(ABSENT)
+        return empty.select("*", F.lit("").alias("source_file"), none)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def _parsed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -71,12 +170,24 @@ def _parsed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return computed_once(rows, "row").withColumn("bad", bad)
 
 
+def _whole_schema(spark: SparkSession, path: str) -> StructType:
+    """The corpus columns, then all others that the lines have, as text, in one more pass."""
+    keys = spark.read.text(path).select(F.explode(F.json_object_keys("value")).alias("key"))
+    others = [r["key"] for r in keys.distinct().orderBy("key").collect()]  # column names
+    fields = [StructField(k, StringType()) for k in others if k not in (*CORPUS_COLUMNS, CORRUPT)]
+    return StructType([*CORPUS_SCHEMA.fields, *fields])
+
+
 def read_jsonl(
-    spark: SparkSession, path: str, schema: StructType = CORPUS_SCHEMA
+    spark: SparkSession, path: str, schema: StructType | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad lines). Blank lines, broken text and non-objects are bad."""
+    """(good rows, bad lines). Blank lines, broken text and non-objects are bad.
+
+    Without a schema all columns that occur are kept as text, objects and lists as JSON.
+    """
+    schema = schema or _whole_schema(spark, path)
     parsed = _parsed(spark, path, schema)
-    good = parsed.filter(~F.col("bad")).select(*[f"row.{f.name}" for f in schema.fields])
+    good = parsed.filter(~F.col("bad")).select(*[f"row.`{f.name}`" for f in schema.fields])
     return good, parsed.filter("bad").select("value")
 
 
@@ -89,14 +200,20 @@ def count_jsonl(
     )
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Choose the source: a folder first, then .jsonl / .json, then .parquet."""
+def read_corpus(spark: SparkSession, path: str, skip_corrupt: bool = False) -> DataFrame:
+    """Choose the source: a folder first, then .jsonl / .json, then .parquet.
+
+    Files of a folder may differ; a corpus column that none of them has is null. `count_jsonl`
+    tells how many lines of a JSON source are left out.
+    """
     if is_directory(spark, path):
-        return read_parquet_dir(spark, path)
+        rows = read_differing(spark, path, skip_corrupt=skip_corrupt).drop(ABSENT, "source_file")
+        missing = [c for c in CORPUS_COLUMNS if c not in rows.columns and c != CORPUS_COLUMNS[2]]
+        return rows.withColumns({c: F.lit(None).cast("string") for c in missing})
     if path.endswith((".jsonl", ".json")):
         return read_jsonl(spark, path)[0]
     if path.endswith(".parquet"):
-        return read_parquet_file(spark, path)
+        return read_parquet_file(spark, path, skip_corrupt)
     raise ValueError(f"unsupported path: {path}")
 
 
@@ -110,12 +227,12 @@ def corpus_reader(spark: SparkSession, recursive: bool) -> DataFrameReader:
     return reader.option("recursiveFileLookup", recursive)
 
 
-def discover(spark: SparkSession, root: str, skip_corrupt: bool = True) -> DataFrame:
+def discover(spark: SparkSession, root: str, skip_corrupt: bool = False) -> DataFrame:
     """Top level of a folder, or everything below it if the top level has no file."""
     return _load(corpus_reader(spark, only_below(spark, root)), root, skip_corrupt)
 
 
-def read_glob(spark: SparkSession, pattern: str, skip_corrupt: bool = True) -> DataFrame:
+def read_glob(spark: SparkSession, pattern: str, skip_corrupt: bool = False) -> DataFrame:
     return _load(spark.read, pattern, skip_corrupt)
 
 

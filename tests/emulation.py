@@ -12,6 +12,17 @@ def spans(text):
     ]
 
 
+def box_place(solution):
+    """First and last place of what stands in the first box that is closed; -1 without one."""
+    mark = "\\boxed{"
+    low = solution.find(mark)
+    if low < 0:
+        return -1, -1
+    low += len(mark)
+    high = solution.find("}", low)
+    return (low, high) if high >= 0 else (-1, -1)
+
+
 def example(problem, solution, length, system_prompt=None):
     head = f"{system_prompt}\n" if system_prompt else ""
     prompt = f"{head}Question: {problem or ''}\n"
@@ -31,10 +42,10 @@ def example(problem, solution, length, system_prompt=None):
             status = "think_unclosed"
     elif closes:
         status = "think_orphan_end"
-    box = regex.search(r"\\boxed{(.*?)}", solution, regex.DOTALL)
+    low, high = box_place(solution)
     answer = []
-    if box:
-        low, high = (len(prompt) + edge for edge in box.span(1))
+    if low >= 0:
+        low, high = low + len(prompt), high + len(prompt)
         answer = [i for i in target if tokens[i][1] >= low and tokens[i][2] <= high]
         if status == "ok" and not answer:
             status = "answer_unmapped"

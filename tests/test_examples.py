@@ -1,6 +1,7 @@
 """Golden numbers, edge rows, and an independent emulation of the example rules."""
 
 import random
+import sys
 
 import pytest
 from pyspark import cloudpickle
@@ -13,7 +14,9 @@ from reasonloom.operators import batching, examples, scores, spans, vocab
 from reasonloom.plans import queries
 from reasonloom.plans.reasoning import SYSTEM_PROMPT, reasoning
 
-cloudpickle.register_pickle_by_value(emulation)  # the tokenizer runs in Spark's workers
+# the tokenizers run in Spark's workers
+cloudpickle.register_pickle_by_value(emulation)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CFG = examples.ExampleConfig(max_length=256, system_prompt=SYSTEM_PROMPT)
 COLUMNS = "example_id long, problem string, generated_solution string"
 
@@ -98,30 +101,38 @@ def test_callers_tokenizer_gives_the_same_examples(edge_rows):
             assert (a.answer_lo, a.answer_hi) == (b.answer_lo, b.answer_hi)
 
 
-def test_bos_token_moves_the_target(edge_rows):
-    def with_bos(text):
-        start = [("<s>", 0, 0)] if text.startswith("You") and "boxed" in text else []
-        return start + emulation.spans(text)
+def with_specials(text):
+    """A tokenizer that puts special tokens around every text."""
+    return [("<s>", 0, 0), *emulation.spans(text), ("</s>", len(text), len(text))]
 
-    cfg = examples.ExampleConfig(256, SYSTEM_PROMPT, with_bos, "<s>")
-    row = examples.build_examples(edge_rows.filter("example_id = 0"), cfg).first()
-    plain = examples.build_examples(edge_rows.filter("example_id = 0"), CFG).first()
-    assert row.target_start == plain.target_start + 1
-    assert (row.n_think, row.n_ans, row.status) == (1, 1, "ok")
 
-
-def test_arrays(edge_rows):
-    made = examples.build_examples(edge_rows, CFG)
-    rows = examples.example_arrays(made, CFG).collect()
+def test_special_tokens_of_a_callers_tokenizer(edge_rows):
+    cfg = examples.ExampleConfig(256, SYSTEM_PROMPT, with_specials, "<s>")
+    made = examples.build_examples(edge_rows, cfg).collect()
+    for row in made:
+        wanted = emulation.example(row.problem, row.generated_solution, 255, SYSTEM_PROMPT)
+        assert row.tokens[:1] == ["<s>"]
+        assert [t for t in row.tokens[1:] if t != "</s>"] == wanted["tokens"]
+        assert row.target_start == wanted["start"] + 1
+        assert (row.n_think, row.n_ans) == (len(wanted["think"]), len(wanted["answer"]))
+        assert row.status == wanted["status"]
+
+
+@pytest.mark.parametrize("tokenizer, bos", [(None, None), (emulation.spans, None), (with_specials, "<s>")])
+def test_arrays(edge_rows, tokenizer, bos):
+    cfg = examples.ExampleConfig(256, SYSTEM_PROMPT, tokenizer, bos)
+    made = examples.build_examples(edge_rows, cfg)
+    rows = examples.example_arrays(made, cfg).collect()
     for row in rows:
         arrays = (row.input_ids, row.labels, row.loss_mask, row.answer_mask, row.think_mask)
-        assert {len(a) for a in arrays} == {256}
+        assert {len(a) for a in (*arrays, row.attention_mask)} == {256}
         assert row.labels == row.input_ids
         assert row.input_ids[: row.n_tok] == row.tokens
         assert set(row.input_ids[row.n_tok :]) <= {examples.PAD}
         assert sum(row.attention_mask) == row.n_tok
         assert sum(row.loss_mask) == row.n_tgt
         assert sum(row.think_mask) == row.n_think
+        assert sum(row.answer_mask) == row.n_ans
         for mask in (row.answer_mask, row.think_mask):
             assert all(target for inside, target in zip(mask, row.loss_mask) if inside)
 

@@ -40,6 +40,26 @@ def test_sample(spark, source, target):
     assert 0 < kept.count() < 200
 
 
+def test_sample_keeps_all_columns(spark, target):
+    source = tempfile.mkdtemp(prefix="reasonloom-differing-")
+    spark.range(3).selectExpr("'p' AS problem").coalesce(1).write.mode("append").parquet(source)
+    spark.range(4).selectExpr("'q' AS problem", "id AS level").coalesce(1).write.mode("append").parquet(source)
+    main(["sample", "--source_dir", source, "--target_dir", target, "--sample_ratio", "1.0"])
+    kept = spark.read.option("mergeSchema", True).parquet(target)
+    assert kept.count() == 7 and kept.filter("level IS NOT NULL").count() == 4
+
+
+def test_skipped_files_are_named(spark, target, capsys):
+    source = tempfile.mkdtemp(prefix="reasonloom-skipped-")
+    reasoning(spark, "/root/testdata/sf0.001").drop("source_file").coalesce(1).write.mode("append").parquet(source)
+    with open(f"{source}/bad.parquet", "w") as bad:
+        bad.write("junk")
+    main(["report", source, target, "--skip_corrupt"])
+    assert "bad.parquet" in capsys.readouterr().out
+    with pytest.raises(Exception):
+        main(["report", source, target])
+
+
 def test_examples(spark, source, target):
     main(["examples", source, target, "--max_length", "64"])
     rows = spark.read.parquet(target)

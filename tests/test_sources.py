@@ -50,7 +50,9 @@ def test_folder_with_good_empty_corrupt_and_foreign_files(spark, folder, put):
     put("sub/below.parquet", good(7))
     junk(folder)
     junk(folder, "notes.txt")
-    rows = readers.read_parquet_dir(spark, folder)
+    with pytest.raises(Exception):
+        readers.read_parquet_dir(spark, folder).count()
+    rows = readers.read_parquet_dir(spark, folder, skip_corrupt=True)
     assert rows.count() == 5
     skipped = {os.path.basename(r.path) for r in readers.skipped_files(spark, folder).collect()}
     assert skipped == {"bad.parquet", "empty.parquet"}
@@ -63,11 +65,30 @@ def test_a_corrupt_file_alone_fails_without_the_option(spark, folder):
     junk(folder)
     with pytest.raises(Exception):
         spark.read.parquet(folder).count()
-    assert readers.read_parquet_dir(spark, folder).count() == 0
-    assert readers.read_parquet_file(spark, f"{folder}/bad.parquet").count() == 0
+    assert readers.read_parquet_dir(spark, folder, skip_corrupt=True).count() == 0
+    assert readers.read_parquet_file(spark, f"{folder}/bad.parquet", skip_corrupt=True).count() == 0
     assert readers.skipped_files(spark, folder).count() == 1
     with pytest.raises(Exception):
-        readers.read_parquet_dir(spark, folder, skip_corrupt=False).count()
+        readers.read_parquet_dir(spark, folder).count()
+
+
+def test_a_damaged_file_is_used_whole_or_not_at_all(spark, folder, put):
+    put("good.parquet", good(3))
+    rows = [(f"{i} " * 40, "x " * (i % 50), "has_answer_extracted", "0.9") for i in range(4000)]
+    path = put("torn.parquet", rows)
+    with open(path, "r+b") as torn:  # a page in the middle, the footer stays
+        torn.seek(os.path.getsize(path) // 2)
+        torn.write(b"\x00" * 4000)
+    with pytest.raises(Exception):
+        readers.read_parquet_dir(spark, folder).select(F.max(F.xxhash64("*"))).collect()
+    kept = readers.read_parquet_dir(spark, folder, skip_corrupt=True)
+    assert kept.count() == 3 and kept.select(F.max(F.xxhash64("*"))).count() == 1
+    left_out = readers.skipped_files(spark, folder).collect()
+    assert [(os.path.basename(r.path), r.rows_promised) for r in left_out] == [("torn.parquet", 4000)]
+    assert left_out[0].rows_read < 4000
+    out = tempfile.mkdtemp(prefix="reasonloom-out-")
+    curate.curate_files(spark, folder, out, skip_corrupt=True)
+    assert spark.read.parquet(out).count() == 3
 
 
 def test_empty_folder_is_an_empty_corpus(spark, folder):
@@ -140,7 +161,7 @@ def test_files_with_different_columns(spark, folder, put):
     put("dropped.parquet", good(2, rate="0.0"))
     junk(folder)
     out = tempfile.mkdtemp(prefix="reasonloom-out-")
-    curate.curate_files(spark, folder, out)
+    curate.curate_files(spark, folder, out, skip_corrupt=True)
     kept = spark.read.parquet(out)
     got = {r.source_file: r["count"] for r in kept.groupBy("source_file").count().collect()}
     assert got == {"full.parquet": 3, "norate.parquet": 4, "notext.parquet": 1}
@@ -148,13 +169,40 @@ def test_files_with_different_columns(spark, folder, put):
     assert all(r.pass_rate_72b_tir is None for r in rows if r.source_file == "norate.parquet")
     assert all(r.problem is None for r in rows if r.source_file == "notext.parquet")
     assert not any("absent" in str(v) for r in rows for v in r)
-    funnel = {r.source_file: tuple(r)[1:] for r in curate.funnel(curate.read_files(spark, folder)).collect()}
+    funnel = {r.source_file: tuple(r)[1:] for r in curate.funnel(curate.read_files(spark, folder, skip_corrupt=True)).collect()}
     assert funnel["full.parquet"] == (6, 6, 3, 3)
     assert funnel["norate.parquet"] == (4, 4, 4, 4)
     assert funnel["notext.parquet"] == (2, 2, 1, 1)
     assert funnel["dropped.parquet"] == (2, 2, 0, 0)
 
 
+def test_pass_rates_of_differing_types(spark, folder, put):
+    put("text.parquet", good(2) + good(1, rate="0.1"))
+    put("number.parquet", [(*r[:3], 0.9) for r in good(3)] + [(*r[:3], 0.1) for r in good(4)],
+        FULL.rsplit(",", 1)[0] + ", pass_rate_72b_tir double")
+    put("absent.parquet", [r[:3] for r in good(5)], FULL.rsplit(",", 1)[0])
+    kept = curate.curate(curate.read_files(spark, folder))
+    got = {r.source_file: r["count"] for r in kept.groupBy("source_file").count().collect()}
+    assert got == {"text.parquet": 2, "number.parquet": 3, "absent.parquet": 5}
+
+
+def test_corpus_whose_first_file_lacks_a_column(spark, folder, put):
+    put("a.parquet", [("p", "has_answer_extracted")], "problem string, problem_type string")
+    put("b.parquet", good(2))
+    rows = readers.read_corpus(spark, folder)
+    assert rows.count() == 3
+    assert sorted(str(r.generated_solution) for r in rows.collect())[0] == "None"
+
+
+def test_other_json_columns_are_kept(spark, folder):
+    path = f"{folder}/x.jsonl"
+    with open(path, "w") as out:
+        out.write('{"problem": "p", "level": 3, "tags": ["a"]}\n{"problem": "q", "note": "n"}\n{oops\n')
+    rows = readers.read_corpus(spark, path)
+    got = {r.problem: (r.level, r.tags, r.note) for r in rows.collect()}
+    assert got == {"p": ("3", '["a"]', None), "q": (None, None, "n")}
+
+
 def test_column_absent_everywhere(spark):
     rows = spark.createDataFrame([r[:3] for r in good(2)], FULL.rsplit(",", 1)[0])
     assert curate.curate(rows).count() == 2
