@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reasonloom.llm.tokens import char_batches, shared_encoder
+from reasonloom.llm.tokens import arrow_rows, char_batches, shared_encoder
 
 MAGIC = b"BPLANES1"
 NO_ID = -(2**63)  # stands for a null document id inside a file
@@ -174,8 +174,7 @@ def write_ids(docs: DataFrame, folder: str, cfg: BinaryConfig) -> DataFrame:
         writer = None
         end = np.array([cfg.end_id], np.uint32)
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True)
-            for group in char_batches(rows):
+            for group in char_batches(arrow_rows(batch)):
                 if writer is None:
                     store.create_dir(root, recursive=True)
                     sink = store.open_output_stream(f"{root}/{name}")

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reasonloom.llm.tokens import arrow_rows
+
 Message = dict[str, str]
 Template = Callable[[list[Message]], str]
 
@@ -150,7 +152,7 @@ def format_conversations(
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_id, messages, out, chars = None, [], [], 0
         for batch in batches:
-            for conv_id, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv_id, role, text in arrow_rows(batch):
                 if messages and conv_id != open_id:
                     out.append(one(open_id, messages))
                     chars += len(out[-1][1])
@@ -187,7 +189,7 @@ def digest(formatted: DataFrame) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for conv_id, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv_id, text, spans in arrow_rows(batch):
                 turns, loss = parse_chatml(text), hashlib.sha256()
                 whole, chars = hashlib.sha256(), 0
                 for role, said in turns:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reasonloom.llm.tokens import char_batches
+from reasonloom.llm.tokens import arrow_rows, char_batches
 
 # Roles of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -261,8 +261,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            for group in char_batches(rows):
+            for group in char_batches(arrow_rows(batch)):
                 ids, urls, whole = zip(*group, strict=True)
                 texts = [extract(page) for page in whole]
                 columns = [

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reasonloom.llm.tokens import char_batches
+from reasonloom.llm.tokens import arrow_rows, char_batches, release_words
 from reasonloom.session import write_once
 
 UNKNOWN = "und"
@@ -272,9 +272,9 @@ def predict(docs: DataFrame, model: LangModel, cfg: LangConfig | None = None) ->
     cfg = cfg or LangConfig()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_words()
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            for group in char_batches(rows):
+            for group in char_batches(arrow_rows(batch)):
                 ids, held, texts = zip(*group, strict=True)
                 words = [WORD.findall(t.lower()) if t else [] for t in texts]
                 found = [model.summary(w, p) for w, p in zip(words, model.label(words), strict=True)]
@@ -299,10 +299,10 @@ def spans(docs: DataFrame, model: LangModel) -> DataFrame:
     """doc_id and the text's spans: start and end in code points, and the language."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_words()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            for group in char_batches(rows):
+            for group in char_batches(arrow_rows(batch)):
                 found = [list(WORD.finditer(t or "")) for _, t in group]
                 labels = model.label([[m.group().lower() for m in ms] for ms in found])
                 out = [_runs(ms, p, model.langs) for ms, p in zip(found, labels, strict=True)]

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from reasonloom.llm.columns import fresh
 from reasonloom.llm.components import components
-from reasonloom.llm.tokens import char_batches
+from reasonloom.llm.tokens import arrow_rows, char_batches, release_words
 from reasonloom.session import write_once
 
 WORD = re.compile(r"\w+")
@@ -123,18 +123,15 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def _text_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    return zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-
 def signatures(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
     """doc_id, row_key, set_id (null without words), n_grams, band values; a row per document."""
     bands, rows = choose_bands(cfg)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_words()
         shingler, minhash = Shingler(cfg.n), MinHash(bands, rows)
         for batch in batches:
-            for group in char_batches(_text_rows(batch)):
+            for group in char_batches(arrow_rows(batch)):
                 ids, sizes, values = [], [], []
                 for *_, text in group:
                     grams = shingler.grams(text)
@@ -173,9 +170,10 @@ def _grams_of(rows: DataFrame, cfg: JoinConfig) -> DataFrame:
     """set_id, cluster, copies, n_blocks, text -> the same with the n-gram set for the text."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_words()
         shingler = Shingler(cfg.n)
         for batch in batches:
-            for group in char_batches(_text_rows(batch)):
+            for group in char_batches(arrow_rows(batch)):
                 columns = [
                     pa.array([row[k] for row in group], pa.int64()) for k in range(4)
                 ]

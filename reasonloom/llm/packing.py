@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reasonloom.llm.tokens import char_batches, shared_encoder
+from reasonloom.llm.tokens import arrow_rows, char_batches, shared_encoder
 from reasonloom.session import write_once
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -43,8 +43,7 @@ def cut_documents(docs: DataFrame, cfg: PackConfig) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(cfg.tokenizer)
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True)
-            for group in char_batches(rows):
+            for group in char_batches(arrow_rows(batch)):
                 out = []
                 texts = [text for _, text in group]
                 for (doc_id, _), ids in zip(group, encoder.encode(texts), strict=True):
@@ -91,14 +90,16 @@ def _pairs(items: list[int], lengths: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 class LocalSearch:
-    """Exchanges between the emptiest bin and the other underfull ones.
+    """Exchanges between underfull bins, ids moving out of the emptier one.
 
     Moving d ids from a bin of fill f to one of fill g changes the sum of squared fills by
-    2d(g - f + d), so with the emptiest bin as the source every exchange that moves ids into
-    another bin increases it. The most is moved first. A bin that no exchange can lower is
-    set aside, so the search ends; it also ends at the least number of bins there can be.
+    2d(g - f + d); only exchanges that increase it are made, the most ids first, from the emptiest
+    bin that has one. The search ends when no bin has one, at the least number of bins there can
+    be, or after `TRIES` looks a bin: what was reached by then is a packing as well.
     """
 
+    TRIES = 30
+
     def __init__(self, lengths: np.ndarray, bins: list[list[int]], size: int):
         self.lengths, self.size = lengths, size
         self.bins = bins
@@ -111,15 +112,19 @@ class LocalSearch:
     def run(self) -> list[list[int]]:
         stuck: set[int] = set()
         filled = sum(map(bool, self.bins))
-        while filled > self.least:
-            order = [k for k in np.argsort(-self.room).tolist() if self.bins[k] and k not in stuck]
-            if not order or self.room[order[0]] == 0:
+        for _ in range(self.TRIES * filled):
+            if filled <= self.least:
+                break
+            room = self.room.copy()
+            room[[k for k, items in enumerate(self.bins) if not items or k in stuck]] = 0
+            source = int(room.argmax())
+            if room[source] <= 0:
                 break
-            source = order[0]
             if not self._exchange(source):
                 stuck.add(source)
-            elif not self.bins[source]:
-                filled -= 1
+                continue
+            stuck.clear()
+            filled -= not self.bins[source]
         return [b for b in self.bins if b]
 
     def _exchange(self, source: int) -> bool:
@@ -129,19 +134,20 @@ class LocalSearch:
         room = self.room.copy()
         room[source] = -1
         room[[not b for b in self.bins]] = -1
+        # ids that a bin must gain at least for the squares to grow: none if it is the fuller one
+        need = np.maximum(room - self.room[source], 0)
         best: tuple[int, int, tuple, tuple] = (0, -1, (), ())
         tops = int(room.max()) if len(room) else -1
         if tops <= 0:
             return False
-        slack = room[self.place]
+        slack, least = room[self.place], need[self.place]
         for total, items in sorted(out, reverse=True):
-            if total <= tops:  # a move
-                if total > best[0]:
-                    fits = np.where(room >= total, room, self.size + 1)
+            if best[0] < total <= tops:  # a move
+                fits = np.where((room >= total) & (total > need), room, self.size + 1)
+                if fits.min() <= self.size:
                     best = (total, int(fits.argmin()), items, ())
-                continue
             moved = total - self.lengths
-            moved = np.where((moved > 0) & (moved <= slack), moved, 0)
+            moved = np.where((moved > least) & (moved <= slack), moved, 0)
             at = int(moved.argmax())
             if moved[at] > best[0]:
                 best = (int(moved[at]), int(self.place[at]), items, (at,))
@@ -151,7 +157,7 @@ class LocalSearch:
                     break
                 for two, a, b in _pairs(self.bins[k][:24], self.lengths):
                     for total, items in out[: len(self.bins[source])]:
-                        if best[0] < total - two <= room[k]:
+                        if max(best[0], need[k]) < total - two <= room[k]:
                             best = (total - two, k, items, (a, b))
         moved, target, items, back = best
         if moved <= 0:

@@ -9,6 +9,7 @@ from itertools import chain
 from operator import itemgetter
 
 import numpy as np
+import pyarrow as pa
 
 BATCH_CHARS = 2_000_000
 MAX_WORDS = 1_500_000
@@ -16,6 +17,13 @@ LAST = "\xff"  # of Latin-1
 MARKS = frozenset(",.;:!?|")
 
 
+def arrow_rows(batch: pa.RecordBatch, size: int = 256) -> Iterator[tuple]:
+    """The rows of an Arrow batch, of which only a slice at a time is made of Python objects."""
+    for start in range(0, batch.num_rows, size):
+        part = batch.slice(start, size)
+        yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+
 def char_batches(rows: Iterable[tuple], size: int = BATCH_CHARS) -> Iterator[list[tuple]]:
     """Group rows whose last item is a text, so that a group holds about `size` characters."""
     group, chars = [], 0
@@ -44,8 +52,8 @@ class WordEncoder:
     That holds for `word_bpe_49k.json`: it drops white space and splits at it, and its
     normalizations do not reach over a blank. It also folds case and splits letters from
     punctuation, so a Latin-1 word of letters with one mark behind it is the word and the mark. Words
-    repeat, so each is encoded once while it is remembered; the memory is emptied when it
-    would hold more than `max_words`.
+    repeat, so each is encoded once while it is remembered; when more than `max_words` would be
+    remembered, the words seen least are forgotten.
     """
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
@@ -60,14 +68,29 @@ class WordEncoder:
         self.index: dict[str, int] = {}
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
+        self.seen = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def _forget(self) -> None:
+        """Keep the words seen most, half of the memory at most."""
+        least = 2
+        while (self.seen >= least).sum() > self.max_words // 2:
+            least *= 2
+        kept = np.flatnonzero(self.seen >= least)
+        words, seen = list(self.index), self.seen[kept] // 2
+        ids, _ = self._ids(kept)
+        lengths = self.lengths[kept]
+        self._clear()
+        self._add([words[k] for k in kept.tolist()], ids, lengths)
+        self.seen[:] = seen
+
     def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         known = len(self.index)
         ends = np.cumsum(lengths) + len(self.flat)
         self.index.update(zip(words, range(known, known + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, ends - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
+        self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
         self.flat = np.concatenate([self.flat, ids])
 
     def _look_up(self, words: list[str]) -> np.ndarray:
@@ -101,11 +124,13 @@ class WordEncoder:
         words = list(chain.from_iterable(split))
         unknown = set(words).difference(self.index)
         if len(self.index) + len(unknown) > self.max_words:
-            self._clear()
-            unknown = set(words)
+            self._forget()
+            unknown = set(words).difference(self.index)
         if unknown:
             self._learn(unknown)
-        ids, ends = self._ids(self._look_up(words))
+        at = self._look_up(words)
+        self.seen += np.bincount(at, minlength=len(self.seen))
+        ids, ends = self._ids(at)
         text_ends = np.cumsum([len(text) for text in split], dtype=np.int64)
         cuts = np.concatenate([[0], ends])[text_ends] if len(split) else []
         return np.split(ids, cuts[:-1]) if len(split) else []
@@ -115,3 +140,8 @@ class WordEncoder:
 def shared_encoder(path: str) -> WordEncoder:
     """One encoder for all tasks that a Python worker runs, so that words stay remembered."""
     return WordEncoder(path)
+
+
+def release_words() -> None:
+    """Drop what `shared_encoder` remembers: for tasks of other work in the same Python worker."""
+    shared_encoder.cache_clear()

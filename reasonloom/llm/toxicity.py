@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reasonloom.llm.tokens import char_batches
+from reasonloom.llm.tokens import arrow_rows, char_batches, release_words
 from reasonloom.session import write_once
 
 # Insults, by language, in groups of which each is a voter.
@@ -51,7 +51,7 @@ PATTERNS = {
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6, 7)
 STEPS = (1, 2, 3, 5)  # numbers of words at which the classifier has a column of its own
-PLAIN_WORDS = 1_000_000
+PLAIN_WORDS = 400_000
 
 
 @dataclass(frozen=True)
@@ -303,9 +303,9 @@ def score(docs: DataFrame, model: ToxicModel, cfg: ToxicConfig | None = None) ->
     cfg = cfg or ToxicConfig()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_words()
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            for group in char_batches(rows):
+            for group in char_batches(arrow_rows(batch)):
                 ids, held, texts = zip(*group, strict=True)
                 columns = [
                     pa.array(ids, pa.int64()),
@@ -329,6 +329,7 @@ def keep_clean(docs: DataFrame, model: ToxicModel, cfg: ToxicConfig | None = Non
 
     @F.pandas_udf("double")
     def value(texts):
+        release_words()
         out = [model.scores([t for (t,) in group]) for group in char_batches((t,) for t in texts)]
         return texts.__class__(np.concatenate(out) if out else [], index=texts.index)
 
