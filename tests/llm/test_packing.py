@@ -1,0 +1,87 @@
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from reasonloom.llm import packing, queries
+from reasonloom.llm.tokens import WordEncoder, char_batches
+
+CFG = packing.PackConfig(queries.TOKENIZER)
+
+
+TOKENIZER = Tokenizer.from_file(queries.TOKENIZER)
+
+
+def plain_ids(text, end):
+    return np.array(TOKENIZER.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
+
+
+def check_places(rows, size=4096):
+    places = defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    for held in places.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert 0 < at <= size
+    return len(places)
+
+
+def test_every_piece_is_right_and_placed(spark, small_dir, small_documents):
+    rows = queries.op2_best_fit_packing(spark, small_dir).collect()
+    got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows}
+    wanted = {}
+    for doc in small_documents.collect():
+        ids = plain_ids(doc.text, 1)
+        for n, start in enumerate(range(0, len(ids), 4096)):
+            part = ids[start : start + 4096]
+            wanted[doc.doc_id, n] = (start, len(part), zlib.crc32(part.tobytes()))
+    assert got == wanted and len(rows) == len(wanted)
+    least = -(-sum(r.length for r in rows) // 4096)
+    assert check_places(rows) <= least + 1
+
+
+def test_local_search_beats_best_fit():
+    rng = np.random.default_rng(5)
+    gained = 0
+    for _ in range(40):
+        lengths = rng.integers(150, 700, 60)
+        first = packing.best_fit(lengths, 1000)
+        better = packing.pack_lengths(lengths, 1000)
+        assert sorted(i for b in better for i in b) == list(range(60))
+        assert all(lengths[b].sum() <= 1000 for b in better)
+        assert len(better) <= len(first)
+        gained += len(first) - len(better)
+    assert gained > 0
+
+
+@pytest.mark.parametrize("lengths", [[], [5], [1000, 1000], [600, 600, 400, 400], [1] * 3000])
+def test_small_cases(lengths):
+    bins = packing.pack_lengths(np.array(lengths, np.int64), 1000)
+    assert len(bins) == -(-sum(lengths) // 1000)
+
+
+def test_odd_rows(odd_documents):
+    rows = packing.pack(odd_documents, CFG).collect()
+    check_places(rows)
+    texts = [r.text for r in odd_documents.collect()]
+    assert sum(r.length for r in rows) == sum(len(plain_ids(t, 1)) for t in texts)
+    assert sum(r.piece == 0 for r in rows) == len(texts)
+    assert packing.pack(odd_documents.limit(0), CFG).count() == 0
+
+
+def test_words_give_the_ids_of_whole_texts():
+    encoder = WordEncoder(queries.TOKENIZER, max_words=40)  # forgets all the time
+    rng = np.random.default_rng(1)
+    parts = list("abTHE  \n.,;!?|'’\"<>-_01éÉßΣσİıŸñ\t\r \x1ć̇中😀") + [
+        "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'RE", "don't", "ΟΔΟΣ", "...",
+    ]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 50))) for _ in range(2000)] + [None, ""]
+    for group in char_batches([(t,) for t in texts], 3000):
+        batch = [t for (t,) in group]
+        for text, ids in zip(batch, encoder.encode(batch), strict=True):
+            assert ids.tolist() == TOKENIZER.encode(text or "", add_special_tokens=False).ids
