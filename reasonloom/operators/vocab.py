@@ -18,8 +18,10 @@ HEAD_IDS = 65_536
 HEAD_BYTES = 1024
 
 
-def token_rows(examples: DataFrame, key: str = "example_id") -> DataFrame:
-    return examples.select(key, F.posexplode("tokens").alias("i", "token"))
+def token_rows(
+    examples: DataFrame, key: str = "example_id", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    return examples.select(key, *carry, F.posexplode("tokens").alias("i", "token"))
 
 
 def build_vocab(tokens: DataFrame) -> DataFrame:
@@ -81,14 +83,25 @@ def encode(rows: DataFrame, vocab: DataFrame) -> DataFrame:
     return join_vocab(rows, vocab.select("token", "id")).drop("token")
 
 
-def encode_examples(examples: DataFrame, vocab: DataFrame, key: str = "example_id") -> DataFrame:
-    """Add `token_ids`, one array per example of at most `max_length` entries."""
-    ids = (
-        encode(token_rows(examples, key), vocab)
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("i", "id"))).alias("_ids"))
-        .select(key, F.col("_ids.id").alias("token_ids"))
-    )
-    return examples.join(ids, key, "left").withColumn(
-        "token_ids", F.coalesce("token_ids", F.array().cast("array<bigint>"))
-    )
+def encode_examples(
+    examples: DataFrame,
+    vocab: DataFrame,
+    key: str = "example_id",
+    carry: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """Add `token_ids`, one array per example of at most `max_length` entries.
+
+    With `carry` the result has the key, these columns and the ids only, from one shuffle by
+    example: the columns travel with every token, so they must be small. Otherwise the ids are
+    joined back to all columns. A token outside the vocabulary is left out.
+    """
+    names = [key, *(carry or ())]
+    rows = encode(token_rows(examples, key, tuple(names[1:])), vocab)
+    ordered = F.sort_array(F.collect_list(F.struct("i", "id")))
+    ids = rows.groupBy(*names).agg(ordered.alias("_ids"))
+    ids = ids.select(*names, F.col("_ids.id").alias("token_ids"))
+    none = F.array().cast("array<bigint>")
+    if carry is not None:
+        without = examples.filter(F.size("tokens") == 0).select(*names, none.alias("token_ids"))
+        return ids.unionByName(without)
+    return examples.join(ids, key, "left").withColumn("token_ids", F.coalesce("token_ids", none))

@@ -208,6 +208,17 @@ def _joined(first: int, pad: bool) -> str:
     )
 
 
+def _content(col: str) -> str:
+    return f"CAST(sum(CAST('0x' || substr(md5(coalesce({col}, '')), 1, 8) AS BIGINT)) AS BIGINT)"
+
+
+def _filled(value: str, pad: str) -> str:
+    """An example's entries in order, joined by blanks and filled up to the full length."""
+    return (
+        f"concat(string_agg({value}, ' ' ORDER BY i), repeat(' {pad}', {LENGTH} - CAST(count(*) AS INTEGER)))"
+    )
+
+
 def _sample(limit: str) -> str:
     return _with(
         REASONING,
@@ -222,9 +233,11 @@ ORACLE: dict[str, str] = {
     "src_discover": VOLUME,
     "src_split": VOLUME,
     "src_glob": VOLUME,
-    "src_jsonl": """SELECT count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0) AS n_good,
-        count(*) FILTER (doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0) AS n_bad FROM documents""",
-    "src_dispatch": """SELECT kind, count(*) AS n_rows FROM documents,
+    "src_jsonl": f"""SELECT CASE WHEN ok THEN 'good' ELSE 'bad' END AS kind, count(*) AS n_rows,
+        CASE WHEN ok THEN {_content("text")} ELSE 0 END AS content
+        FROM (SELECT *, doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 AS ok FROM documents)
+        GROUP BY ok""",
+    "src_dispatch": f"""SELECT kind, count(*) AS n_rows, {_content("text")} AS content FROM documents,
         (VALUES ('folder'), ('json lines'), ('parquet file')) v(kind) GROUP BY kind""",
     "path_select": r"""SELECT page_id, url FROM pages
         WHERE regexp_matches(url, '.*\.com/fr.*|.*/es/.*') AND NOT regexp_matches(url, 'ref=.*')""",
@@ -232,8 +245,8 @@ ORACLE: dict[str, str] = {
         string_split(url, '/')[-1] AS name FROM pages WHERE url IS NOT NULL""",
     "write_filtered": _with(
         REASONING,
-        final=f"SELECT source_file, count(*) AS n_rows FROM reasoning WHERE {ANSWERED} "
-        f"AND {RATE} > 0.8 AND {WORDS} <= 2048 GROUP BY source_file",
+        final=f"SELECT source_file, count(*) AS n_rows, {_content('generated_solution')} AS content "
+        f"FROM reasoning WHERE {ANSWERED} AND {RATE} > 0.8 AND {WORDS} <= 2048 GROUP BY source_file",
     ),
     "sample_files_count": _sample("3"),
     "sample_files_ratio": _sample("(SELECT greatest(1, floor(count(*) * 0.1)) FROM files)"),
@@ -317,10 +330,19 @@ ORACLE: dict[str, str] = {
     "example_arrays": _with(
         *EXAMPLE_PARTS,
         VOCAB,
-        "ids AS (SELECT example_id, CAST(sum(id) AS BIGINT) AS id_sum FROM kept "
-        "JOIN vocab USING (token) GROUP BY example_id)",
-        final=f"SELECT example_id, CAST({LENGTH} AS BIGINT) AS n, coalesce(id_sum, 0) AS id_sum, "
-        "n_tok, n_tgt, n_think, n_ans FROM ex LEFT JOIN ids USING (example_id)",
+        f"ids AS (SELECT example_id, {_filled('CAST(id AS VARCHAR)', '0')} AS input_ids "
+        "FROM kept JOIN vocab USING (token) GROUP BY example_id)",
+        f"masks AS (SELECT example_id, "
+        f"{_filled('CAST(CAST(loss_mask AS INTEGER) AS VARCHAR)', '0')} AS loss_mask, "
+        f"{_filled('CAST(think_mask AS VARCHAR)', 'false')} AS think_mask, "
+        f"{_filled('CAST(answer_mask AS VARCHAR)', 'false')} AS answer_mask "
+        "FROM masked GROUP BY example_id)",
+        final=f"SELECT example_id, CAST({LENGTH} AS BIGINT) AS n, "
+        + ", ".join(
+            f"md5({c}) AS {c}_md5" for c in ("input_ids", "loss_mask", "think_mask", "answer_mask")
+        )
+        + ", n_tok, n_tgt, n_think, n_ans FROM ex JOIN ids USING (example_id) "
+        "JOIN masks USING (example_id)",
     ),
     "vocab": _with(*EXAMPLE_PARTS, VOCAB, final="SELECT token, id FROM vocab"),
     "encode_ids": _with(
@@ -356,10 +378,18 @@ ORACLE: dict[str, str] = {
     ),
     "collate": _with(
         *EXAMPLE_PARTS,
-        BATCHED,
-        final="SELECT shard, batch_id, count(*) AS n_kept, CAST(sum(n_tgt) AS BIGINT) AS n_tgt, "
-        "CAST(sum(n_think) AS BIGINT) AS n_think, CAST(sum(n_ans) AS BIGINT) AS n_ans "
-        "FROM batched JOIN ex USING (example_id) WHERE status = 'ok' GROUP BY shard, batch_id",
+        BATCHED.replace("pos % 2 AS shard", "floor(pos / 2) AS slot, pos % 2 AS shard"),
+        f"arrays AS (SELECT example_id, {_filled('token', '<pad>')} AS input_ids, "
+        f"{_filled('CAST(CAST(loss_mask AS INTEGER) AS VARCHAR)', '0')} AS loss_mask, "
+        f"{_filled('CAST(answer_mask AS VARCHAR)', 'false')} AS answer_mask "
+        "FROM masked GROUP BY example_id)",
+        final="SELECT shard, batch_id, count(*) AS n_kept, "
+        + ", ".join(
+            f"md5(string_agg({c}, chr(10) ORDER BY slot)) AS {c}_md5"
+            for c in ("input_ids", "loss_mask", "answer_mask")
+        )
+        + " FROM batched JOIN ex USING (example_id) JOIN arrays USING (example_id) "
+        "WHERE status = 'ok' GROUP BY shard, batch_id",
     ),
     "batch_scores": _with(
         *EXAMPLE_PARTS,

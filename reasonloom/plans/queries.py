@@ -32,8 +32,10 @@ def _volume(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.sum("n_chars").alias("n_chars_sum"))
 
 
-def _rows(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("n_rows"))
+def _content(col: str) -> Column:
+    """A number that follows from all values of a column in any order: sums of md5 beginnings."""
+    start = F.substring(F.md5(F.coalesce(F.col(col), F.lit(""))), 1, 8)
+    return F.sum(F.conv(start, 16, 10).cast("long")).alias("content")
 
 
 def _longs(df: DataFrame, *cols: str) -> DataFrame:
@@ -67,7 +69,10 @@ def src_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = scratch_path(spark, "jsonl")
     lines.write.text(path)
-    return readers.count_jsonl(spark, path)
+    good, bad = readers.read_jsonl(spark, path)
+    kept = good.agg(F.count("*").alias("n_rows"), _content("problem"))
+    left = bad.agg(F.count("*").alias("n_rows"), F.lit(0).cast("long").alias("content"))
+    return kept.withColumn("kind", F.lit("good")).unionByName(left.withColumn("kind", F.lit("bad")))
 
 
 def src_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +85,12 @@ def src_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
         "json lines": f"{path}/lines/*.json",
         "parquet file": f"{sf_dir}/documents.parquet",
     }
-    counts = [
-        _rows(readers.read_corpus(spark, target)).select(F.lit(kind).alias("kind"), "n_rows")
-        for kind, target in inputs.items()
-    ]
+    counts = []
+    for kind, target in inputs.items():
+        rows = readers.read_corpus(spark, target)
+        text = "problem" if kind == "json lines" else "text"
+        found = rows.agg(F.count("*").alias("n_rows"), _content(text))
+        counts.append(found.select(F.lit(kind).alias("kind"), "n_rows", "content"))
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
@@ -120,7 +127,10 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "filtered")
     sink.write_filtered(curate.curate(reasoning(spark, sf_dir)), path, gather=True)
-    return spark.read.parquet(path).groupBy("source_file").agg(F.count("*").alias("n_rows"))
+    written = spark.read.parquet(path)
+    return written.groupBy("source_file").agg(
+        F.count("*").alias("n_rows"), _content("generated_solution")
+    )
 
 
 def _per_file(df: DataFrame) -> DataFrame:
@@ -296,16 +306,19 @@ def _set(mask: Column, outside) -> Column:
 
 
 def example_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums over the fixed-length arrays, so that every array is really built."""
+    """Digests of the fixed-length arrays in their order, and how many entries each mask sets."""
     made = _examples_once(spark, sf_dir)
-    encoded = vocab.encode_examples(made, vocab.build_vocab(vocab.token_rows(made)))
+    words = vocab.build_vocab(vocab.token_rows(made))
+    encoded = vocab.encode_examples(made, words, carry=examples.POSITION_COLUMNS)
     arrays = examples.example_arrays(encoded, CFG, "token_ids")
 
-    id_sum = F.aggregate("input_ids", F.lit(0).cast("long"), lambda acc, x: acc + x)
+    def digest(name: str) -> Column:
+        return F.md5(F.array_join(F.col(name).cast("array<string>"), " ")).alias(f"{name}_md5")
+
     return arrays.select(
         "example_id",
         F.size("input_ids").cast("long").alias("n"),
-        id_sum.alias("id_sum"),
+        *map(digest, ("input_ids", "loss_mask", "think_mask", "answer_mask")),
         _set(F.col("attention_mask"), 0).alias("n_tok"),
         _set(F.col("loss_mask"), 0).alias("n_tgt"),
         _set(F.col("think_mask"), False).alias("n_think"),
@@ -343,17 +356,20 @@ def assign_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows get their batch first, so that only raw text is shuffled for the order."""
-    rows = batching.assign_batches(batching.assign_shards(reasoning(spark, sf_dir), 2, SEED), 4)
-    batches = batching.collate(examples.build_examples(rows, CFG), CFG)
-
-    return batches.select(
-        "shard",
-        "batch_id",
-        "n_kept",
-        _set(F.flatten("loss_mask"), 0).alias("n_tgt"),
-        _set(F.flatten("think_mask"), False).alias("n_think"),
-        _set(F.flatten("answer_mask"), False).alias("n_ans"),
+    """Keys alone are put in order and batched; then the usable examples find their batch."""
+    keys = reasoning(spark, sf_dir).select("example_id")
+    batches = batching.assign_batches(batching.assign_shards(keys, 2, SEED), 4)
+    rows = _examples(spark, sf_dir).select("example_id", *examples.EXAMPLE_COLUMNS)
+    usable = rows.filter(F.col("status") == "ok")
+    made = batching.collate(usable.join(batches, "example_id"), CFG)
+
+    def digest(name: str) -> Column:
+        """All entries of a batch's arrays in their order: a swapped row or entry changes it."""
+        rows = F.transform(name, lambda row: F.array_join(row.cast("array<string>"), " "))
+        return F.md5(F.array_join(rows, chr(10))).alias(f"{name}_md5")
+
+    return made.select(
+        "shard", "batch_id", "n_kept", *map(digest, ("input_ids", "loss_mask", "answer_mask"))
     )
 
 

@@ -19,10 +19,15 @@ def reasoning_sql(documents: str = "documents", body_chars: int | None = None) -
     body = "text" if body_chars is None else f"substr(text, 1, {body_chars})"
     half = "body" if body_chars is None else "substr(body, 1, 300)"
     number = "cast(n_chars AS varchar(20))"
+    # whole texts: where the solution is null or has no thought, the body stands elsewhere
+    tail, asked = ("", "split_part(text, chr(10), 1)") if body_chars else (
+        ", ' ', body",
+        "CASE WHEN doc_id % 31 = 0 THEN text ELSE split_part(text, chr(10), 1) END",
+    )
     return f"""
 SELECT doc_id AS example_id,
        source AS source_file,
-       CASE WHEN doc_id % 29 = 0 THEN NULL ELSE split_part(text, chr(10), 1) END AS problem,
+       CASE WHEN doc_id % 29 = 0 THEN NULL ELSE {asked} END AS problem,
        CASE WHEN doc_id % 31 = 0 THEN NULL
             WHEN doc_id % 8 = 0 THEN concat('<think>', body, '</think>', chr(10),
                                             'The final answer is ', box, '.')
@@ -34,7 +39,7 @@ SELECT doc_id AS example_id,
                                             'boxed{{', chr(92), 'frac{{1}}{{', {number}, '}}}}')
             WHEN doc_id % 8 = 6 THEN concat('<think>', body, '</think>', chr(92), 'boxed{{}}')
             ELSE concat('<think></think>', chr(92), 'boxed{{x + 1}}', ' ',
-                        chr(92), 'boxed{{0}}') END AS generated_solution,
+                        chr(92), 'boxed{{0}}'{tail}) END AS generated_solution,
        CASE WHEN doc_id % 17 = 0 THEN NULL
             WHEN doc_id % 5 = 0 THEN 'no_answer_extracted'
             ELSE 'has_answer_extracted' END AS problem_type,
