@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from reasonloom.operators.curate import CurateConfig, curate_files, funnel, read_files
 from reasonloom.operators.examples import DEFAULT_SYSTEM_PROMPT, ExampleConfig, build_examples
+from reasonloom.session import remove_scratch
 from reasonloom.sources.files import sample_files
 from reasonloom.sources.paths import list_source_files
 from reasonloom.sources.readers import (
@@ -61,6 +62,13 @@ def _say_skipped(spark: SparkSession, root: str) -> None:
 def main(argv: list[str] | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"reasonloom-{args.job}").getOrCreate()
+    try:
+        _run(spark, args)
+    finally:
+        remove_scratch(spark)
+
+
+def _run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.job == "curate":
         cfg = CurateConfig(args.max_len, args.pass_rate)
         curate_files(spark, args.source_dir, args.target_dir, cfg, args.skip_corrupt)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -23,15 +26,44 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if named:
         sc.setCheckpointDir(named)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not re.match(r"local($|\[)", sc.master):  # local-cluster has executors of its own
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="reasonloom-"))
+    folder = tempfile.mkdtemp(prefix="reasonloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def _delete_on_exit(spark: SparkSession, folder: str) -> None:
+    """Have the driver's JVM remove a folder when it ends, also after a failure."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+
+
+_SCRATCH: dict[str, str] = {}  # the folder of each application
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for a table written once and read back, new on every call."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path for a table written once and read back, new on every call.
+
+    All lie below one folder per application, which goes when the driver ends.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        folder = f"{ensure_checkpoint_dir(spark)}/reasonloom-{uuid.uuid4().hex}"
+        _delete_on_exit(spark, folder)
+        _SCRATCH[app] = folder
+    return f"{_SCRATCH[app]}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of the application; results that still read them must be done."""
+    folder = _SCRATCH.pop(spark.sparkContext.applicationId, None)
+    if folder is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_once(df: DataFrame, name: str) -> DataFrame:

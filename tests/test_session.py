@@ -18,6 +18,8 @@ def fake(master, conf):
 def test_a_cluster_must_name_its_folder():
     with pytest.raises(ValueError):
         session.ensure_checkpoint_dir(fake("yarn", {}))
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(fake("local-cluster[2,1,1024]", {}))
     named = fake("yarn", {"spark.checkpoint.dir": "s3://bucket/tmp"})
     assert session.ensure_checkpoint_dir(named) == "s3://bucket/tmp"
     assert session.ensure_checkpoint_dir(fake("local[2]", {})).count("reasonloom-") == 1
@@ -42,3 +44,14 @@ def test_computed_once_keeps_filters_above(spark):
     text = session.computed_once(rows, "x").filter("x > 'a'")._jdf.queryExecution().executedPlan().toString()
     assert text.count("sha2(") == 1
     assert session.computed_once(rows, "x").count() == 10
+
+
+def test_scratch_tables_are_removed(spark):
+    from pathlib import Path
+
+    session.write_once(spark.range(3), "gone").count()
+    folder = Path(session.scratch_path(spark, "x").removeprefix("file:")).parent
+    assert folder.is_dir() and any(folder.iterdir())
+    session.remove_scratch(spark)
+    assert not folder.exists()
+    assert session.write_once(spark.range(3), "again").count() == 3
