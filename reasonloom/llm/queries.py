@@ -20,10 +20,13 @@ from reasonloom.llm import (
     quality,
     toxicity,
 )
+from reasonloom.llm.oracle import ORACLE
 from reasonloom.session import scratch_path, write_once
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
+__all__ = ["ORACLE", "QUERIES", "TOKENIZER"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -101,5 +104,3 @@ QUERIES: dict[str, Query] = {
     "op9_license_scan": op9_license_scan,
     "op10_chat_formatting": op10_chat_formatting,
 }
-
-ORACLE: dict[str, str] = {"op9_license_scan": licenses.oracle_sql()}

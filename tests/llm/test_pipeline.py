@@ -1,0 +1,69 @@
+"""Each stage against a plain version of it, and the whole on odd rows."""
+
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+from llm.test_decontaminate import brute_force as passages
+from llm.test_ngram_join import brute_force as near
+from llm.test_packing import check_places, plain_ids
+from llm.test_quality import base_measures
+from reasonloom.llm import quality, toxicity
+
+NAMES = ["toxicity", "quality_rules", "ngram_join", "decontamination", "best_fit_packing"]
+
+
+def texts(df):
+    return {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+
+
+def test_stages_in_order(spark, small_dir, small_documents):
+    assert [name for name, _ in corpus_pipeline.STAGES] == NAMES
+    stages = dict(corpus_pipeline.STAGES)
+    labels = spark.read.parquet(f"{small_dir}/labels.parquet")
+
+    docs = stages["toxicity"](spark, small_documents, small_dir).cache()
+    model = toxicity.fit(small_documents, labels)
+    scores = dict(zip(texts(small_documents), model.scores(list(texts(small_documents).values()))))
+    assert texts(docs) == {k: t for k, t in texts(small_documents).items() if scores[k] < 0.7}
+    toxic = {r.doc_id for r in labels.filter("toxic = 1").collect()}
+    assert (set(texts(small_documents)) - set(texts(docs))) & toxic
+
+    before, docs = texts(docs), stages["quality_rules"](spark, docs, small_dir).cache()
+    base = {k: base_measures(t) for k, t in before.items()}
+    passed = {k for k, m in base.items() if m[0] >= 50 and 100 * m[4] <= 50 * m[0]}
+    kept = {r.doc_id for r in quality.assess(small_documents).filter("kept").collect()}
+    assert set(texts(docs)) == passed & kept and len(passed - kept) < len(passed)
+
+    before, docs = texts(docs), stages["ngram_join"](spark, docs, small_dir).cache()
+    assert set(texts(docs)) == {c for c, _ in near(list(before.items())).values()}
+
+    before, docs = texts(docs), stages["decontamination"](spark, docs, small_dir).cache()
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small_dir}/benchmark.parquet").collect()]
+    found = {k for k, _ in passages(list(before.items()), items)}
+    assert set(texts(docs)) == set(before) - found
+    assert docs.columns == small_documents.columns
+
+    rows = stages["best_fit_packing"](spark, docs, small_dir).collect()
+    check_places(rows)
+    assert {r.doc_id for r in rows} == set(texts(docs))
+    assert sum(r.length for r in rows) == sum(len(plain_ids(t, 1)) for t in texts(docs).values())
+
+
+def test_run_gives_the_rows_of_the_stages(spark, small_dir, small_documents):
+    docs = small_documents
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, small_dir)
+    ran = corpus_pipeline.run(spark, small_dir).drop("sequence_id", "offset")
+    assert sorted(ran.collect()) == sorted(docs.drop("sequence_id", "offset").collect())
+
+
+def test_odd_rows_pass_all_stages(spark, small_dir, odd_documents):
+    docs = odd_documents
+    for name, stage in corpus_pipeline.STAGES:
+        left = stage(spark, docs, small_dir)
+        if name != "best_fit_packing":
+            assert left.columns == docs.columns
+            assert left.count() <= docs.count()
+        assert stage(spark, docs.limit(0), small_dir).count() == 0
+        docs = left
+    assert docs.filter(F.col("length") > 100).count() > 0
