@@ -78,7 +78,9 @@ class Rendered:
     rewrites_history: bool
 
 
-def _text_place(before: list[Message], turn: Message, piece: str, skip: str, render: Template) -> tuple[int, int]:
+def _text_place(
+    before: list[Message], turn: Message, piece: str, skip: str, render: Template
+) -> tuple[int, int]:
     """Where the text of the last turn lies in what that turn adds; nowhere if it cannot be told."""
     probes = []
     for text in ("x", "y"):
@@ -114,7 +116,9 @@ def _in_steps(messages: list[Message], render: Template, context: int | None) ->
     return Rendered("".join(pieces), spans, False)
 
 
-def render_incrementally(messages: list[Message], render: Template = chatml, max_prefix: int = 64) -> Rendered:
+def render_incrementally(
+    messages: list[Message], render: Template = chatml, max_prefix: int = 64
+) -> Rendered:
     """The rendered conversation and its turns' spans, whatever the template writes around them."""
     if len(messages) > max_prefix:
         short = _in_steps(messages, render, CONTEXT)
@@ -201,9 +205,8 @@ def digest(formatted: DataFrame) -> DataFrame:
                         chars += len(said)
                 out.append((conv_id, len(turns), whole.hexdigest(), chars, loss.hexdigest(), len(text)))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [
-                pa.array([], k) for k in kinds
-            ]
+            values = zip(*out, strict=True) if out else [[]] * len(kinds)
+            columns = [pa.array(c, k) for c, k in zip(values, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in DIGEST_SCHEMA.split(", ")])
 
     return formatted.select("conv_id", "formatted", "spans").mapInArrow(apply, DIGEST_SCHEMA)

@@ -1,16 +1,18 @@
 """Languages of texts and of the spans of mixed texts.
 
 The scripts of a word's letters narrow the languages that it may have; within them a word gets a
-score per language from the words, letters and letter n-grams of the training texts. A Viterbi pass over
-the words, in which a change of language costs a fixed penalty, labels spans. The language of a
-text is that of the most letters under its spans, the score its share of the letters.
-
-The model is fitted on a bounded sample: the `max_train` labelled rows of least hash. Words and
-n-grams are counted in Spark, and at most `max_features` of them come to the driver. Nothing but the text enters a prediction.
-
-Defined results: `und` with score 0 for null, empty and letterless texts; repeated rows are labelled
-alike; a row with a null id has the checksum 0, so it counts as held out, and is never trained on; null languages are never trained on; without any training row
-all texts are `und`; an empty table gives no row; other columns are ignored.
+score per language from the words, letters and letter n-grams of the training texts. A Viterbi
+pass over the words, in which a change of language costs a fixed penalty, labels spans. The
+language of a text is that of the most letters under its spans, the score its share of the letters.
+
+The model is fitted on a bounded sample: about `max_train` labelled rows, chosen by hash. Words
+and n-grams are counted in Spark, and at most `max_features` of them come to the driver. Nothing
+but the text enters a prediction.
+
+Defined results: `und` with score 0 for null, empty and letterless texts; repeated rows are
+labelled alike; a row with a null id has the checksum 0, so it counts as held out, and is never
+trained on; null languages are never trained on; without any training row all texts are `und`; an
+empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,7 +76,13 @@ def fold(cfg: LangConfig) -> Column:
 class LangModel:
     """Scores of words per language, and the best labelling of a text's words."""
 
-    def __init__(self, langs: list[str], scripts: dict[str, set[int]], grams: dict[str, list[float]], penalty: float):
+    def __init__(
+        self,
+        langs: list[str],
+        scripts: dict[str, set[int]],
+        grams: dict[str, list[float]],
+        penalty: float,
+    ):
         self.langs, self.scripts, self.penalty = langs, scripts, penalty
         self.rows = {gram: k + 1 for k, gram in enumerate(grams)}
         self.odds = np.vstack([np.zeros((1, len(langs))), *(np.array([g]) for g in grams.values())])
@@ -226,7 +234,9 @@ def _chain(matrices: np.ndarray, n_blocks: np.ndarray) -> tuple[np.ndarray, np.n
 def training_words(docs: DataFrame, cfg: LangConfig) -> DataFrame:
     """lang, word, n of the bounded sample of labelled rows."""
     usable = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string"),
+        F.col("lang").cast("string"),
     ).filter("doc_id is not null and text is not null and lang is not null")
     usable = usable.filter(fold(cfg) != cfg.held_fold)
     share = min(1.0, cfg.max_train / max(usable.count(), 1))
@@ -245,7 +255,10 @@ def fit(docs: DataFrame, cfg: LangConfig | None = None) -> LangModel:
     for n in NGRAMS:
         grams.append(_grams(padded, n))
     gram = F.explode(F.concat(*grams)).alias("gram")
-    per_lang = [F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{k}") for k, lang in enumerate(langs)]
+    per_lang = [
+        F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{k}")
+        for k, lang in enumerate(langs)
+    ]
     counted = words.select("lang", "n", gram).groupBy("gram").agg(F.sum("n").alias("total"), *per_lang)
     best = counted.filter("total >= 3").orderBy(F.desc("total"), "gram")
     rows = best.limit(cfg.max_features).collect()

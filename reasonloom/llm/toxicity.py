@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -226,7 +227,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig) -> DataF
     )
     merged = usable.groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
     some = merged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.max_train)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    )
     found = texts.join(F.broadcast(some), "doc_id")  # at most max_train rows of two numbers
     return found.dropDuplicates(["doc_id"])
 
@@ -255,7 +258,8 @@ def learn_voters(train: DataFrame, cfg: ToxicConfig) -> Voters:
         return F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (total * rate))).otherwise(0.0)
 
     odds = F.log(((F.col("k1") + 0.5) / (n1 + 1)) / ((F.col("k0") + 0.5) / (n0 + 1)))
-    scored = counted.select("feature", odds.alias("odds"), (2 * (part("k1", share) + part("k0", 1 - share))).alias("gain"))
+    gain = 2 * (part("k1", share) + part("k0", 1 - share))
+    scored = counted.select("feature", odds.alias("odds"), gain.alias("gain"))
     found = (
         scored.filter((F.col("gain") >= cfg.min_gain) & (F.col("odds") >= cfg.min_log_odds))
         .orderBy(F.desc("gain"), "feature")
@@ -328,9 +332,9 @@ def keep_clean(docs: DataFrame, model: ToxicModel, cfg: ToxicConfig | None = Non
     cfg = cfg or ToxicConfig()
 
     @F.pandas_udf("double")
-    def value(texts):
+    def value(texts: pd.Series) -> pd.Series:
         release_words()
         out = [model.scores([t for (t,) in group]) for group in char_batches((t,) for t in texts)]
-        return texts.__class__(np.concatenate(out) if out else [], index=texts.index)
+        return pd.Series(np.concatenate(out) if out else [], texts.index, float)
 
     return docs.filter(value(F.col("text").cast("string")) < cfg.threshold)
