@@ -22,6 +22,7 @@ POSITIONS = ("n_tok", "target_start", "answer_lo", "answer_hi")
 
 @dataclass(frozen=True)
 class ScoreConfig:
+    # The defaults that training uses.
     marker_weight: float = 10.0
     efficiency_weight: float = 0.1
     efficiency_threshold: float = 0.5
