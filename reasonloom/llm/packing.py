@@ -29,6 +29,9 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = f"{PIECE_SCHEMA}, sequence_id long, offset long"
 
 
+PAIRED = 12  # items of a bin of which pairs are tried
+
+
 @dataclass(frozen=True)
 class PackConfig:
     tokenizer: str
@@ -95,10 +98,10 @@ class LocalSearch:
     Moving d ids from a bin of fill f to one of fill g changes the sum of squared fills by
     2d(g - f + d); only exchanges that increase it are made, the most ids first, from the emptiest
     bin that has one. The search ends when no bin has one, at the least number of bins there can
-    be, or after `TRIES` looks a bin: what was reached by then is a packing as well.
+    be, or after `TRIES` looks for each bin with room: what was reached by then is a packing too.
     """
 
-    TRIES = 30
+    TRIES = 2
 
     def __init__(self, lengths: np.ndarray, bins: list[list[int]], size: int):
         self.lengths, self.size = lengths, size
@@ -112,7 +115,7 @@ class LocalSearch:
     def run(self) -> list[list[int]]:
         stuck: set[int] = set()
         filled = sum(map(bool, self.bins))
-        for _ in range(self.TRIES * filled):
+        for _ in range(self.TRIES * int((self.room > 0).sum())):
             if filled <= self.least:
                 break
             room = self.room.copy()
@@ -130,7 +133,7 @@ class LocalSearch:
     def _exchange(self, source: int) -> bool:
         """The exchange that moves the most ids out of `source`; False if there is none."""
         out = [(int(self.lengths[b]), (b,)) for b in self.bins[source]]
-        out += [(s, (a, b)) for s, a, b in _pairs(self.bins[source][:24], self.lengths)]
+        out += [(s, (a, b)) for s, a, b in _pairs(self.bins[source][:PAIRED], self.lengths)]
         room = self.room.copy()
         room[source] = -1
         room[[not b for b in self.bins]] = -1
@@ -140,22 +143,26 @@ class LocalSearch:
         tops = int(room.max()) if len(room) else -1
         if tops <= 0:
             return False
-        slack, least = room[self.place], need[self.place]
+        inside = np.flatnonzero(room[self.place] > 0)  # items of bins that can gain ids
+        lengths, place = self.lengths[inside], self.place[inside]
+        slack, least = room[place], need[place]
         for total, items in sorted(out, reverse=True):
             if best[0] < total <= tops:  # a move
                 fits = np.where((room >= total) & (total > need), room, self.size + 1)
                 if fits.min() <= self.size:
                     best = (total, int(fits.argmin()), items, ())
-            moved = total - self.lengths
+            if total <= best[0]:
+                break
+            moved = total - lengths
             moved = np.where((moved > least) & (moved <= slack), moved, 0)
-            at = int(moved.argmax())
-            if moved[at] > best[0]:
-                best = (int(moved[at]), int(self.place[at]), items, (at,))
+            at = int(moved.argmax()) if len(moved) else 0
+            if len(moved) and moved[at] > best[0]:
+                best = (int(moved[at]), int(place[at]), items, (int(inside[at]),))
         if best[0] < tops:  # one of the source against two
             for k in np.argsort(-room)[:32].tolist():
                 if room[k] <= best[0]:
                     break
-                for two, a, b in _pairs(self.bins[k][:24], self.lengths):
+                for two, a, b in _pairs(self.bins[k][:PAIRED], self.lengths):
                     for total, items in out[: len(self.bins[source])]:
                         if max(best[0], need[k]) < total - two <= room[k]:
                             best = (total - two, k, items, (a, b))
