@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 BATCH_CHARS = 2_000_000
-MAX_WORDS = 1_500_000
+MAX_WORDS = 1_000_000
 LAST = "\xff"  # of Latin-1
 MARKS = frozenset(",.;:!?|")
 
