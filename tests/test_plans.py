@@ -86,3 +86,22 @@ def test_batch_means_read_their_input_once(corpus):
     losses = vocab.token_rows(made).select("example_id", "i", F.lit(1.0).alias("loss"))
     scored = scores.score_tokens(made, losses, ("batch_id",))
     assert plan(scores.efficiency_batch(scored, "batch_id")).count("FileScan") == 2
+
+
+def test_scores_are_ready_after_few_jobs(spark, small_dir):
+    """What runs before the query itself: examples written once, token counts, their total."""
+    context = spark.sparkContext
+    context.setJobGroup("build", "build")
+    try:
+        scored = contract.QUERIES["base_loss"](spark, small_dir)
+        assert len(context.statusTracker().getJobIdsForGroup("build")) <= 10
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "Window" not in plan
+
+
+def test_global_index_is_one_join(spark, small_dir):
+    rows = contract.QUERIES["global_index"](spark, small_dir)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
