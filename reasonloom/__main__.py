@@ -1,13 +1,23 @@
-"""Jobs: `python -m reasonloom curate|sample|examples|report ...`, or the same with spark-submit."""
+"""Jobs: `python -m reasonloom curate|report|sample|examples|batches|scores ...`, or spark-submit."""
 
 from __future__ import annotations
 
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from reasonloom.operators.batching import assign_batches, assign_shards, collate
 from reasonloom.operators.curate import CurateConfig, curate_files, funnel, read_files
-from reasonloom.operators.examples import DEFAULT_SYSTEM_PROMPT, ExampleConfig, build_examples
+from reasonloom.operators.examples import (
+    DEFAULT_SYSTEM_PROMPT,
+    EXAMPLE_COLUMNS,
+    POSITION_COLUMNS,
+    ExampleConfig,
+    build_examples,
+)
+from reasonloom.operators.scores import combined, loss_gaps
+from reasonloom.operators.vocab import build_vocab, encode_examples, token_rows
 from reasonloom.session import remove_scratch
 from reasonloom.sources.files import sample_files
 from reasonloom.sources.paths import list_source_files
@@ -16,7 +26,9 @@ from reasonloom.sources.readers import (
     only_below,
     read_corpus,
     read_differing,
+    read_parquet_dir,
     skipped_files,
+    with_source_file,
 )
 from reasonloom.sources.sink import write_filtered
 
@@ -49,6 +61,21 @@ def _parser() -> argparse.ArgumentParser:
     job.add_argument("target_dir")
     job.add_argument("--max_length", type=int, default=1024)
     job.add_argument("--system_prompt", default=DEFAULT_SYSTEM_PROMPT, help="empty for none")
+
+    job = jobs.add_parser("batches", help="examples, vocabulary and collated batches of a folder")
+    job.add_argument("source_dir")
+    job.add_argument("target_dir")
+    job.add_argument("--max_length", type=int, default=1024)
+    job.add_argument("--system_prompt", default=DEFAULT_SYSTEM_PROMPT, help="empty for none")
+    job.add_argument("--shards", type=int, default=1)
+    job.add_argument("--batch_size", type=int, default=2)
+    job.add_argument("--seed", type=int, default=42)
+    job.add_argument("--epoch", type=int, default=0)
+
+    job = jobs.add_parser("scores", help="scores of the batches from token losses")
+    job.add_argument("batches_dir", help="what `batches` wrote")
+    job.add_argument("losses", help="Parquet: example_id, i, loss")
+    job.add_argument("target_dir")
     return parser
 
 
@@ -68,6 +95,38 @@ def main(argv: list[str] | None = None) -> None:
         remove_scratch(spark)
 
 
+def _write_batches(spark: SparkSession, args: argparse.Namespace) -> None:
+    """`examples` with their batch, `vocab` and `batches` of token ids, below the target folder.
+
+    A row's key is its file and its number in it.
+    """
+    cfg = ExampleConfig(args.max_length, args.system_prompt)
+    rows = with_source_file(read_parquet_dir(spark, args.source_dir), args.source_dir)
+    key = F.concat_ws("#", "source_file", F.col("row_in_file").cast("string"))
+    rows = rows.withColumn("example_id", key)
+    shards = assign_shards(rows.select("example_id"), args.shards, args.seed, args.epoch)
+    made = build_examples(rows, cfg).select("example_id", *EXAMPLE_COLUMNS)
+    placed = made.filter("status = 'ok'").join(assign_batches(shards, args.batch_size), "example_id")
+    placed.write.mode("overwrite").parquet(f"{args.target_dir}/examples")
+    usable = spark.read.parquet(f"{args.target_dir}/examples")
+    build_vocab(token_rows(usable)).write.mode("overwrite").parquet(f"{args.target_dir}/vocab")
+    words = spark.read.parquet(f"{args.target_dir}/vocab")
+    carry = (*POSITION_COLUMNS, "shard", "batch_id", "slot", "status")
+    encoded = encode_examples(usable, words, carry=carry)
+    batches = collate(encoded, cfg, "token_ids")
+    batches.write.mode("overwrite").parquet(f"{args.target_dir}/batches")
+
+
+def _write_scores(spark: SparkSession, args: argparse.Namespace) -> None:
+    usable = spark.read.parquet(f"{args.batches_dir}/examples")
+    losses = spark.read.parquet(args.losses)
+    gaps = loss_gaps(usable, losses).count()
+    if gaps:
+        print(f"{gaps} examples have missing, repeated or null losses")
+    found = combined(usable, losses, ("shard", "batch_id"))
+    found.write.mode("overwrite").parquet(args.target_dir)
+
+
 def _run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.job == "curate":
         cfg = CurateConfig(args.max_len, args.pass_rate)
@@ -84,6 +143,10 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> None:
         listing = list_source_files(spark, args.source_dir)
         chosen = sample_files(rows, ratio, args.sample_count, args.seed, listing=listing)
         write_filtered(chosen, args.target_dir)
+    elif args.job == "batches":
+        _write_batches(spark, args)
+    elif args.job == "scores":
+        _write_scores(spark, args)
     else:
         cfg = ExampleConfig(args.max_length, args.system_prompt)
         rows = build_examples(read_corpus(spark, args.source), cfg)

@@ -40,6 +40,22 @@ def test_sample(spark, source, target):
     assert 0 < kept.count() < 200
 
 
+def test_batches_and_scores(spark, source, target):
+    main(["batches", source, f"{target}/made", "--max_length", "128", "--shards", "2", "--batch_size", "4"])
+    made = spark.read.parquet(f"{target}/made/examples")
+    batches = spark.read.parquet(f"{target}/made/batches")
+    kept = made.groupBy("shard", "batch_id").count()
+    assert batches.agg({"n_kept": "sum"}).first()[0] == made.count() > 0
+    assert batches.count() == kept.count() and kept.filter("count > 4").isEmpty()
+    row = batches.first()
+    assert {len(a) for a in row.input_ids} == {128} and len(row.input_ids) == row.n_kept
+    losses = made.selectExpr("example_id", "explode(sequence(1, n_tok - 1)) AS i", "0.5 AS loss")
+    losses.write.parquet(f"{target}/losses")
+    main(["scores", f"{target}/made", f"{target}/losses", f"{target}/scores"])
+    found = spark.read.parquet(f"{target}/scores")
+    assert found.count() == batches.count() and found.filter("base IS NULL OR total IS NULL").isEmpty()
+
+
 def test_sample_keeps_all_columns(spark, target):
     source = tempfile.mkdtemp(prefix="reasonloom-differing-")
     spark.range(3).selectExpr("'p' AS problem").coalesce(1).write.mode("append").parquet(source)
