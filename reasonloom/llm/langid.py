@@ -61,6 +61,15 @@ class LangConfig:
     held_fold: int = 0
 
 
+def has_letter(word: str) -> bool:
+    """`WORD` also takes numerals that are no decimal digits, such as fractions."""
+    return word.isalpha() or any(map(str.isalpha, word))
+
+
+def words_of(text: str | None) -> list[str]:
+    return list(filter(has_letter, WORD.findall(text.lower()))) if text else []
+
+
 def script_of(char: str) -> str:
     code = ord(char)
     for name, first, last in SCRIPTS:
@@ -289,7 +298,7 @@ def predict(docs: DataFrame, model: LangModel, cfg: LangConfig | None = None) ->
         for batch in batches:
             for group in char_batches(arrow_rows(batch)):
                 ids, held, texts = zip(*group, strict=True)
-                words = [WORD.findall(t.lower()) if t else [] for t in texts]
+                words = [words_of(t) for t in texts]
                 found = [model.summary(w, p) for w, p in zip(words, model.label(words), strict=True)]
                 langs, scores = zip(*found, strict=True)
                 columns = [
@@ -316,7 +325,7 @@ def spans(docs: DataFrame, model: LangModel) -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
         for batch in batches:
             for group in char_batches(arrow_rows(batch)):
-                found = [list(WORD.finditer(t or "")) for _, t in group]
+                found = [[m for m in WORD.finditer(t or "") if has_letter(m.group())] for _, t in group]
                 labels = model.label([[m.group().lower() for m in ms] for ms in found])
                 out = [_runs(ms, p, model.langs) for ms, p in zip(found, labels, strict=True)]
                 columns = [pa.array([d for d, _ in group], pa.int64()), pa.array(out, kind)]

@@ -58,6 +58,15 @@ def test_spans_of_a_mixed_text(spark, medium_dir, model):
     assert all(a.end <= b.start for a, b in zip(row.spans, row.spans[1:]))
 
 
+def test_letterless_texts(spark, model):
+    rows = list(enumerate(["12 \u00bd \u00b2 _ 34", "!?", "\u0301", "\u2460", "1a", "\u0646\u0635"]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, model).collect()}
+    assert {k for k, lang in got.items() if lang == "und"} == {0, 1, 2, 3}
+    spans = langid.spans(df, model).filter("size(spans) > 0").select("doc_id").collect()
+    assert sorted(r.doc_id for r in spans) == [4, 5]
+
+
 def test_scripts_narrow_the_languages(spark):
     rows = [(k, "это русский текст", "ru") for k in range(40)]
     rows += [(100 + k, "this is some text", "en") for k in range(40)]
