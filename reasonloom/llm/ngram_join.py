@@ -207,17 +207,20 @@ def _find(parent: list[int], i: int) -> int:
     return i
 
 
-def verified(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, threshold: float):
+def verified(
+    sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, threshold: float, across: bool
+):
     """Links of each set, counted in copies of its partners, and a spanning forest of the links.
 
-    `side` tells blocks apart: if it holds two values, only pairs across are looked at.
+    `side` tells blocks apart; with `across` only pairs of two blocks are looked at, so there is
+    none if all sets are of one block.
     """
     sizes = np.array([len(s) for s in sets])
     links = np.zeros(len(sets), np.int64)
     parent = list(range(len(sets)))
     hook = list(range(len(sets)))
-    across = len(set(side.tolist())) > 1
-    for i, shared in _shared_counts(sets) if len(sets) > 1 else ():
+    some = len(sets) > 1 and not (across and len(set(side.tolist())) == 1)
+    for i, shared in _shared_counts(sets) if some else ():
         union = sizes[i] + sizes[i + 1 :] - shared
         linked = shared / union >= threshold
         if across:
@@ -252,13 +255,13 @@ def verify(candidates: DataFrame, n_sets: int, cfg: JoinConfig) -> DataFrame:
         F.when(small, -1).otherwise(F.greatest("side", "other")).alias("q"),
     )
 
-    def check(rows: pd.DataFrame) -> pd.DataFrame:
+    def check(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, p, q = key  # blocks that differ: pairs inside either belong to its own task
         out = []
         for _, part in rows.groupby("cluster", sort=False):
             sets = [g.view(np.uint64) for g in part["grams"]]
-            links, hook = verified(
-                sets, part["copies"].to_numpy(), part["side"].to_numpy(), cfg.threshold
-            )
+            copies, side = part["copies"].to_numpy(), part["side"].to_numpy()
+            links, hook = verified(sets, copies, side, cfg.threshold, across=p != q)
             ids = part["set_id"].to_numpy()
             out.append(pd.DataFrame({"set_id": ids, "links": links, "partner": ids[hook]}))
         return pd.concat(out)

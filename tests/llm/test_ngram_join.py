@@ -67,6 +67,17 @@ def test_a_large_group_of_near_copies(spark, block_sets):
     assert joined(df, ngram_join.JoinConfig(block_sets=block_sets)) == brute_force(rows)
 
 
+def test_more_blocks_than_texts(spark):
+    """Some blocks of a cluster stay empty: no pair is counted for them again."""
+    rows = []
+    for group in range(12):
+        base = [f"g{group}w{k}" for k in range(200)]
+        texts = [base, [*base[:-1], "last"], ["first", *base[1:]]][: 2 + group % 2]
+        rows += [(10 * group + k, " ".join(words)) for k, words in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert joined(df, ngram_join.JoinConfig(block_grams=150)) == brute_force(rows)
+
+
 def test_bands_reach_the_recall():
     cfg = ngram_join.JoinConfig()
     bands, rows = ngram_join.choose_bands(cfg)
