@@ -15,6 +15,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -29,9 +30,6 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = f"{PIECE_SCHEMA}, sequence_id long, offset long"
 
 
-PAIRED = 12  # items of a bin of which pairs are tried
-
-
 @dataclass(frozen=True)
 class PackConfig:
     tokenizer: str
@@ -86,97 +84,138 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def _pairs(items: list[int], lengths: np.ndarray) -> list[tuple[int, int, int]]:
-    return [
-        (int(lengths[a] + lengths[b]), a, b) for i, a in enumerate(items) for b in items[:i]
-    ]
-
-
 class LocalSearch:
     """Exchanges between underfull bins, ids moving out of the emptier one.
 
     Moving d ids from a bin of fill f to one of fill g changes the sum of squared fills by
     2d(g - f + d); only exchanges that increase it are made, the most ids first, from the emptiest
-    bin that has one. The search ends when no bin has one, at the least number of bins there can
-    be, or after `TRIES` looks for each bin with room: what was reached by then is a packing too.
+    bin that has one. One or two pieces go out for none or one back, or one for two, over all
+    pieces of all bins. The search ends when no bin has an exchange, or at the least number of bins
+    there can be.
+
+    Pieces of s ids of a bin with room r give way to any t with s < t <= s + r. So what bins can
+    give is kept by s + r, the least s first; what is given for t out of a bin of room q is the
+    least s between t and t + q, beyond which the squares would not grow. Pieces of one length in
+    one bin are alike, so a bin has no more different pairs than it has ids.
     """
 
-    TRIES = 2
-
     def __init__(self, lengths: np.ndarray, bins: list[list[int]], size: int):
-        self.lengths, self.size = lengths, size
-        self.bins = bins
-        self.room = np.array([size - int(lengths[b].sum()) for b in bins], np.int64)
+        self.size = size
         self.least = -(-int(lengths.sum()) // size) if len(lengths) else 0
-        self.place = np.zeros(len(lengths), np.int64)
-        for k, items in enumerate(bins):
-            self.place[items] = k
+        self.held: list[dict[int, list[int]]] = []  # of each bin, its pieces by length
+        for items in bins:
+            by_length: dict[int, list[int]] = {}
+            for item in items:
+                by_length.setdefault(int(lengths[item]), []).append(item)
+            self.held.append(by_length)
+        self.room = np.array([size - int(lengths[b].sum()) for b in bins], np.int64)
+        self.version = [0] * len(bins)
+        self.sums: list[dict[int, tuple[int, int]] | None] = [None] * len(bins)
+        # for none or one back, and for two: the least s of each s + r, and who offers it
+        self.give = np.full((2, size + 1), size + 1, np.int64)
+        self.offers: list[list[list[tuple[int, int, int]]]] = [
+            [[] for _ in range(size + 1)] for _ in range(2)
+        ]
+        for k in range(len(bins)):
+            self._offer(k)
 
     def run(self) -> list[list[int]]:
-        stuck: set[int] = set()
-        filled = sum(map(bool, self.bins))
-        for _ in range(self.TRIES * int((self.room > 0).sum())):
-            if filled <= self.least:
-                break
-            room = self.room.copy()
-            room[[k for k, items in enumerate(self.bins) if not items or k in stuck]] = 0
-            source = int(room.argmax())
-            if room[source] <= 0:
-                break
-            if not self._exchange(source):
-                stuck.add(source)
+        waiting = np.where([bool(held) for held in self.held], self.room, 0)
+        looked = np.zeros(len(self.held), np.int64)  # exchanges made when a bin had none
+        filled, made = sum(map(bool, self.held)), 0
+        while filled > self.least:
+            source = int(waiting.argmax())
+            if waiting[source] <= 0:
+                again = [bool(held) for held in self.held] & (looked < made)
+                waiting = np.where(again, self.room, 0)
+                if not waiting.any():
+                    break
+                continue
+            target = self._exchange(source)
+            if target is None:
+                waiting[source], looked[source] = 0, made
                 continue
-            stuck.clear()
-            filled -= not self.bins[source]
-        return [b for b in self.bins if b]
-
-    def _exchange(self, source: int) -> bool:
-        """The exchange that moves the most ids out of `source`; False if there is none."""
-        out = [(int(self.lengths[b]), (b,)) for b in self.bins[source]]
-        out += [(s, (a, b)) for s, a, b in _pairs(self.bins[source][:PAIRED], self.lengths)]
-        room = self.room.copy()
-        room[source] = -1
-        room[[not b for b in self.bins]] = -1
-        # ids that a bin must gain at least for the squares to grow: none if it is the fuller one
-        need = np.maximum(room - self.room[source], 0)
-        best: tuple[int, int, tuple, tuple] = (0, -1, (), ())
-        tops = int(room.max()) if len(room) else -1
-        if tops <= 0:
-            return False
-        inside = np.flatnonzero(room[self.place] > 0)  # items of bins that can gain ids
-        lengths, place = self.lengths[inside], self.place[inside]
-        slack, least = room[place], need[place]
-        for total, items in sorted(out, reverse=True):
-            if best[0] < total <= tops:  # a move
-                fits = np.where((room >= total) & (total > need), room, self.size + 1)
-                if fits.min() <= self.size:
-                    best = (total, int(fits.argmin()), items, ())
+            made += 1
+            for k in (source, target):
+                waiting[k] = self.room[k] if self.held[k] else 0
+            filled -= not self.held[source]
+        return [[i for items in held.values() for i in items] for held in self.held if held]
+
+    def _pairs(self, k: int) -> dict[int, tuple[int, int]]:
+        """The different sums of two pieces of a bin, and the lengths of one such pair."""
+        found = self.sums[k]
+        if found is None:
+            own = sorted(self.held[k])
+            found = {a + b: (a, b) for i, a in enumerate(own) for b in own[:i]}
+            found |= {2 * a: (a, a) for a in own if len(self.held[k][a]) > 1}
+            self.sums[k] = found
+        return found
+
+    def _offer(self, k: int) -> None:
+        room = int(self.room[k])
+        if room <= 0 or not self.held[k]:
+            return
+        for table, sums in enumerate(((0, *self.held[k]), self._pairs(k))):
+            give, offers = self.give[table], self.offers[table]
+            for s in sums:
+                heappush(offers[s + room], (s, k, self.version[k]))
+                if s < give[s + room]:
+                    give[s + room] = s
+
+    def _withdraw(self, k: int) -> None:
+        self.version[k] += 1  # what was offered is passed over where it is met
+
+    def _best_back(self, table: int, low: int, high: int, below: int) -> tuple[int, int] | None:
+        """The fewest ids, under `below`, that a bin gives for `low`, and that bin."""
+        give, offers = self.give[table], self.offers[table]
+        while True:
+            at = low + int(give[low:high].argmin())
+            if give[at] >= below:
+                return None
+            heap = offers[at]
+            while heap and self.version[heap[0][1]] != heap[0][2]:
+                heappop(heap)
+            if heap and heap[0][0] == give[at]:
+                return heap[0][:2]
+            give[at] = heap[0][0] if heap else self.size + 1
+
+    def _exchange(self, source: int) -> int | None:
+        """Makes the exchange that moves the most ids out of `source`; its target, if any."""
+        self._withdraw(source)
+        ones, room = self.held[source], int(self.room[source])
+        pairs = self._pairs(source)
+        best: tuple[int, int, tuple[int, ...], int, int] = (0, -1, (), 0, 0)
+        for total in sorted({*ones, *pairs}, reverse=True):
             if total <= best[0]:
                 break
-            moved = total - lengths
-            moved = np.where((moved > least) & (moved <= slack), moved, 0)
-            at = int(moved.argmax()) if len(moved) else 0
-            if len(moved) and moved[at] > best[0]:
-                best = (int(moved[at]), int(place[at]), items, (int(inside[at]),))
-        if best[0] < tops:  # one of the source against two
-            for k in np.argsort(-room)[:32].tolist():
-                if room[k] <= best[0]:
-                    break
-                for two, a, b in _pairs(self.bins[k][:PAIRED], self.lengths):
-                    for total, items in out[: len(self.bins[source])]:
-                        if max(best[0], need[k]) < total - two <= room[k]:
-                            best = (total - two, k, items, (a, b))
-        moved, target, items, back = best
+            high = min(total + room, self.size + 1)
+            for table in (0, 1) if total in ones else (0,):
+                found = self._best_back(table, total, high, total - best[0])
+                if found:
+                    out = (total,) if total in ones else pairs[total]
+                    best = (total - found[0], found[1], out, table, found[0])
+        moved, target, out, table, s = best
         if moved <= 0:
-            return False
-        for here, there, what in ((source, target, items), (target, source, back)):
-            for item in what:
-                self.bins[here].remove(item)
-                self.bins[there].append(item)
-                self.place[item] = there
+            self._offer(source)
+            return None
+        self._withdraw(target)
+        back = self._pairs(target)[s] if table else (s,) if s else ()
+        for here, there, what in ((source, target, out), (target, source, back)):
+            for length, item in [(length, self._take(here, length)) for length in what]:
+                self.held[there].setdefault(length, []).append(item)
         self.room[source] += moved
         self.room[target] -= moved
-        return True
+        for k in (source, target):
+            self.sums[k] = None
+            self._offer(k)
+        return target
+
+    def _take(self, k: int, length: int) -> int:
+        items = self.held[k][length]
+        item = items.pop()
+        if not items:
+            del self.held[k][length]
+        return item
 
 
 def pack_lengths(lengths: np.ndarray, size: int) -> list[list[int]]:

@@ -59,6 +59,36 @@ def test_local_search_beats_best_fit():
     assert gained > 0
 
 
+def has_exchange(bins, lengths, size):
+    """By trying one or two pieces of each bin for none or one of another, and one for two."""
+    sums = [[(int(lengths[i]), 1) for i in b] for b in bins]
+    for b, own in zip(bins, sums, strict=True):
+        own += [(int(lengths[i] + lengths[j]), 2) for n, i in enumerate(b) for j in b[:n]]
+    fills = [int(lengths[b].sum()) for b in bins]
+    for a, f in enumerate(fills):
+        for b, g in enumerate(fills):
+            for out, n in sums[a] if a != b else ():
+                for back, m in [(0, 0), *sums[b]]:
+                    d = out - back
+                    if 0 < d <= size - g and g - f + d > 0 and n + m < 4:
+                        return True
+    return False
+
+
+def test_the_search_ends_where_no_bin_has_an_exchange():
+    rng = np.random.default_rng(7)
+    longer = 0
+    for low, high, n in [(220, 415, 400), (20, 90, 600), (150, 700, 300), (1, 400, 150)]:
+        lengths = rng.integers(low, high, n)
+        bins = packing.pack_lengths(lengths, 1000)
+        assert sorted(i for b in bins for i in b) == list(range(n))
+        assert all(lengths[b].sum() <= 1000 for b in bins)
+        if len(bins) > -(-lengths.sum() // 1000):
+            longer += 1
+            assert not has_exchange(bins, lengths, 1000)
+    assert longer
+
+
 @pytest.mark.parametrize("lengths", [[], [5], [1000, 1000], [600, 600, 400, 400], [1] * 3000])
 def test_small_cases(lengths):
     bins = packing.pack_lengths(np.array(lengths, np.int64), 1000)
