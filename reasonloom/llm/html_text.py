@@ -2,8 +2,11 @@
 
 For every node of a page's tree the density is its characters per tag, lowered by the share of its
 characters that stand in links; a node's density sum adds up its children's densities. The subtree
-of the largest density sum is the main text, widened while a parent on the path from the body down
-holds its density above the least one on that path. Menus, headers, footers, forms, notices and the
+of the largest density sum is main text, widened while a parent on the path from the body down
+holds its density above the least one on that path. So is every other subtree under the body that
+reaches this least density, with the headings before it and the plain blocks between; where an
+article or main element holds the largest sum, only what is in that main, or in articles beside
+that one. Menus, headers, footers, forms, notices and the
 like are taken out of the tree first, by tag, role and names of classes and ids.
 
 A page is parsed in one pass of a regular expression over its whole html; the tree is two lists.
@@ -35,6 +38,7 @@ BLOCKS = frozenset(
     "ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CHROME_TAGS = frozenset("nav header footer aside form menu dialog button select fieldset head".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CHROME_ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split()
 )
@@ -84,6 +88,7 @@ class Node:
     link_chars: int = 0
     density: float = 0.0
     total: float = 0.0
+    peak: float = 0.0  # the largest density of the node and all below it
 
 
 def _by_attributes(tag: str, attributes: str) -> tuple[bool, bool]:
@@ -206,14 +211,21 @@ def measure(root: Node) -> list[Node]:
             node.parent.link_chars += node.link_chars
             node.parent.tags += node.tags + 1
             node.parent.total += node.density
+        node.peak = max(node.peak, node.density)
+        if node.parent is not None and not node.chrome:
+            node.parent.peak = max(node.parent.peak, node.peak)
     return nodes
 
 
-def main_node(root: Node) -> Node | None:
-    """The node of the largest density sum, widened by the thresholds of the path to the body."""
+def main_parts(root: Node) -> list[Node | str | None]:
+    """The subtrees of the main text in page order; null where a block ends.
+
+    The node of the largest density sum, widened by the threshold of the path to the body, and what
+    reaches that threshold beside it.
+    """
     nodes = [n for n in measure(root) if not n.chrome and n.chars]
     if not nodes:
-        return None
+        return []
     body = next((n for n in nodes if n.tag == "body"), root)
     best = max(nodes, key=lambda n: (n.total or n.density, n.chars))
     path = [best]
@@ -222,11 +234,79 @@ def main_node(root: Node) -> Node | None:
     least = min(n.density for n in path)
     while best is not body and best.parent is not None and best.parent.density > least:
         best = best.parent
-    return best
-
-
-def text_of(node: Node | None) -> str:
-    """The blocks of a subtree in page order, blanks folded, joined by one blank."""
+    path = path[next(k for k, n in enumerate(path) if n is best) :]
+    marked = [k for k, n in enumerate(path) if n.tag in ("article", "main")]
+    if not marked:
+        return _parts(path, least)
+    main = next((k for k in marked if path[k].tag == "main"), None)
+    if main is not None:
+        return _parts(path[: main + 1], least)
+    return _parts(path[: marked[-1] + 2], least, articles=marked[-1])
+
+
+def _parts(path: list[Node], least: float, articles: int | None = None) -> list[Node | str | None]:
+    """What reaches `least` under the last node of `path`, and the first node of `path`.
+
+    With `articles`, the place of an article on the path, beside that one articles alone count.
+    """
+    best, above = path[0], {id(n) for n in path[1:]}
+    beside = id(path[articles + 1]) if articles is not None and articles + 1 < len(path) else 0
+    parts: list[Node | str | None] = []
+    held: list[Node | str | None] = []  # stays if a kept part follows
+    waiting: list[Node | str | None] = [path[-1]]
+    while waiting:
+        item = waiting.pop()
+        if item is None:
+            held.append(None)
+            continue
+        if isinstance(item, str):
+            plain, heading = True, False
+            kept = 0 < least <= len(BLANKS.sub("", item))
+        else:
+            if item.chrome or not item.chars:
+                held.extend([None] if item.tag in BLOCKS else [])
+                continue
+            if id(item) in above:
+                inner = item.children
+                if id(item) == beside:
+                    inner = [None if _left_out(c, path) else c for c in inner]
+                waiting.extend((None, *reversed(inner), None))
+                continue
+            plain, heading = not item.link_chars, _is_heading(item)
+            kept = item is best or 0 < least <= item.density
+        if kept and not (heading and item is not best):
+            parts.extend((*held, item))
+            held.clear()
+        elif not isinstance(item, str) and not heading and item.peak >= least > 0:
+            waiting.extend((None, *reversed(item.children), None))
+        elif heading or (plain and (parts or any(h is not None for h in held))):
+            held.append(item)
+        elif not plain:  # links: they take their own heading along
+            while held and (held[-1] is None or _is_heading(held[-1])):
+                held.pop()
+            held.append(None)
+    return parts
+
+
+def _left_out(child: Node | str, path: list[Node]) -> bool:
+    """Whether a child of what holds articles is neither an article, nor a heading, nor on the path."""
+    if isinstance(child, str):
+        return True
+    return child.tag != "article" and all(child is not n for n in path) and not _is_heading(child)
+
+
+def _is_heading(item: Node | str) -> bool:
+    """Whether it is a heading, or holds nothing else."""
+    while not isinstance(item, str) and item.tag not in HEADINGS:
+        filled = [c for c in item.children if (c.strip() if isinstance(c, str) else c.chars and not c.chrome)]
+        if len(filled) != 1:
+            return False
+        item = filled[0]
+    return not isinstance(item, str)
+
+
+def text_of(parts: list[Node | str | None]) -> str:
+    """The blocks of subtrees in page order, blanks folded, joined by one blank."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -236,7 +316,7 @@ def text_of(node: Node | None) -> str:
             blocks.append(text)
         line.clear()
 
-    waiting: list[Node | str | None] = [node] if node else []
+    waiting: list[Node | str | None] = parts[::-1]
     while waiting:
         item = waiting.pop()
         if item is None:
@@ -253,7 +333,7 @@ def text_of(node: Node | None) -> str:
 
 
 def extract(page: str | None) -> str:
-    return text_of(main_node(parse(page))) if page else ""
+    return text_of(main_parts(parse(page))) if page else ""
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -67,6 +67,34 @@ def test_densities_choose_the_text_among_unnamed_boxes():
     assert extract(page) == " ".join((LONG + LONG).split())
 
 
+PART = "<p>" + "x" * 500
+LINKS = "<div><ul>" + "<li><a href=/>A link of some words</a>" * 8 + "</ul></div>"
+
+
+@pytest.mark.parametrize(
+    "page, kept",
+    [
+        ("<h1>The title</h1><div>{5}</div><div>{4}</div>", "The title {9}"),
+        ("<div><h1>The title</h1></div><div>{2}</div><div>{5}</div>", "The title {7}"),
+        ("<h1>The title</h1><div>By me</div>{links}<div>{5}</div>{links}<div>{4}</div>", "The title By me {9}"),
+        ("<div>{5}</div><h2>More</h2><p>Short.</p><div>{4}</div>", "{5} More Short. {4}"),
+        ("<div>{5}</div><h2>Elsewhere</h2>{links}<div>{4}</div>{links}", "{9}"),
+        ("<div>{5}</div><div>{links}<div>{4}</div></div>", "{9}"),
+        ("<article>{5}</article>{links}<article>{4}</article>", "{9}"),
+        ("<article>{5}</article><div class=more>{4}</div>", "{5}"),
+        ("<h1>The title</h1>" + "x" * 60 + "<article>{5}</article>", "The title {5}"),
+        ("<article><div>{5}</div>" + "x" * 500 + "<div>{4}</div></article>", "{10}"),
+    ],
+)
+def test_siblings_below_the_body(page, kept):
+    page = page.replace("{links}", LINKS)
+    for n in (2, 4, 5):
+        page = page.replace(f"{{{n}}}", PART * n)
+    for n in (4, 5, 7, 9, 10):
+        kept = kept.replace(f"{{{n}}}", " ".join(["x" * 500] * n))
+    assert extract(f"<html><body>{page}</body></html>") == kept
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 5000 + f"<p>{LONG}</p>"
     assert extract(deep) == LONG.strip()
