@@ -101,9 +101,66 @@ UNION ALL
 SELECT doc_id, doc_id, 0, 1 FROM words WHERE len(w) = 0
 """
 
+COLLOCATIONS = r"""
+WITH RECURSIVE pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+counts AS (
+  SELECT lang, size, phrase, count(*) AS n FROM (
+    SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2),
+      lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+    FROM words, (SELECT unnest([1, 2, 3, 4]) AS size) s WHERE len(w) >= size)
+  GROUP BY ALL HAVING count(*) >= 30
+), candidates AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE size >= 2
+), inner_parts AS (
+  SELECT lang, n, unnest(list_transform(range(1, size - m + 2),
+    lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM candidates, (SELECT unnest([2, 3]) AS m) s WHERE m < size
+), covers AS (SELECT lang, phrase, max(n) AS longer FROM inner_parts GROUP BY ALL),
+cuts AS (
+  SELECT c.*, unnest(range(1, size)) AS k FROM candidates c
+  LEFT JOIN covers v USING (lang, phrase)
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * n
+), scored AS (
+  SELECT c.lang, c.phrase, c.size, c.n AS a, k, x.n AS l, y.n AS r,
+    CAST((2000000::HUGEINT * c.n) // (x.n + y.n) AS BIGINT) AS score
+  FROM cuts c
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+), links AS (
+  SELECT e.lang, e.phrase, f.phrase AS next
+  FROM candidates e JOIN counts v ON v.lang = e.lang AND v.n = e.n
+    AND v.phrase = array_to_string(e.w[2:4], ' ')
+  JOIN candidates f ON f.lang = e.lang AND f.n = e.n AND f.size = 4
+    AND array_to_string(f.w[1:3], ' ') = v.phrase
+  WHERE e.size = 4
+), walk AS (
+  SELECT lang, phrase AS head, phrase, 1 AS place FROM links
+  WHERE (lang, phrase) NOT IN (SELECT (lang, next) FROM links)
+  UNION ALL
+  SELECT w.lang, w.head, l.next, w.place + 1 FROM walk w JOIN links l
+  ON l.lang = w.lang AND l.phrase = w.phrase
+), paths AS (
+  SELECT lang, phrase, max(place) OVER (PARTITION BY lang, head) + 3 AS path_words FROM walk
+)
+SELECT lang, rank, phrase, a, l, r, n, score,
+  CAST(coalesce(path_words, size) AS BIGINT) AS path_words
+FROM ranked JOIN totals USING (lang) LEFT JOIN paths USING (lang, phrase) WHERE rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op3_ngram_join": NGRAM_JOIN,
     "op5_quality_rules": QUALITY,
     "op6_decontamination": DECONTAMINATION,
     "op9_license_scan": licenses.oracle_sql(),
+    "op13_collocations": COLLOCATIONS,
 }

@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 from reasonloom.llm import (
     binary_ids,
     chat_format,
+    collocations,
     decontaminate,
     html_text,
     langid,
     licenses,
     ngram_join,
     packing,
+    periodic_runs,
     quality,
+    sharding,
     toxicity,
 )
 from reasonloom.llm.oracle import ORACLE
-from reasonloom.session import scratch_path, write_once
+from reasonloom.session import computed_once, scratch_path, write_once
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -92,6 +95,33 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(formatted)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.shard(_table(spark, sf_dir, "documents")))
+
+
+def with_runs(documents: DataFrame) -> DataFrame:
+    """The documents, a tenth of which repeat a stretch of their words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")
+    planted = documents.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w"))
+    planted = computed_once(planted, "w").withColumn("n", F.size("w"))
+    planted = planted.withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("g % n"))
+    planted = computed_once(planted.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)")), "a", "p")
+    text = "array_join(transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p as int)])), ' ')"
+    return planted.select("doc_id", F.when(F.col("n") > 0, F.expr(text)).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = with_runs(_table(spark, sf_dir, "documents"))
+    return periodic_runs.digest(periodic_runs.periodic_runs(documents))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = collocations.build_graph(_table(spark, sf_dir, "documents"))
+    top = collocations.top_phrases(collocations.score(graph), 2000)
+    return top.select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "path_words")
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -103,4 +133,7 @@ QUERIES: dict[str, Query] = {
     "op8_html_text": op8_html_text,
     "op9_license_scan": op9_license_scan,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_sharding": op11_sharding,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
