@@ -3,10 +3,11 @@
 Nodes are stretches of `longest - 1` words, edges those of `longest` words, which overlap in all
 but their outer words; the weight of an edge is its number of occurrences.
 
-1. Only edges, and the stretches that end a piece, are counted from the texts. Words and pairs
-   of words are first counted in hashed buckets: a bucket of fewer than `min_count` holds no word
-   or pair of any wanted phrase, so pieces may end there. Buckets only ever count too much, so no
-   wanted phrase is touched; with too few buckets more is counted for nothing.
+1. Only edges are counted from the texts, and for words from which no edge leaves, as their piece
+   ends too soon, the stretch up to its end. To count less, words and pairs are first counted in
+   hashed buckets, then the longer stretches of frequent pairs: a bucket of fewer than `min_count`
+   holds no part of a wanted phrase, so a piece may as well end before it. Buckets only ever count
+   too much, so no wanted phrase is touched; with too few buckets more is counted for nothing.
 2. Shorter stretches are not counted but derived: the flow of a node is the weight of the edges
    that leave it and of the pieces that end in it, and so on down to single words.
 3. Unary paths are compacted: where a node has one edge in and one out, of its own weight, the
@@ -26,7 +27,7 @@ piece is held whole by its task.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,9 +56,9 @@ class PhraseConfig:
     longest: int = 4
     min_count: int = 30
     inside: int = 80  # a phrase goes if a longer one has this percentage of its occurrences
-    bucket_bits: int = 25  # at least one bucket for every few words of the corpus prunes best
+    bucket_bits: int = 27  # at least one bucket for every few words of the corpus prunes best
     top_salts: int = 64
-    block_chars: int = 4_000_000
+    block_chars: int = 2_000_000
 
     def __post_init__(self):
         if self.longest < 3 or not 16 <= self.bucket_bits <= 30:
@@ -108,7 +109,15 @@ class Block:
         sums = np.concatenate([[np.uint64(0)], np.cumsum(VALUES[self.data] * up[: len(self.data)])])
         word = (sums[self.ends] - sums[self.starts]) * down[self.starts]
         self.word = _mixed(word + _mixed(self.lang_hashes(langs)[self.lang]))
-        self.pair = _mixed(self.word[:-1] * FACTOR + self.word[1:])
+
+    def stretches(self, size: int, first: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the stretches of `size` words from each of these words on, or from every word."""
+        if first is None:
+            first = np.arange(max(0, len(self.word) - size + 1))
+        value = self.word[first]
+        for k in range(1, size):
+            value = _mixed(value * FACTOR + self.word[first + k])
+        return value
 
     @staticmethod
     def lang_hashes(langs: dict[str, int]) -> np.ndarray:
@@ -155,22 +164,35 @@ def _texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def _frequent_buckets(docs: DataFrame, cfg: PhraseConfig) -> np.ndarray:
-    """A bit for every bucket in which words or pairs occur often enough."""
+class Buckets:
+    """Which hashes lie in a bucket of many occurrences; a bit for every bucket."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+        self.shift = np.uint64(64 - int(len(bits) * 64).bit_length() + 1)
+
+    def often(self, hashes: np.ndarray) -> np.ndarray:
+        bucket = (hashes >> self.shift).astype(np.int64)
+        return (self.bits[bucket >> 6] >> (bucket & 63)) & 1 == 1
+
+
+def _count_buckets(
+    docs: DataFrame, cfg: PhraseConfig, hashes_of: Callable[[Block], np.ndarray]
+) -> np.ndarray:
+    """A bit for every bucket with `min_count` or more of the hashes of all blocks."""
     shift = np.uint64(64 - cfg.bucket_bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _ in _blocks(batches, cfg.block_chars):
-            seen = np.concatenate([block.word, block.pair[block.joined]]) >> shift
-            buckets, counts = np.unique(seen, return_counts=True)
-            columns = [pa.array(buckets.astype(np.int64)), pa.array(counts.astype(np.int64))]
+            buckets, counts = np.unique(hashes_of(block) >> shift, return_counts=True)
+            columns = [pa.array(buckets.astype(np.int32)), pa.array(counts.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["bucket", "n"])
 
-    counted = _texts(docs).mapInArrow(count, "bucket long, n long").groupBy("bucket")
+    counted = _texts(docs).mapInArrow(count, "bucket int, n long").groupBy("bucket")
     often = counted.agg(F.sum("n").alias("n")).filter(F.col("n") >= cfg.min_count)
     # 64 buckets a row: at most 2 ** (bucket_bits - 6) rows reach the driver
     packed = often.groupBy(F.shiftright("bucket", 6).alias("at")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(bucket & 63 as int)))").alias("bits")
+        F.expr("bit_or(shiftleft(1L, bucket & 63))").alias("bits")
     )
     table = packed.toArrow()
     bits = np.zeros(2**cfg.bucket_bits // 64, np.int64)
@@ -178,19 +200,50 @@ def _frequent_buckets(docs: DataFrame, cfg: PhraseConfig) -> np.ndarray:
     return bits
 
 
+def _words_and_pairs(block: Block) -> np.ndarray:
+    return np.concatenate([block.word, block.stretches(2)[block.joined]])
+
+
+def _linked(block: Block, short: Buckets) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are frequent, and which also make a frequent pair with the next word."""
+    good = short.often(block.word)
+    linked = block.joined & good[1:] & good[:-1]
+    linked[linked] = short.often(block.stretches(2, np.flatnonzero(linked)))
+    return good, np.append(linked, False)[: len(good)]
+
+
+def _both(reached: np.ndarray) -> np.ndarray:
+    """From which words on a stretch and the one after it are reached."""
+    return reached & np.append(reached[1:], False)
+
+
+def _longer(longest: int, short: np.ndarray) -> Callable[[Block], np.ndarray]:
+    """Hashes of all stretches of three words or more whose pairs are all frequent."""
+
+    def hashes(block: Block) -> np.ndarray:
+        _, reached = _linked(block, Buckets(short))
+        found = [np.zeros(0, np.uint64)]
+        for size in range(3, longest + 1):
+            reached = _both(reached)
+            found.append(block.stretches(size, np.flatnonzero(reached)))
+        return np.concatenate(found)
+
+    return hashes
+
+
+def _frequent_buckets(docs: DataFrame, cfg: PhraseConfig) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of words and pairs, and those of longer stretches."""
+    short = _count_buckets(docs, cfg, _words_and_pairs)
+    sent = docs.sparkSession.sparkContext.broadcast(short)  # at most 2 ** bucket_bits bits
+    return short, _count_buckets(docs, cfg, lambda block: _longer(cfg.longest, sent.value)(block))
+
+
 def _grams(docs: DataFrame, cfg: PhraseConfig) -> DataFrame:
     """lang, size, phrase, n: all edges, and the stretches that end a piece; size 0 counts words."""
-    bits = docs.sparkSession.sparkContext.broadcast(_frequent_buckets(docs, cfg))
-    shift = np.uint64(64 - cfg.bucket_bits)
-
-    def often(hashes: np.ndarray) -> np.ndarray:
-        bucket = (hashes >> shift).astype(np.int64)
-        return (bits.value[bucket >> 6] >> (bucket & 63)) & 1 == 1
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent_buckets(docs, cfg))
 
     def rows_of(block: Block, names: list[str], size: int, first: np.ndarray) -> pa.RecordBatch:
-        value = block.word[first]
-        for k in range(1, size):
-            value = _mixed(value * FACTOR + block.word[first + k])
+        value = block.stretches(size, first)
         _, one, counts = np.unique(value, return_index=True, return_counts=True)
         some = first[one]
         columns = [
@@ -202,6 +255,7 @@ def _grams(docs: DataFrame, cfg: PhraseConfig) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "n"])
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short, long = map(Buckets, sent.value)
         for block, names in _blocks(batches, cfg.block_chars):
             if not len(block.word):
                 continue
@@ -210,20 +264,16 @@ def _grams(docs: DataFrame, cfg: PhraseConfig) -> DataFrame:
             kinds = [pa.string(), pa.int32(), pa.string(), pa.int64()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["lang", "size", "phrase", "n"])
-            good = often(block.word)
-            linked = block.joined & good[1:] & good[:-1]
-            linked[linked] = often(block.pair[linked])
-            # how many words back, up to `longest`, a stretch reaches that ends in each word
-            back = good.astype(np.int8)
-            chain = np.concatenate([[False], linked])
-            for k in range(1, cfg.longest):
-                chain = chain & np.concatenate([[False], chain[:-1]]) if k > 1 else chain
-                back += chain
-            last = good & ~np.concatenate([linked, [False]])
-            for size in range(1, cfg.longest):
-                yield rows_of(block, names, size, np.flatnonzero(last & (back >= size)) - size + 1)
-            at = np.flatnonzero(back >= cfg.longest) - cfg.longest + 1
-            yield rows_of(block, names, cfg.longest, at)
+            # one stretch from every word on, the longest that is frequent as a whole
+            shorter, reached = _linked(block, short)
+            for size in range(2, cfg.longest + 1):
+                if size > 2:
+                    reached = _both(shorter)
+                    at = np.flatnonzero(reached)
+                    reached[at] = long.often(block.stretches(size, at))
+                yield rows_of(block, names, size - 1, np.flatnonzero(shorter & ~reached))
+                shorter = reached
+            yield rows_of(block, names, cfg.longest, np.flatnonzero(shorter))
 
     made = _texts(docs).mapInArrow(gram, "lang string, size int, phrase string, n long")
     return made.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
@@ -352,7 +402,7 @@ def _inner(longest: int) -> Column:
 
 
 def score(graph: Graph, cfg: PhraseConfig | None = None) -> DataFrame:
-    """lang, phrase, a, l, r, n, score, path_words of all candidates that no longer phrase covers.
+    """lang, phrase, a, l, r, score, path_words of all candidates that no longer phrase covers.
 
     `path_words` is the number of words of the unary path that the phrase's edge lies on; of a
     shorter phrase, its own words.
@@ -394,25 +444,21 @@ def score(graph: Graph, cfg: PhraseConfig | None = None) -> DataFrame:
     ranks = ranked_edges(graph)
     lengths = ranks.groupBy("lang", "head").agg((F.count("*") + cfg.longest - 1).alias("path_words"))
     on_path = ranks.join(lengths, ["lang", "head"]).select("lang", "phrase", "path_words")
-    words = graph.words.select("lang", F.col("n").alias("n"))
-    return (
-        best.join(on_path, ["lang", "phrase"], "left")
-        .join(words, "lang")
-        .select(
-            "lang",
-            "phrase",
-            "a",
-            "cut.l",
-            "cut.r",
-            "n",
-            "cut.score",
-            F.coalesce("path_words", F.col("size").cast("long")).alias("path_words"),
-        )
+    return best.join(on_path, ["lang", "phrase"], "left").select(
+        "lang",
+        "phrase",
+        "a",
+        "cut.l",
+        "cut.r",
+        "cut.score",
+        F.coalesce("path_words", F.col("size").cast("long")).alias("path_words"),
     )
 
 
-def top_phrases(scored: DataFrame, first: int, cfg: PhraseConfig | None = None) -> DataFrame:
-    """The first phrases of each language, ranked from 1; salted first, so no task ranks all."""
+def top_phrases(graph: Graph, first: int, cfg: PhraseConfig | None = None) -> DataFrame:
+    """The first phrases of each language by `score`, with `rank` from 1 and `n`, the words of the
+    language. Ranked in salted parts first, so no task ranks all phrases of a language."""
+    scored = score(graph, cfg)
     salts = (cfg or PhraseConfig()).top_salts
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salt = F.pmod(F.xxhash64("phrase"), F.lit(salts))
@@ -420,4 +466,4 @@ def top_phrases(scored: DataFrame, first: int, cfg: PhraseConfig | None = None)
     some = scored.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= first)
     whole = Window.partitionBy("lang").orderBy(*order)
     ranked = some.withColumn("rank", F.row_number().over(whole).cast("long"))
-    return ranked.filter(F.col("rank") <= first)
+    return ranked.filter(F.col("rank") <= first).join(graph.words, "lang")

@@ -118,7 +118,7 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = collocations.build_graph(_table(spark, sf_dir, "documents"))
-    top = collocations.top_phrases(collocations.score(graph), 2000)
+    top = collocations.top_phrases(graph, 2000)
     return top.select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "path_words")
 
 

@@ -49,8 +49,8 @@ def plain_top(rows, cfg, first):
 
 
 def top(docs, cfg, first=2000):
-    scored = collocations.score(collocations.build_graph(docs, cfg), cfg)
-    return sorted(map(tuple, collocations.top_phrases(scored, first, cfg).select(*COLUMNS).collect()))
+    found = collocations.top_phrases(collocations.build_graph(docs, cfg), first, cfg)
+    return sorted(map(tuple, found.select(*COLUMNS).collect()))
 
 
 @pytest.fixture(scope="module")
@@ -87,7 +87,7 @@ def test_buckets_and_blocks_change_nothing(corpus):
 def test_full_buckets_change_nothing(corpus, monkeypatch):
     _, docs = corpus
     wanted = top(docs, PhraseConfig(min_count=5))
-    full = lambda docs, cfg: collocations.np.full(2**cfg.bucket_bits // 64, -1)
+    full = lambda docs, cfg: (collocations.np.full(2**cfg.bucket_bits // 64, -1),) * 2
     monkeypatch.setattr(collocations, "_frequent_buckets", full)
     assert top(docs, PhraseConfig(min_count=5, bucket_bits=16)) == wanted
 
