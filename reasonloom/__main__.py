@@ -1,4 +1,4 @@
-"""Jobs: `python -m reasonloom curate|report|sample|examples|batches|scores ...`, or spark-submit."""
+"""Jobs: `python -m reasonloom curate|report|sample|copy|examples|batches|scores ...`, or spark-submit."""
 
 from __future__ import annotations
 
@@ -16,22 +16,25 @@ from reasonloom.operators.examples import (
     ExampleConfig,
     build_examples,
 )
+from reasonloom.operators.file_runs import curate_each
+from reasonloom.operators.rank_files import write_ranks
 from reasonloom.operators.scores import combined, loss_gaps
 from reasonloom.operators.vocab import build_vocab, encode_examples, token_rows
 from reasonloom.session import remove_scratch
+from reasonloom.sources.copies import sample_copies
 from reasonloom.sources.files import sample_files
 from reasonloom.sources.paths import list_source_files
 from reasonloom.sources.readers import (
     ABSENT,
+    CORPUS_COLUMNS,
     only_below,
     read_corpus,
     read_differing,
-    read_parquet_dir,
     skipped_files,
-    with_source_file,
 )
 from reasonloom.sources.sink import write_filtered
 
+KEEP_GOING = "file by file with a log: failing files stop no others, a further run goes on"
 SKIP = "leave out unreadable and damaged files, and name them"
 
 
@@ -46,15 +49,24 @@ def _parser() -> argparse.ArgumentParser:
         job.add_argument("--max_len", type=int, default=2048)
         job.add_argument("--pass_rate", type=float, default=0.8)
         job.add_argument("--skip_corrupt", action="store_true", help=SKIP)
+        if name == "curate":
+            job.add_argument("--keep_going", action="store_true", help=KEEP_GOING)
 
     # The names and defaults of these options.
-    job = jobs.add_parser("sample", help="take whole files at random")
-    job.add_argument("--source_dir", required=True)
-    job.add_argument("--target_dir", required=True)
-    job.add_argument("--sample_ratio", type=float)
-    job.add_argument("--sample_count", type=int)
-    job.add_argument("--seed", type=int, default=42)
-    job.add_argument("--skip_corrupt", action="store_true", help=SKIP)
+    for name, text in (
+        ("sample", "take the rows of whole files at random"),
+        ("copy", "copy whole files at random, byte for byte"),
+    ):
+        job = jobs.add_parser(name, help=text)
+        job.add_argument("--source_dir", required=True)
+        job.add_argument("--target_dir", required=True)
+        job.add_argument("--sample_ratio", type=float)
+        job.add_argument("--sample_count", type=int)
+        job.add_argument("--seed", type=int, default=42)
+        if name == "sample":
+            job.add_argument("--skip_corrupt", action="store_true", help=SKIP)
+        else:
+            job.add_argument("--skip_failing", action="store_true", help="go on after failing files")
 
     job = jobs.add_parser("examples", help="build training examples with a status per row")
     job.add_argument("source")
@@ -98,10 +110,13 @@ def main(argv: list[str] | None = None) -> None:
 def _write_batches(spark: SparkSession, args: argparse.Namespace) -> None:
     """`examples` with their batch, `vocab` and `batches` of token ids, below the target folder.
 
-    A row's key is its file and its number in it.
+    A row's key is its file and its number in it. Files may differ in columns and types. The
+    batches are in the order in which each shard takes them, with an index of the files.
     """
     cfg = ExampleConfig(args.max_length, args.system_prompt)
-    rows = with_source_file(read_parquet_dir(spark, args.source_dir), args.source_dir)
+    rows = read_differing(spark, args.source_dir, row_numbers=True)
+    absent = [c for c in CORPUS_COLUMNS if c not in rows.columns]
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in absent})
     key = F.concat_ws("#", "source_file", F.col("row_in_file").cast("string"))
     rows = rows.withColumn("example_id", key)
     shards = assign_shards(rows.select("example_id"), args.shards, args.seed, args.epoch)
@@ -113,8 +128,7 @@ def _write_batches(spark: SparkSession, args: argparse.Namespace) -> None:
     words = spark.read.parquet(f"{args.target_dir}/vocab")
     carry = (*POSITION_COLUMNS, "shard", "batch_id", "slot", "status")
     encoded = encode_examples(usable, words, carry=carry)
-    batches = collate(encoded, cfg, "token_ids")
-    batches.write.mode("overwrite").parquet(f"{args.target_dir}/batches")
+    write_ranks(collate(encoded, cfg, "token_ids"), f"{args.target_dir}/batches")
 
 
 def _write_scores(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -127,18 +141,32 @@ def _write_scores(spark: SparkSession, args: argparse.Namespace) -> None:
     found.write.mode("overwrite").parquet(args.target_dir)
 
 
+def _ratio(args: argparse.Namespace) -> float | None:
+    """The share of files to take; a tenth if neither a share nor a number is given."""
+    neither = args.sample_ratio is None and args.sample_count is None
+    return 0.1 if neither else args.sample_ratio
+
+
 def _run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.job == "curate":
         cfg = CurateConfig(args.max_len, args.pass_rate)
-        curate_files(spark, args.source_dir, args.target_dir, cfg, args.skip_corrupt)
+        if args.keep_going:
+            log = curate_each(spark, args.source_dir, args.target_dir, cfg)
+            for row in log.filter("status = 'failed'").toLocalIterator():
+                print(f"failed {row['source_file']}: {row['error']}")
+        else:
+            curate_files(spark, args.source_dir, args.target_dir, cfg, args.skip_corrupt)
     elif args.job == "report":
         cfg = CurateConfig(args.max_len, args.pass_rate)
         rows = funnel(read_files(spark, args.source_dir, args.skip_corrupt), cfg)
         rows.write.mode("overwrite").parquet(args.target_dir)
+    elif args.job == "copy":
+        how = {"count": args.sample_count, "seed": args.seed, "skip_failing": args.skip_failing}
+        manifest = sample_copies(spark, args.source_dir, args.target_dir, _ratio(args), **how)
+        for row in manifest.filter("error IS NOT NULL").toLocalIterator():
+            print(f"not copied {row['path']}: {row['error']}")
     elif args.job == "sample":
-        ratio = args.sample_ratio
-        if ratio is None and args.sample_count is None:
-            ratio = 0.1
+        ratio = _ratio(args)
         rows = read_differing(spark, args.source_dir, skip_corrupt=args.skip_corrupt).drop(ABSENT)
         listing = list_source_files(spark, args.source_dir)
         chosen = sample_files(rows, ratio, args.sample_count, args.seed, listing=listing)

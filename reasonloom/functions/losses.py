@@ -34,6 +34,23 @@ def token_ce(logits: Column | str, label: Column | str) -> Column:
     return bound(scaled, log_sum) - F.get(logits, label).cast("double")
 
 
+def chunk_sums(logits: Column | str) -> Column:
+    """(top, total) of a chunk of logits: its maximum and the sum of exp(logit - maximum).
+
+    Null for an empty or null chunk. Two such pairs merge without the logits: the greater maximum,
+    and both sums scaled to it.
+    """
+    logits = F.col(logits) if isinstance(logits, str) else logits
+
+    def sums(x: Column) -> Column:
+        total = F.aggregate(
+            x["all"], F.lit(0.0), lambda acc, v: acc + F.exp(v.cast("double") - x["top"])
+        )
+        return F.when(x["top"].isNotNull(), F.struct(x["top"].alias("top"), total.alias("total")))
+
+    return bound(F.struct(logits.alias("all"), F.array_max(logits).cast("double").alias("top")), sums)
+
+
 def sigmoid(col: Column) -> Column:
     return 1 / (1 + F.exp(-col))
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
+from reasonloom.functions.tokenizers import BatchTokenizer, batch_count
+
 # Python's str.split() whitespace, as the inside of a regex class.
 WHITESPACE = (
     r"\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}"
@@ -70,9 +72,13 @@ def counter_udf(count: Callable[[str], int]) -> Callable[[Column], Column]:
     return counted
 
 
-def token_count(col: Column | str, tokenizer: str | Callable[[str], int] = "whitespace") -> Column:
+def token_count(
+    col: Column | str, tokenizer: str | Callable[[str], int] | BatchTokenizer = "whitespace"
+) -> Column:
     if tokenizer == "whitespace":
         return word_count(col)
+    if isinstance(tokenizer, BatchTokenizer):
+        return batch_count(tokenizer)(text_or_empty(col))
     return counter_udf(tokenizer)(text_or_empty(col))
 
 

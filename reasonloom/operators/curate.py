@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reasonloom.functions.text import to_number, token_count, word_count_bound
+from reasonloom.functions.tokenizers import BatchTokenizer
 from reasonloom.sources.readers import ABSENT, only_below, read_differing
 from reasonloom.sources.sink import write_filtered
 
@@ -21,7 +22,7 @@ TEXTS = ("problem", "generated_solution")
 class CurateConfig:
     max_len: int = 2048
     pass_rate: float = 0.8
-    tokenizer: str | Callable[[str], int] = "whitespace"
+    tokenizer: str | Callable[[str], int] | BatchTokenizer = "whitespace"
 
     def __post_init__(self) -> None:
         if self.max_len <= 0:
@@ -82,7 +83,9 @@ def filter_pass_rate(df: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def filter_length(
-    df: DataFrame, max_len: int = 2048, tokenizer: str | Callable[[str], int] = "whitespace"
+    df: DataFrame,
+    max_len: int = 2048,
+    tokenizer: str | Callable[[str], int] | BatchTokenizer = "whitespace",
 ) -> DataFrame:
     return df.filter(short_enough(CurateConfig(max_len=max_len, tokenizer=tokenizer)))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from reasonloom.functions import text as T
+from reasonloom.functions.tokenizers import BatchTokenizer, Tokenizer, batch_count, batch_spans
 from reasonloom.session import computed_once
 
 PAD = "<pad>"
@@ -31,8 +32,6 @@ DEFAULT_SYSTEM_PROMPT = (
 )
 SPANS = "array<struct<token: string, s: int, e: int>>"
 
-Tokenizer = Callable[[str], list[tuple[str, int, int]]]
-
 
 EXAMPLE_COLUMNS = (
     "tokens",
@@ -63,7 +62,8 @@ POSITION_COLUMNS = (
 
 @dataclass(frozen=True)
 class ExampleConfig:
-    """`tokenizer` replaces the built-in one: text -> (token, start, end), in text order.
+    """`tokenizer` replaces the built-in one: text -> (token, start, end), in text order, or a
+    `BatchTokenizer`, which is several times cheaper.
 
     It may add special tokens, of empty spans, to every text it gets; `bos_token` names the one it
     puts first, which then counts before the target. Prompts are measured without them.
@@ -71,7 +71,7 @@ class ExampleConfig:
 
     max_length: int = 1024
     system_prompt: str | None = None
-    tokenizer: Tokenizer | None = None
+    tokenizer: Tokenizer | BatchTokenizer | None = None
     bos_token: str | None = None
 
     def __post_init__(self) -> None:
@@ -92,8 +92,10 @@ def render_prompt(df: DataFrame, system_prompt: str | None = None) -> DataFrame:
     )
 
 
-def spans_udf(tokenizer: Tokenizer, most: int) -> Callable[[Column], Column]:
+def spans_udf(tokenizer: Tokenizer | BatchTokenizer, most: int) -> Callable[[Column], Column]:
     """The first `most` spans of a text; what lies beyond does not leave the Python worker."""
+    if isinstance(tokenizer, BatchTokenizer):
+        return batch_spans(tokenizer, most)
 
     @pandas_udf(SPANS)
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -107,8 +109,12 @@ def spans_udf(tokenizer: Tokenizer, most: int) -> Callable[[Column], Column]:
     return spans
 
 
-def count_udf(tokenizer: Tokenizer, bos_token: str | None) -> Callable[[Column], Column]:
+def count_udf(
+    tokenizer: Tokenizer | BatchTokenizer, bos_token: str | None
+) -> Callable[[Column], Column]:
     """How many tokens a text has without special ones: those of no text, and a first BOS."""
+    if isinstance(tokenizer, BatchTokenizer):
+        return batch_count(tokenizer)
 
     @pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reasonloom.functions import text as T
+from reasonloom.functions.tokenizers import BatchTokenizer, Tokenizer
+from reasonloom.operators.examples import spans_udf
 from reasonloom.session import computed_once
-from reasonloom.operators.examples import Tokenizer, spans_udf
+
+ALL = 2**31 - 1
 
 
 def token_spans(
@@ -15,7 +18,7 @@ def token_spans(
     col: str,
     key: str = "example_id",
     max_length: int | None = None,
-    tokenizer: Tokenizer | None = None,
+    tokenizer: Tokenizer | BatchTokenizer | None = None,
 ) -> DataFrame:
     """(key, i, token, s, e): token i covers characters [s, e) of the text.
 
@@ -25,7 +28,7 @@ def token_spans(
     """
     text = T.text_or_empty(col)
     if tokenizer:
-        spans = df.select(key, spans_udf(tokenizer)(text).alias("spans"))
+        spans = df.select(key, spans_udf(tokenizer, max_length or ALL)(text).alias("spans"))
     else:
         tiled = df.select(key, T.pieces(text).alias("pieces"))
         if max_length is not None:

@@ -272,6 +272,16 @@ ORACLE: dict[str, str] = {
     "rows_at": "SELECT global_idx, doc_id FROM (SELECT doc_id, count(*) OVER () AS n, "
     "row_number() OVER (ORDER BY doc_id) - 1 AS global_idx FROM documents) "
     "WHERE global_idx IN (0, 7, 500, n - 1)",
+    "row_group_lookup": "SELECT global_idx, doc_id, md5(text) AS text_md5 FROM (SELECT doc_id, text, "
+    "count(*) OVER () AS n, row_number() OVER (ORDER BY doc_id) - 1 AS global_idx FROM documents) "
+    "WHERE global_idx % 50 = 0 OR global_idx = n - 1",
+    "sample_copies": _with(
+        REASONING,
+        RANKED_FILES,
+        final=f"SELECT source_file, count(*) AS n_rows, {_content('generated_solution')} AS content "
+        "FROM reasoning JOIN (SELECT source_file FROM ranked WHERE r <= 3) USING (source_file) "
+        "GROUP BY source_file",
+    ),
     "profile": _with(
         REASONING,
         final="\nUNION ALL ".join(
@@ -305,6 +315,14 @@ ORACLE: dict[str, str] = {
         REASONING,
         final=f"SELECT * FROM reasoning WHERE {ANSWERED} AND {RATE} > 0.8 AND {WORDS} <= 2048",
     ),
+    "curate_mixed_files": _with(
+        REASONING,
+        "kinds AS (SELECT *, example_id % 4 AS k FROM reasoning)",
+        final="SELECT example_id, ['whole', 'unrated', 'unasked', 'numbers'][k + 1] AS kind, "
+        "CASE WHEN k <> 2 THEN md5(problem) END AS problem_md5, "
+        "md5(generated_solution) AS generated_solution_md5 "
+        f"FROM kinds WHERE {ANSWERED} AND (k = 1 OR {RATE} > 0.8) AND (k = 2 OR {WORDS} <= 2048)",
+    ),
     "render_prompt": _with(
         REASONING, TEXTS, final="SELECT example_id, prompt, full_text FROM texts"
     ),
@@ -314,6 +332,9 @@ ORACLE: dict[str, str] = {
     "token_spans": _with(
         REASONING, TEXTS, TOKENS, final="SELECT example_id, i, token, s, e FROM tokens"
     ),
+    "batch_spans": _with(
+        REASONING, TEXTS, TOKENS, final="SELECT example_id, i, s, e FROM tokens"
+    ),
     "pad_truncate": _joined(0, pad=True),
     "shifted_labels": _joined(1, pad=False),
     "target_start": _with(*EXAMPLE_PARTS, final="SELECT example_id, start FROM starts"),
@@ -407,6 +428,10 @@ ORACLE: dict[str, str] = {
     "token_ce": """SELECT vec_id, round(top + ln(list_sum(list_transform(embedding, lambda x:
         exp(CAST(x AS DOUBLE) - top)))) - CAST(embedding[label + 1] AS DOUBLE), 6) AS ce
         FROM (SELECT *, CAST(list_max(embedding) AS DOUBLE) AS top FROM embeddings)""",
+    "token_ce_chunked": """SELECT vec_id, round(top + ln(list_sum(list_transform(embedding, lambda x:
+        exp(CAST(x AS DOUBLE) - top)))) - CAST(embedding[label + 1] AS DOUBLE), 6) AS ce,
+        CAST(len(embedding) AS BIGINT) AS n_ids
+        FROM (SELECT *, CAST(list_max(embedding) AS DOUBLE) AS top FROM embeddings)""",
     "base_loss": _with(*SCORE_PARTS, final="SELECT batch_id, round(base, 6) AS base FROM base"),
     "efficiency": _with(
         *SCORE_PARTS, final="SELECT example_id, n_ans, round(score, 6) AS score FROM eff"

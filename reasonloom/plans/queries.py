@@ -9,10 +9,21 @@ from pyspark.sql import functions as F
 
 from reasonloom.functions import text as T
 from reasonloom.functions.losses import token_ce
-from reasonloom.operators import batching, chat, curate, examples, ordering, scores, spans, vocab
+from reasonloom.functions.tokenizers import BatchTokenizer
+from reasonloom.operators import (
+    batching,
+    chat,
+    curate,
+    examples,
+    logits,
+    ordering,
+    scores,
+    spans,
+    vocab,
+)
 from reasonloom.plans.reasoning import SYSTEM_PROMPT, reasoning
 from reasonloom.session import scratch_path, write_once
-from reasonloom.sources import files, paths, readers, sink
+from reasonloom.sources import copies, files, footers, paths, readers, sink
 
 CFG = examples.ExampleConfig(max_length=1024, system_prompt=SYSTEM_PROMPT)
 N_BATCHES = 50
@@ -173,10 +184,38 @@ def rows_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("global_idx", "doc_id")
 
 
-def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.profile(reasoning(spark, sf_dir), required=REQUIRED)
+def row_group_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th row and the last one, out of files with many row groups; whole texts."""
+    path = scratch_path(spark, "grouped")
+    documents = _documents(spark, sf_dir)
+    rows = documents.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    rows.write.option("parquet.block.size", 1 << 20).parquet(path)
+    last = documents.count() - 1
+    wanted = sorted({*range(0, last + 1, 50), last} - {-1})
+    found = footers.lookup(spark, path, wanted, readers.schema_of_file(spark))
+    return found.select("global_idx", "doc_id", F.md5("text").alias("text_md5"))
+
+
+def sample_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three whole source files, copied byte for byte, and what the copies hold."""
+    path = scratch_path(spark, "by-source")
+    rows = reasoning(spark, sf_dir)
+    rows.repartition(4, "source_file").write.partitionBy("source_file").parquet(path)
+    listed = paths.list_files(spark, path, recursive=True)
+    file = paths.plain_path(F.col("path"))
+    below = paths.relative_path(file, path)
+    listed = listed.select(file.alias("path"), "length", below.alias("name"))
+    folder = F.regexp_extract("name", "^source_file=([^/]+)/", 1)
+    chosen = files.sample_files(listed.withColumn("source_file", folder), count=3, seed=SEED)
+    target = scratch_path(spark, "copies")
+    copies.copy_files(chosen.select(F.col("name").alias("source_file"), "path", "length"), target)
+    return spark.read.parquet(target).groupBy("source_file").agg(
+        F.count("*").alias("n_rows"), _content("generated_solution")
+    )
 
 
+def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.profile(reasoning(spark, sf_dir), required=REQUIRED)
 
 
 # Curation
@@ -215,6 +254,24 @@ def curate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.curate(reasoning(spark, sf_dir))
 
 
+def curate_mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without a pass rate, without a problem, and with numbers for pass rates, in one folder."""
+    path = scratch_path(spark, "mixed")
+    rows = reasoning(spark, sf_dir).drop("source_file").withColumn("k", F.col("example_id") % 4)
+    kinds = {
+        "whole": rows,
+        "unrated": rows.drop("pass_rate_72b_tir"),
+        "unasked": rows.drop("problem"),
+        "numbers": rows.withColumn("pass_rate_72b_tir", T.to_number("pass_rate_72b_tir")),
+    }
+    for k, (kind, some) in enumerate(kinds.items()):
+        some.filter(F.col("k") == k).drop("k").write.parquet(f"{path}/{kind}")
+    kept = curate.curate(curate.read_files(spark, path))
+    kind = F.substring_index("source_file", "/", 1).alias("kind")
+    texts = [F.md5(c).alias(f"{c}_md5") for c in ("problem", "generated_solution")]
+    return kept.select("example_id", kind, *texts)
+
+
 # Examples
 
 
@@ -243,6 +300,25 @@ def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _longs(spans.token_spans(rendered, "full_text"), "i", "s", "e")
 
 
+def _piece_tokenizer():
+    """The library's tokenizer with the token rule of this corpus and no vocabulary."""
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({"?": 0}, unk_token="?"))
+    blank = pre_tokenizers.Split(Regex(f"[{T.WHITESPACE}]+"), "removed")
+    token = pre_tokenizers.Split(Regex(r"</?think>|</?answer>|[\p{L}\p{N}]+|."), "isolated")
+    made.pre_tokenizer = pre_tokenizers.Sequence([blank, token])
+    return made
+
+
+def batch_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of a batch tokenizer, with the text that each one covers."""
+    rows = reasoning(spark, sf_dir, spread_rows=True)
+    rendered = examples.render_prompt(rows, SYSTEM_PROMPT).select("example_id", "full_text")
+    found = spans.token_spans(rendered, "full_text", tokenizer=BatchTokenizer(_piece_tokenizer))
+    return _longs(found.select("example_id", "i", "s", "e"), "i", "s", "e")
+
+
 def pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded = examples.pad_truncate(F.col("tokens"), CFG.max_length, examples.PAD)
     rows = _examples(spark, sf_dir).select("example_id", padded.alias("t"))
@@ -292,13 +368,19 @@ def shifted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vocab.token_rows(_examples(spark, sf_dir))
-    return vocab.build_vocab(rows).select("token", "id")
+    blocks = _blocks(spark, sf_dir)
+    return vocab.build_vocab(vocab.block_tokens(blocks)).select("token", "id")
+
+
+def _blocks(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    return vocab.token_blocks(_examples(spark, sf_dir), carry=carry)
 
 
 def encode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vocab.token_rows(_examples_once(spark, sf_dir))
-    return _longs(vocab.encode(rows, vocab.build_vocab(rows)), "i")
+    blocks = _blocks(spark, sf_dir)
+    words = vocab.build_vocab(vocab.block_tokens(blocks))
+    ids = vocab.encode_blocks(blocks, words)
+    return _longs(ids.select("example_id", F.posexplode("token_ids").alias("i", "id")), "i")
 
 
 def _set(mask: Column, outside) -> Column:
@@ -307,9 +389,9 @@ def _set(mask: Column, outside) -> Column:
 
 def example_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the fixed-length arrays in their order, and how many entries each mask sets."""
-    made = _examples_once(spark, sf_dir)
-    words = vocab.build_vocab(vocab.token_rows(made))
-    encoded = vocab.encode_examples(made, words, carry=examples.POSITION_COLUMNS)
+    blocks = _blocks(spark, sf_dir, examples.POSITION_COLUMNS)
+    words = vocab.build_vocab(vocab.block_tokens(blocks))
+    encoded = vocab.encode_blocks(blocks, words)
     arrays = examples.example_arrays(encoded, CFG, "token_ids")
 
     def digest(name: str) -> Column:
@@ -381,6 +463,15 @@ def token_ce_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rows.select("vec_id", token_ce("embedding", "label").alias("ce")), "ce")
 
 
+def token_ce_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same losses from chunks of 24 logits of each position."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    starts = F.explode(F.sequence(F.lit(0), F.size("embedding") - 1, F.lit(24))).alias("first_id")
+    cut = rows.select("vec_id", "label", "embedding", starts)
+    chunks = cut.withColumn("logits", F.slice("embedding", F.col("first_id") + 1, 24))
+    return _rounded(logits.chunked_ce(chunks.drop("embedding"), "vec_id"), "ce")
+
+
 def score_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Usable examples, and a loss for each of their predicted tokens.
 
@@ -466,6 +557,8 @@ QUERIES: dict[str, Query] = {
     "row_at_index": row_at_index,
     "global_index": global_index,
     "rows_at": rows_at,
+    "row_group_lookup": row_group_lookup,
+    "sample_copies": sample_copies,
     "profile": profile,
     "filter_answer": filter_answer,
     "lenient_cast": lenient_cast,
@@ -474,9 +567,11 @@ QUERIES: dict[str, Query] = {
     "filter_length": filter_length,
     "filter_funnel": filter_funnel,
     "curate": curate_all,
+    "curate_mixed_files": curate_mixed_files,
     "render_prompt": render_prompt,
     "boxed_answer": boxed_answer,
     "token_spans": token_spans,
+    "batch_spans": batch_spans,
     "pad_truncate": pad_truncate,
     "target_start": target_start,
     "loss_mask": _mask("loss_mask"),
@@ -497,6 +592,7 @@ QUERIES: dict[str, Query] = {
     "assign_batches": assign_batches,
     "collate": collate,
     "token_ce": token_ce_query,
+    "token_ce_chunked": token_ce_chunked,
     "base_loss": base_loss,
     "efficiency": efficiency,
     "efficiency_batch": efficiency_batch,

@@ -13,6 +13,7 @@ from reasonloom.operators.ordering import (
     seeded_hash,
 )
 from reasonloom.session import ensure_checkpoint_dir
+from reasonloom.sources.paths import glob_free, scanned_path
 from reasonloom.sources.readers import read_parquet_dir, with_source_file
 
 CHUNK_BITS = 20
@@ -104,11 +105,11 @@ def with_global_index(
 def rows_at(spark: SparkSession, root: str, indexes: list[int]) -> DataFrame:
     """The rows of a Parquet folder with the given global indexes, with `global_idx`.
 
-    Files are numbered by name. Their sizes come from the footers; then only the
-    files that hold a wanted row are read, and only their row groups around it.
+    Files are numbered by name. Their sizes come from the footers; then the files that hold a
+    wanted row are read whole. `footers.lookup` reads only the row groups that hold one.
     """
     rows = with_source_file(read_parquet_dir(spark, root), root)
-    path = F.col("_metadata.file_path")
+    path = scanned_path()
     sizes = rows.select(path.alias("path"), "source_file").groupBy("path", "source_file").agg(
         F.count("*").alias("n_rows")
     )
@@ -124,7 +125,7 @@ def rows_at(spark: SparkSession, root: str, indexes: list[int]) -> DataFrame:
     found = None
     for place in sorted(places, key=lambda p: p["row_offset"]):
         numbers = [i - place["row_offset"] for i in place["wanted"]]
-        one = with_source_file(spark.read.parquet(place["path"]), root)
+        one = with_source_file(spark.read.parquet(glob_free(place["path"])), root)
         one = one.filter(F.col("row_in_file").isin(numbers))
         one = one.withColumn("global_idx", F.col("row_in_file") + place["row_offset"])
         found = one if found is None else found.unionByName(one, allowMissingColumns=True)

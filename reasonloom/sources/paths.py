@@ -52,6 +52,11 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(F.startswith(path, F.lit(base)), below).otherwise(path)
 
 
+def glob_free(path: str) -> str:
+    """A path as a reader takes it literally: characters of patterns are escaped."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def list_source_files(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
     """(source_file) of a folder's top level, spelled as `with_source_file` does."""
     listed = list_files(spark, root, pattern)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -12,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from reasonloom.session import computed_once
+from reasonloom.sources.footers import footers, merged, schemas_of
 from reasonloom.sources.paths import (
+    glob_free,
     is_directory,
     list_files,
     plain_path,
@@ -108,17 +109,14 @@ def skipped_files(
 ABSENT = "_absent"  # the column that lists what a row's file does not have
 
 
-def _glob_free(path: str) -> str:
-    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+def schema_of_file(spark: SparkSession) -> Callable[[str], StructType]:
+    """The schema that Spark's reader gives one file, from its footer alone."""
+    return lambda path: spark.read.parquet(glob_free(path)).schema
 
 
-def _schema_of(spark: SparkSession, path: str, skip_corrupt: bool) -> StructType | None:
-    try:
-        return spark.read.parquet(_glob_free(path)).schema
-    except Exception:
-        if skip_corrupt:
-            return None
-        raise
+def _type_class(schema: StructType, mixed: set[str]) -> str:
+    """Files that agree on the columns of several types can be read together."""
+    return str(sorted((f.name, f.dataType.simpleString()) for f in schema if f.name in mixed))
 
 
 def read_differing(
@@ -127,38 +125,80 @@ def read_differing(
     recursive: bool = False,
     skip_corrupt: bool = False,
     watched: tuple[str, ...] = CORPUS_COLUMNS,
+    only: list[str] | None = None,
+    row_numbers: bool = False,
 ) -> DataFrame:
     """Files of a folder whose columns or types may differ, with `source_file`.
 
-    One read per distinct set of columns and types, whatever the number of files; footers are read
-    by a few threads. A column that a file does not have is null in its rows; those of `watched`
-    are listed in the array `_absent`. A column whose type differs between files is text.
+    `only` lists the paths to read, as `list_files` with `plain_path` spells them; with
+    `row_numbers` a row has its 0-based number in its file, `row_in_file`.
+
+    Footers are read by tasks, and one row per distinct set of columns reaches the driver. Files
+    are read together as long as their types agree: one read of the folder, unless a column has
+    several types. Then that column is text, and there is one read for each combination of such
+    types; only for these the names of the files, but for those of the most frequent combination,
+    pass through the driver. A column that a file does not have is null in its rows; those of
+    `watched` are listed in the array `_absent`, joined by file where files differ in them.
     """
-    paths = [r["path"] for r in list_files(spark, root, recursive=recursive).collect()]
-    with ThreadPoolExecutor(16) as pool:
-        schemas = list(pool.map(lambda p: _schema_of(spark, p, skip_corrupt), paths))
-    groups: dict[str, tuple[StructType, list[str]]] = {}
-    for path, schema in zip(paths, schemas, strict=True):
-        if schema is not None:
-            key = str(sorted((f.name, f.dataType.simpleString()) for f in schema))
-            groups.setdefault(key, (schema, []))[1].append(_glob_free(path))
-    types: dict[str, set[str]] = {}
-    for schema, _ in groups.values():
-        for f in schema:
-            types.setdefault(f.name, set()).add(f.dataType.simpleString())
-    mixed = {name for name, kinds in types.items() if len(kinds) > 1}
-    parts = []
-    for schema, members in groups.values():
-        rows = _load(spark.read.schema(schema), members, skip_corrupt)
-        found = [F.col(f"`{c}`").cast("string").alias(c) if c in mixed else F.col(f"`{c}`") for c in schema.names]
-        absent = F.array(*[F.lit(c) for c in watched if c not in schema.names]).cast("array<string>")
-        named = relative_path(scanned_path(), root).alias("source_file")
-        parts.append(rows.select(*found, named, absent.alias(ABSENT)))
-    if not parts:
+    found = footers(spark, root, recursive=recursive, only=only)
+    broken = found.filter("error IS NOT NULL").first()
+    if broken and not skip_corrupt:
+        raise ValueError(f"unreadable footer of {broken['path']}: {broken['error']}")
+    schemas = schemas_of(spark, found, schema_of_file(spark))
+    if not schemas:
         empty = spark.createDataFrame([], CORPUS_SCHEMA)
         none = F.array().cast("array<string>").alias(ABSENT)
-        return empty.select("*", F.lit("").alias("source_file"), none)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        numbers = [F.lit(0).cast("long").alias("row_in_file")] if row_numbers else []
+        return empty.select("*", F.lit("").alias("source_file"), *numbers, none)
+    _, mixed = merged(list(schemas.values()))
+    absent = {key: [c for c in watched if c not in s.names] for key, s in schemas.items()}
+    classes: dict[str, list[str]] = {}
+    for key, schema in schemas.items():
+        classes.setdefault(_type_class(schema, mixed), []).append(key)
+    paths = _paths_by_class(found, list(classes.values()), only is None)
+    known = {tuple(names) for names in absent.values()}
+    parts = []
+    for keys, members in zip(classes.values(), paths, strict=True):
+        schema, _ = merged([schemas[k] for k in keys])
+        reader = spark.read.schema(schema).option("pathGlobFilter", "*.parquet")
+        if members is None:
+            rows = _load(reader.option("recursiveFileLookup", recursive), root, skip_corrupt)
+            others = [p for some in paths if some is not None for p in some]
+            rows = rows.filter(~scanned_path().isin(others)) if others else rows
+        else:
+            rows = _load(reader, [glob_free(p) for p in members], skip_corrupt)
+        columns = [
+            F.col(f"`{c}`").cast("string").alias(c) if c in mixed else F.col(f"`{c}`")
+            for c in schema.names
+        ]
+        path = scanned_path()
+        named = [path.alias("_path"), relative_path(path, root).alias("source_file")]
+        numbers = [F.col("_metadata.row_index").alias("row_in_file")] if row_numbers else []
+        parts.append(rows.select(*columns, *named, *numbers))
+    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if len(known) == 1:
+        same = F.array(*[F.lit(c) for c in next(iter(known))]).cast("array<string>")
+        return table.withColumn(ABSENT, same).drop("_path")
+    sets = spark.createDataFrame(list(absent.items()), f"columns string, {ABSENT} array<string>")
+    of_files = found.select(F.col("path").alias("_path"), "columns").join(F.broadcast(sets), "columns")
+    return table.join(of_files.drop("columns"), "_path", "left").drop("_path")
+
+
+def _paths_by_class(
+    found: DataFrame, classes: list[list[str]], whole: bool
+) -> list[list[str] | None]:
+    """The files of each class of column sets; of a `whole` folder none for the class of most files."""
+    if whole and len(classes) == 1:
+        return [None]
+    counts = {r["columns"]: r["count"] for r in found.groupBy("columns").count().collect()}
+    sizes = [sum(counts[k] for k in keys) for keys in classes]
+    most = sizes.index(max(sizes)) if whole else None
+    return [
+        None
+        if n == most
+        else [r["path"] for r in found.filter(F.col("columns").isin(keys)).select("path").collect()]
+        for n, keys in enumerate(classes)
+    ]
 
 
 def _parsed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

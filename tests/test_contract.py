@@ -22,6 +22,17 @@ def test_optional_modules_may_be_absent(hidden):
     assert (int(n_all) > int(n_own)) == there
 
 
+@pytest.mark.parametrize("hidden", [["zstandard"], ["public_tokenizers"], ["xxhash"]])
+def test_the_library_stands_without_the_imports_of_optional_modules(hidden):
+    code = HIDE.format(hidden=hidden) + SAY
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    n_all, n_own, oracle_fits = done.stdout.split()
+    assert n_all == n_own and oracle_fits == "True"
+    if (ROOT / "reasonloom" / "llm").is_dir():
+        assert "left out reasonloom.llm.queries" in done.stderr and hidden[0] in done.stderr
+
+
 def test_errors_inside_present_modules_are_raised(tmp_path):
     code = HIDE.format(hidden=["numpy"]) + SAY
     done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)

@@ -1,11 +1,13 @@
 """The command-line jobs, on files written from the corpus."""
 
+import glob
+import os
 import tempfile
 
 import pytest
 
 from reasonloom.__main__ import main
-from reasonloom.operators import curate
+from reasonloom.operators import curate, rank_files
 from reasonloom.plans.reasoning import reasoning
 
 
@@ -56,6 +58,43 @@ def test_batches_and_scores(spark, source, target):
     assert found.count() == batches.count() and found.filter("base IS NULL OR total IS NULL").isEmpty()
 
 
+def test_batches_of_differing_files_in_rank_order(spark, target):
+    source = tempfile.mkdtemp(prefix="reasonloom-differing-")
+    rows = reasoning(spark, "/root/testdata/sf0.001").drop("source_file")
+    halves = [rows.filter("example_id % 2 = 0"), rows.filter("example_id % 2 = 1").drop("problem", "expected_answer")]
+    for half in halves:
+        half.coalesce(1).write.mode("append").parquet(source)
+    main(["batches", source, target, "--max_length", "128", "--shards", "3", "--batch_size", "4"])
+    made = spark.read.parquet(f"{target}/examples").groupBy("shard", "batch_id").count().collect()
+    for shard in range(3):
+        got = [(r["batch_id"], r["n_kept"]) for r in rank_files.iterate_rank(spark, f"{target}/batches", shard)]
+        assert got == sorted((r["batch_id"], r["count"]) for r in made if r["shard"] == shard) and got
+        later = [r["batch_id"] for r in rank_files.iterate_rank(spark, f"{target}/batches", shard, 5)]
+        assert later == [b for b, _ in got if b >= 5]
+
+
+def test_copy(spark, source, target):
+    main(["copy", "--source_dir", source, "--target_dir", target, "--sample_count", "3"])
+    copied = {os.path.basename(p): open(p, "rb").read() for p in glob.glob(f"{target}/*.parquet")}
+    assert len(copied) == 3
+    assert all(open(f"{source}/{name}", "rb").read() == data for name, data in copied.items())
+    assert spark.read.parquet(f"{target}/_manifest").count() == 3
+    main(["copy", "--source_dir", source, "--target_dir", f"{target}/tenth"])
+    assert len(glob.glob(f"{target}/tenth/*.parquet")) == 1
+
+
+def test_curate_keeps_going(spark, target, capsys):
+    source = tempfile.mkdtemp(prefix="reasonloom-going-")
+    rows = reasoning(spark, "/root/testdata/sf0.001").drop("source_file")
+    rows.repartition(3).write.mode("append").parquet(source)
+    with open(f"{source}/bad.parquet", "w") as bad:
+        bad.write("junk")
+    main(["curate", source, target, "--keep_going"])
+    assert "failed bad.parquet" in capsys.readouterr().out
+    wanted = curate.curate(spark.read.option("pathGlobFilter", "part-*").parquet(source)).count()
+    assert spark.read.parquet(target).count() == wanted > 0
+
+
 def test_sample_keeps_all_columns(spark, target):
     source = tempfile.mkdtemp(prefix="reasonloom-differing-")
     spark.range(3).selectExpr("'p' AS problem").coalesce(1).write.mode("append").parquet(source)

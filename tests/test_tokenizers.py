@@ -1,0 +1,97 @@
+"""Batch tokenizers give what the same tokenizer gives text by text."""
+
+import sys
+
+import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+from reasonloom.functions.tokenizers import BatchTokenizer
+from reasonloom.operators import curate, examples, spans
+from reasonloom.plans.queries import _piece_tokenizer
+from reasonloom.plans.reasoning import SYSTEM_PROMPT, reasoning
+
+pytest.importorskip("tokenizers")
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the tokenizers run in Spark's workers
+
+
+def with_marks():
+    """The corpus' tokens between two special ones."""
+    from tokenizers import AddedToken
+    from tokenizers.processors import TemplateProcessing
+
+    made = _piece_tokenizer()
+    made.add_special_tokens([AddedToken("<s>"), AddedToken("</s>")])
+    marks = [("<s>", made.token_to_id("<s>")), ("</s>", made.token_to_id("</s>"))]
+    made.post_processor = TemplateProcessing(single="<s> $A </s>", special_tokens=marks)
+    return made
+
+
+LOADED = {}
+
+
+def text_by_text(load):
+    def tokenize(text):
+        if load not in LOADED:
+            LOADED[load] = load()
+        found = LOADED[load].encode(text)
+        return [(t, s, e) for t, (s, e) in zip(found.tokens, found.offsets, strict=True)]
+
+    return tokenize
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, small_dir):
+    rows = reasoning(spark, small_dir).drop("source_file")
+    odd = [(-1, None, None), (-2, "", ""), (-3, "é 漢字 🙂", "<think>🙂</think>\\boxed{é🙂 漢}"), (-4, "q", " \n\t")]
+    some = spark.createDataFrame(odd, "example_id long, problem string, generated_solution string")
+    return rows.unionByName(some, allowMissingColumns=True).cache()
+
+
+@pytest.mark.parametrize("load, bos", [(_piece_tokenizer, None), (with_marks, "<s>")])
+def test_examples(corpus, load, bos):
+    def made(tokenizer):
+        cfg = examples.ExampleConfig(256, SYSTEM_PROMPT, tokenizer, bos)
+        rows = examples.build_examples(corpus, cfg).select("example_id", *examples.EXAMPLE_COLUMNS)
+        return sorted(map(tuple, rows.collect()))
+
+    assert made(BatchTokenizer(load)) == made(text_by_text(load))
+
+
+@pytest.mark.parametrize("most", [None, 7])
+def test_spans(corpus, most):
+    def found(tokenizer):
+        rows = spans.token_spans(corpus, "generated_solution", max_length=most, tokenizer=tokenizer)
+        return sorted(map(tuple, rows.collect()))
+
+    batch = found(BatchTokenizer(_piece_tokenizer))
+    assert batch == found(text_by_text(_piece_tokenizer)) and len(batch) > 500
+    if most:
+        assert max(r[1] for r in batch) == most - 1
+
+
+def test_lengths(corpus):
+    def length(text):
+        return len(text_by_text(_piece_tokenizer)(text))
+
+    batch = curate.CurateConfig(max_len=300, tokenizer=BatchTokenizer(with_marks))
+    single = curate.CurateConfig(max_len=300, tokenizer=length)
+    rows = corpus.select("example_id", curate.combined_length(batch).alias("a"), curate.combined_length(single).alias("b"))
+    assert rows.filter("a <> b OR a IS NULL OR b IS NULL").isEmpty()  # special tokens do not count
+    kept = [curate.filter_length(corpus, 300, cfg.tokenizer).count() for cfg in (batch, single)]
+    assert kept[0] == kept[1] > 0
+
+
+def test_from_file(corpus, tmp_path):
+    path = str(tmp_path / "tokenizer.json")
+    _piece_tokenizer().save(path)
+    rows = spans.token_spans(corpus, "problem", tokenizer=BatchTokenizer.from_file(path))
+    own = spans.token_spans(corpus, "problem", tokenizer=BatchTokenizer(_piece_tokenizer))
+    assert rows.exceptAll(own).isEmpty() and own.exceptAll(rows).isEmpty()
+
+
+def test_many_characters_are_cut_into_batches(spark):
+    rows = spark.createDataFrame([(k, "word " * 120_000) for k in range(5)], "example_id long, t string")
+    counted = spans.token_spans(rows, "t", tokenizer=BatchTokenizer(_piece_tokenizer))
+    assert counted.agg(F.count("*"), F.max("i")).first() == (600_000, 119_999)
+    assert spans.token_spans(rows.limit(0), "t", tokenizer=BatchTokenizer(_piece_tokenizer)).isEmpty()
