@@ -52,6 +52,7 @@ class JoinConfig:
     far_rate: float = 0.1
     block_sets: int = 512
     block_grams: int = 500_000
+    salts: int = 32
 
 
 def choose_bands(cfg: JoinConfig) -> tuple[int, int]:
@@ -298,7 +299,14 @@ def _join_sets(docs: DataFrame, cfg: JoinConfig) -> tuple[DataFrame, DataFrame]:
         F.ceil(F.count("*") / cfg.block_sets), F.ceil(F.sum("n_grams") / cfg.block_grams)
     )
     blocks = members.groupBy("cluster").agg(n_blocks.cast("long").alias("n_blocks"))
-    candidates = _with_texts(docs, members.join(blocks, "cluster"))
+    # the few large clusters meet their many members under a salt, so no task gets all of one
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cfg.salts - 1).cast("long"))).alias("salt")
+    large = blocks.filter("n_blocks > 1").select("cluster", "n_blocks", salts)
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("set_id"), F.lit(cfg.salts)))
+    dealt = salted.join(large, ["cluster", "salt"], "left").withColumn(
+        "n_blocks", F.coalesce("n_blocks", F.lit(1).cast("long"))
+    )
+    candidates = _with_texts(docs, dealt.drop("salt"))
     checked = write_once(verify(candidates, members.count(), cfg), "verified")
 
     links = checked.groupBy("set_id").agg(F.sum("links").alias("links"))

@@ -130,3 +130,28 @@ def test_odd_rows(odd_documents):
     assert kept.count() == 4 + 1 + 5
     assert ngram_join.ngram_join(odd_documents.limit(0)).count() == 0
     assert ngram_join.one_of_each(odd_documents.limit(0)).count() == 0
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs of similarity 0.8 to 0.85, each of its own words: nearly all are found."""
+    rnd = random.Random(8)
+    rows, alike = [], {}
+    for k in range(400):
+        words = [f"p{k}w{rnd.randrange(10**6)}" for _ in range(rnd.randint(60, 400))]
+        changed = list(words)
+        while True:
+            at = rnd.randrange(len(words))
+            before, changed[at] = changed[at], f"p{k}x{rnd.randrange(10**6)}"
+            a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, changed))
+            share = len(a & b) / len(a | b)
+            if share < 0.8:
+                changed[at] = before
+                break
+            alike[k] = share
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+    near = {k for k, share in alike.items() if 0.8 <= share <= 0.85}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = {r.doc_id: r.class_id for r in ngram_join.ngram_join(docs).collect()}
+    found = sum(classes[2 * k] == classes[2 * k + 1] for k in near)
+    assert len(near) > 150 and found >= 0.995 * len(near)
+    assert all(classes[2 * k] // 2 == k for k in range(400))
