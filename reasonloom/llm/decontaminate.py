@@ -5,20 +5,24 @@ them are ignored. The two masks are chosen so that every window of 13 words in w
 differ holds an equal seed of at least one mask (`tests/llm` counts all cases). Documents and
 benchmark are joined on seeds, and each hit is verified word by word on the whole window.
 
-Nothing of the benchmark is broadcast by size: before the join, a document's words and seeds are
-looked up in two bitmaps of a fixed number of bits, literals of the plan, that let every true seed
-pass. Equal benchmark windows are one, whatever the number of items that hold them. All of it is
-native expressions; a document is read once, and only its seeds that pass travel.
+Before the join, a document's words and seeds are looked up in two Bloom bitmaps, literals of the
+plan, that let every true seed pass. Each is sized by its number of keys, 16 bits for one, within
+2^17 to 2^`most_bits` bits, so at most 8 MiB; up to four million keys about one in 200 other seeds
+passes, beyond that more, and the join drops them. Equal benchmark windows are one before the join,
+whatever the number of items that hold them; those are looked up for the windows found. All of it
+is native expressions; a document is read once, and only its seeds that pass travel.
 
 Defined results: words are runs of letters and digits in lower case; an item of 8 to 12 words is
 one window and must match exactly, a shorter one is not looked for; null and empty texts match
-nothing; repeated rows and null ids are treated alike; a window of several items counts for the
-least item id, by `contaminated_items` for each of them; empty tables give no match; other columns are ignored or, by `keep_clean`, kept.
+nothing; repeated rows and null ids are treated alike; a window of several items counts for each of
+them; empty tables give no match; other columns are ignored or, by `keep_clean`, kept; a very long
+text is one row, whose words a task holds.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from reasonloom.llm.columns import fresh
 from reasonloom.llm.ngram_join import row_key
 
+PROBES = (0, 19, 38)  # the shifts of a 64-bit key that give its places in a bitmap
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 
 
@@ -35,7 +40,8 @@ class SeedConfig:
     substitutions: int = 2
     min_words: int = 8
     masks: tuple[tuple[int, ...], ...] = MASKS
-    bitmap_bits: int = 17  # a bitmap of 2^17 bits: 16 KiB whatever the benchmark
+    least_bits: int = 17  # of a bitmap: 2^17 bits are 16 KiB
+    most_bits: int = 26
 
 
 def hashed_words(text: Column) -> Column:
@@ -48,24 +54,47 @@ def _computed(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
 
 
-def _slot(key: Column, bits: int) -> tuple[Column, Column]:
-    place = key.bitwiseAND(F.lit((1 << bits) - 1))
-    return F.shiftright(place, 6).cast("int"), place.bitwiseAND(F.lit(63)).cast("int")
+def _slots(key: Column, bits: int) -> list[tuple[Column, Column]]:
+    """Word and bit of the places of a key in a bitmap."""
+    places = [
+        F.shiftrightunsigned(key, shift).bitwiseAND(F.lit((1 << bits) - 1)) for shift in PROBES
+    ]
+    return [(F.shiftright(p, 6).cast("int"), p.bitwiseAND(F.lit(63)).cast("int")) for p in places]
 
 
-def bitmap(keys: DataFrame, key: str, bits: int) -> Column:
-    """A literal array of 2^(bits - 6) longs in which the bit of every key is set."""
-    word, bit = _slot(F.col(key), bits)
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    rows = keys.groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits")).collect()
-    longs = dict(map(tuple, rows))  # at most 2^(bits - 6) rows
-    text = ",".join(str(longs.get(k, 0)) for k in range(1 << (bits - 6)))
-    return F.split(F.lit(text), ",").cast("array<bigint>")
-
-
-def _in(bits: Column, key: Column, n: int) -> Column:
-    word, bit = _slot(key, n)
-    return F.getbit(F.get(bits, word), bit) == 1
+@dataclass(frozen=True)
+class Bitmap:
+    bits: int
+    longs: Column  # a literal array of 2^(bits - 6) longs
+
+    def holds(self, key: Column) -> Column:
+        """True for every key of the bitmap, and for few others."""
+        tests = [F.getbit(F.get(self.longs, word), bit) == 1 for word, bit in _slots(key, self.bits)]
+        return reduce(Column.__and__, tests)
+
+
+def bitmap_bits(n_keys: int, cfg: SeedConfig) -> int:
+    """16 bits for a key, within the bounds."""
+    return min(max((16 * n_keys).bit_length(), cfg.least_bits), cfg.most_bits)
+
+
+def bitmap(keys: DataFrame, key: str, cfg: SeedConfig) -> Bitmap:
+    """The bits of all keys; at most 2^(most_bits - 6) longs reach the driver."""
+    distinct = keys.select(key).distinct()
+    bits = bitmap_bits(distinct.count(), cfg)
+    one = F.lit(1).cast("long")
+    places = F.array(
+        *(
+            F.struct(word.alias("word"), F.call_function("shiftleft", one, bit).alias("bit"))
+            for word, bit in _slots(F.col(key), bits)
+        )
+    )
+    set_bits = distinct.select(F.inline(places)).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    table = set_bits.toArrow()
+    longs = ["0"] * (1 << (bits - 6))
+    for word, value in zip(table["word"].to_pylist(), table["bits"].to_pylist(), strict=True):
+        longs[word] = str(value)
+    return Bitmap(bits, F.split(F.lit(",".join(longs)), ",").cast("array<bigint>"))
 
 
 def _seed(mask_no: int, mask: tuple[int, ...], words: Column, at: Column) -> Column:
@@ -84,13 +113,8 @@ def item_windows(bench: DataFrame, cfg: SeedConfig) -> DataFrame:
     return items.filter(n >= cfg.min_words).select("item_id", F.explode(windows).alias("window"))
 
 
-def benchmark_windows(bench: DataFrame, cfg: SeedConfig) -> DataFrame:
-    """Each different window once: its words' hashes and the least item id."""
-    return item_windows(bench, cfg).groupBy("window").agg(F.min("item_id").alias("item_id"))
-
-
 def benchmark_seeds(windows: DataFrame, cfg: SeedConfig) -> DataFrame:
-    """key, offset of the seed in its window, window, item_id."""
+    """key, offset of the seed in its window, window."""
     n = F.size("window")
     per_mask = []
     for k, mask in enumerate(cfg.masks):
@@ -100,9 +124,7 @@ def benchmark_seeds(windows: DataFrame, cfg: SeedConfig) -> DataFrame:
         )
         per_mask.append(F.transform(offsets, _make_seed(k, mask, F.col("window"))))
     seeds = F.explode(F.concat(*per_mask)).alias("seed")
-    return windows.select("window", "item_id", seeds).select(
-        "window", "item_id", F.col("seed.key"), F.col("seed.offset")
-    )
+    return windows.select("window", seeds).select("window", F.col("seed.key"), F.col("seed.offset"))
 
 
 def _make_seed(k: int, mask: tuple[int, ...], words: Column):
@@ -119,12 +141,11 @@ def _all_known(known: Column, mask: tuple[int, ...]):
     return test
 
 
-def document_seeds(docs: DataFrame, words_map: Column, seeds_map: Column, cfg: SeedConfig) -> DataFrame:
+def document_seeds(docs: DataFrame, words_map: Bitmap, seeds_map: Bitmap, cfg: SeedConfig) -> DataFrame:
     """doc_id, row_key, key, place of the seed, and the words around it from `low` on."""
-    bits = cfg.bitmap_bits
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
     rows = _computed(rows, hashed_words(F.col("text")), "words").drop("text")
-    known = F.transform("words", lambda w: _in(words_map, w, bits))
+    known = F.transform("words", words_map.holds)
     rows = _computed(rows.filter(F.size("words") >= cfg.min_words), known, "known")
     reach = cfg.window - 1 - min(mask[-1] for mask in cfg.masks)
     around = cfg.window + reach
@@ -136,7 +157,7 @@ def document_seeds(docs: DataFrame, words_map: Column, seeds_map: Column, cfg: S
         )
         likely = F.filter(places, _all_known(F.col("known"), mask))
         per_mask.append(F.transform(likely, _make_seed(k, mask, F.col("words"))))
-    seeds = F.filter(F.concat(*per_mask), lambda seed: _in(seeds_map, seed["key"], bits))
+    seeds = F.filter(F.concat(*per_mask), lambda seed: seeds_map.holds(seed["key"]))
 
     def with_words(seed: Column) -> Column:
         low = F.greatest(seed["offset"] - reach, F.lit(0))
@@ -152,14 +173,13 @@ def document_seeds(docs: DataFrame, words_map: Column, seeds_map: Column, cfg: S
 
 
 def window_matches(docs: DataFrame, bench: DataFrame, cfg: SeedConfig) -> DataFrame:
-    """doc_id, row_key, window, item_id (the least of the window), first_word, matched; once or more
-    for each place of a window in a document row."""
-    windows = benchmark_windows(bench, cfg).persist()
+    """doc_id, row_key, window, first_word, matched; once or more for each place of a window in a
+    document row."""
+    windows = item_windows(bench, cfg).select("window").distinct().persist()
     try:
         seeds = benchmark_seeds(windows, cfg)
-        vocabulary = windows.select(F.explode("window").alias("key"))
-        words_map = bitmap(vocabulary, "key", cfg.bitmap_bits)
-        seeds_map = bitmap(seeds, "key", cfg.bitmap_bits)
+        words_map = bitmap(windows.select(F.explode("window").alias("key")), "key", cfg)
+        seeds_map = bitmap(seeds, "key", cfg)
     finally:
         windows.unpersist()
     hits = document_seeds(docs, words_map, seeds_map, cfg).join(seeds, "key")
@@ -174,7 +194,6 @@ def window_matches(docs: DataFrame, bench: DataFrame, cfg: SeedConfig) -> DataFr
         "doc_id",
         "row_key",
         "window",
-        "item_id",
         begin.alias("first_word"),
         equal.alias("matched"),
         (n - allowed).alias("least"),
@@ -182,19 +201,9 @@ def window_matches(docs: DataFrame, bench: DataFrame, cfg: SeedConfig) -> DataFr
     return found.filter("matched >= least")
 
 
-def matches(docs: DataFrame, bench: DataFrame, cfg: SeedConfig | None = None) -> DataFrame:
-    """doc_id, row_key, item_id, first_word, matched: a row per document row and item found in it."""
-    found = window_matches(docs, bench, cfg or SeedConfig())
-    return found.groupBy("doc_id", "row_key", "item_id").agg(
-        F.min("first_word").cast("long").alias("first_word"),
-        F.max("matched").cast("long").alias("matched"),
-    )
-
-
-def contaminated_items(
-    docs: DataFrame, bench: DataFrame, cfg: SeedConfig | None = None
-) -> DataFrame:
-    """As `contaminated`, with a row for every item that holds a window found, not the least alone."""
+def contaminated(docs: DataFrame, bench: DataFrame, cfg: SeedConfig | None = None) -> DataFrame:
+    """doc_id, item_id, first_word (of the first window), matched (most equal words of a window); a
+    row for every item of which a document holds a window."""
     cfg = cfg or SeedConfig()
     first, most = F.min("first_word").cast("long"), F.max("matched").cast("long")
     found = window_matches(docs, bench, cfg).groupBy("doc_id", "window").agg(
@@ -206,17 +215,10 @@ def contaminated_items(
     )
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, cfg: SeedConfig | None = None) -> DataFrame:
-    """doc_id, item_id, first_word (of the first window), matched (most equal words of a window)."""
-    found = matches(docs, bench, cfg)
-    return found.groupBy("doc_id", "item_id").agg(
-        F.min("first_word").alias("first_word"), F.max("matched").alias("matched")
-    )
-
-
 def keep_clean(docs: DataFrame, bench: DataFrame, cfg: SeedConfig | None = None) -> DataFrame:
     """The rows of `docs` in which no window of the benchmark is found, unchanged."""
     key = fresh(docs, "row_key")
-    found = matches(docs, bench, cfg).select(F.col("row_key").alias(key)).distinct()
+    found = window_matches(docs, bench, cfg or SeedConfig())
+    found = found.select(F.col("row_key").alias(key)).distinct()
     kept = docs.withColumn(key, row_key()).join(found.hint("shuffle_hash"), key, "left_anti")
     return kept.select(*docs.columns)

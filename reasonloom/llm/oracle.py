@@ -28,7 +28,9 @@ covered AS (
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
-    len(lines) AS n_lines, length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS n_letters,
+    len(lines) AS n_lines, length(regexp_replace(text, '[^\p{L}\p{M}]+', '', 'g')) AS n_letters,
+    length(regexp_replace(text, '[^\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}'
+      || '\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]+', '', 'g')) AS n_unspaced,
     len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*(?:[-*•‣]|\d+[.)])[ \t]'))) AS n_bullets
   FROM base LEFT JOIN covered USING (doc_id)
 ), judged AS (
@@ -36,7 +38,8 @@ covered AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (
-    10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words
+    10 * n_symbols > n_words OR word_chars < 2 * n_words
+    OR (word_chars > 14 * n_words AND 2 * n_unspaced < word_chars)
     OR (n_dup_lines > 3 AND 2 * n_dup_lines > n_lines) OR 10 * n_bullets > 9 * n_lines
     OR 10 * n_letters < 6 * word_chars) AS kept
 FROM judged
@@ -55,19 +58,18 @@ WITH doc_words AS (
 ), windows AS (
   SELECT item_id, s, words[s + 1:s + 13] AS w
   FROM (SELECT item_id, words, unnest(range(0, greatest(n - 13, 0) + 1)) AS s FROM items)
-), named AS (
-  SELECT item_id, s, len(w) AS size, min(item_id) OVER (PARTITION BY w) AS first_item FROM windows
-), d AS (SELECT doc_id, n, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS p FROM doc_words),
+), named AS (SELECT item_id, s, len(w) AS size FROM windows),
+d AS (SELECT doc_id, n, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS p FROM doc_words),
 b AS (SELECT item_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS q FROM items),
 hits AS (SELECT doc_id, n, item_id, p - q AS diagonal, q FROM d JOIN b USING (word)),
 likely AS (SELECT doc_id, item_id, diagonal FROM hits GROUP BY ALL HAVING count(*) >= 8),
 matched AS (
-  SELECT h.doc_id, w.first_item AS item_id, h.diagonal + w.s AS first_word, count(*) AS matched,
+  SELECT h.doc_id, h.item_id, h.diagonal + w.s AS first_word, count(*) AS matched,
     any_value(w.size) AS size
   FROM hits h JOIN likely USING (doc_id, item_id, diagonal)
   JOIN named w ON w.item_id = h.item_id AND h.q >= w.s AND h.q < w.s + w.size
   WHERE h.diagonal + w.s >= 0 AND h.diagonal + w.s + w.size <= h.n
-  GROUP BY h.doc_id, h.item_id, w.first_item, h.diagonal, w.s
+  GROUP BY h.doc_id, h.item_id, h.diagonal, w.s
 )
 SELECT doc_id, item_id, CAST(min(first_word) AS BIGINT) AS first_word,
   CAST(max(matched) AS BIGINT) AS matched

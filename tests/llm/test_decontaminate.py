@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from reasonloom.llm import decontaminate, queries
 
@@ -12,13 +13,13 @@ WORD = re.compile(r"[^\W_]+")
 
 def brute_force(documents, items):
     """(doc_id, item_id) -> first word and most equal words, over all windows of both sides."""
-    windows = {}
+    windows = defaultdict(set)
     for item_id, text in items:
         words = WORD.findall(text.lower())
         for s in range(max(1, len(words) - 12)):
             window = tuple(words[s : s + 13])
             if len(window) >= 8:
-                windows[window] = min(windows.get(window, item_id), item_id)
+                windows[window].add(item_id)
     held = defaultdict(set)
     for window in windows:
         for k, word in enumerate(window):
@@ -30,9 +31,9 @@ def brute_force(documents, items):
             equal = Counter(w for k in range(13) if s + k < len(words) for w in held[k, words[s + k]])
             for window, n in equal.items():
                 if n >= (11 if len(window) == 13 else len(window)) and s + len(window) <= len(words):
-                    key = doc_id, windows[window]
-                    first, most = found.get(key, (s, 0))
-                    found[key] = min(first, s), max(most, n)
+                    for key in ((doc_id, item_id) for item_id in windows[window]):
+                        first, most = found.get(key, (s, 0))
+                        found[key] = min(first, s), max(most, n)
     return found
 
 
@@ -91,7 +92,7 @@ def test_every_item_of_a_window(spark):
     documents = [(1, " ".join(["x", *words[8:26]])), (2, " ".join(words)), (3, "none of it")]
     docs = spark.createDataFrame(documents, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    rows = decontaminate.contaminated_items(docs, bench).collect()
+    rows = decontaminate.contaminated(docs, bench).collect()
     got = {(r.doc_id, r.item_id): (r.first_word, r.matched) for r in rows}
     wanted = {}
     for item in items:  # each by itself
@@ -100,6 +101,35 @@ def test_every_item_of_a_window(spark):
     assert {k for _, k in got} == {1, 2, 3, 4, 5}
 
 
+def test_bitmaps_grow_with_the_benchmark(spark):
+    cfg = decontaminate.SeedConfig()
+    sizes = [decontaminate.bitmap_bits(n, cfg) for n in (0, 5_000, 10_000, 500_000, 4_000_000, 10**9)]
+    assert sizes == [17, 17, 18, 23, 26, 26]
+    keys = spark.range(500_000).select(F.xxhash64("id").alias("key"))
+    made = decontaminate.bitmap(keys, "key", cfg)
+    assert made.bits == 23 and keys.filter(~made.holds(F.col("key"))).isEmpty()
+    others = spark.range(10**6, 10**6 + 200_000).select(F.xxhash64("id").alias("key"))
+    assert others.filter(made.holds(F.col("key"))).count() < 0.02 * 200_000
+
+
+def test_a_large_benchmark_lets_few_seeds_pass(spark):
+    """Half a million different words: clean documents of these words send under a seed in 25 words."""
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(199)), word_of), " ")
+    bench = spark.range(4_000).select(F.col("id").alias("item_id"), text.alias("text"))
+    docs = spark.range(10**6, 10**6 + 500).select(F.col("id").alias("doc_id"), text.alias("text"))
+    cfg = decontaminate.SeedConfig()
+    windows = decontaminate.item_windows(bench, cfg).select("window").distinct()
+    seeds = decontaminate.benchmark_seeds(windows, cfg)
+    words_map = decontaminate.bitmap(windows.select(F.explode("window").alias("key")), "key", cfg)
+    seeds_map = decontaminate.bitmap(seeds, "key", cfg)
+    passed = decontaminate.document_seeds(docs, words_map, seeds_map, cfg).count()
+    assert passed < 500 * 200 / 25
+
+
+def word_of(k):
+    return F.concat(F.lit("w"), F.pmod(F.xxhash64("id", k), F.lit(500_000)).cast("string"))
+
+
 def test_odd_rows(spark, odd_documents):
     story = odd_documents.filter("doc_id = 6").first().text
     items = [(1, None), (2, ""), (3, "too short for it"), (None, None), (4, " ".join(story.split()[40:60]))]
