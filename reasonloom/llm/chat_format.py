@@ -6,9 +6,8 @@ turn. Rendering the last turn with two other texts shows which part of the span
 the two have in common at the ends is the template's. A template that changes what it wrote for
 earlier turns is detected by the same comparison, and then no loss mask is given.
 
-A conversation of more than `max_prefix` turns is rendered turn by turn after its last few turns
-only, and once as a whole: if the pieces together are the whole, the spans hold; if not, all its
-prefixes are rendered.
+All prefixes are rendered, whatever their number, so the work grows with the square of the turns of
+one conversation: a template may look at any of them.
 
 `chatml` is a template with marked turns that escapes its control strings reversibly.
 
@@ -38,7 +37,6 @@ Template = Callable[[list[Message]], str]
 START, END = "<|im_start|>", "<|im_end|>"
 TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + "\n", re.DOTALL)
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-CONTEXT = 4  # turns before the last one when a long conversation is rendered in pieces
 
 
 def escape(text: str) -> str:
@@ -96,35 +94,19 @@ def _text_place(
     return head, len(piece) - tail
 
 
-def _in_steps(messages: list[Message], render: Template, context: int | None) -> Rendered:
-    """Render after each turn, with all turns before it or with the last `context` ones."""
-    at, spans, pieces = 0, [], []
-    seen = ""
+def render_incrementally(messages: list[Message], render: Template = chatml) -> Rendered:
+    """The rendered conversation and its turns' spans, whatever the template writes around them."""
+    seen, spans = "", []
     for k, turn in enumerate(messages):
-        before = messages[:k] if context is None else messages[max(0, k - context) : k]
-        if context is not None:
-            seen = render(before) if before else ""
+        before = messages[:k]
         now = render([*before, turn])
         if not now.startswith(seen):
             return Rendered(render(messages), [], True)
-        piece = now[len(seen) :]
-        first, last = _text_place(before, turn, piece, seen, render)
-        spans.append(Span(turn["role"], at, at + len(piece), at + first, at + last))
-        pieces.append(piece)
-        at += len(piece)
+        first, last = _text_place(before, turn, now[len(seen) :], seen, render)
+        at = len(seen)
+        spans.append(Span(turn["role"], at, len(now), at + first, at + last))
         seen = now
-    return Rendered("".join(pieces), spans, False)
-
-
-def render_incrementally(
-    messages: list[Message], render: Template = chatml, max_prefix: int = 64
-) -> Rendered:
-    """The rendered conversation and its turns' spans, whatever the template writes around them."""
-    if len(messages) > max_prefix:
-        short = _in_steps(messages, render, CONTEXT)
-        if not short.rewrites_history and short.formatted == render(messages):
-            return short
-    return _in_steps(messages, render, None)
+    return Rendered(seen, spans, False)
 
 
 SPAN_TYPE = pa.struct(

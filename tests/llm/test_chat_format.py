@@ -71,6 +71,17 @@ def test_templates_that_rewrite_history_are_detected(n):
         assert done.formatted == template(turns)
 
 
+def rewrites_at_ten(turns):
+    return f"{'long' if len(turns) > 9 else ''}:" + chat.chatml(turns)
+
+
+@pytest.mark.parametrize("n", [9, 10, 64, 65, 200])
+def test_one_rule_at_every_length(n):
+    turns = [{"role": "assistant", "content": "yes"}] * n
+    done = chat.render_incrementally(turns, rewrites_at_ten)
+    assert done.rewrites_history == (n > 9) and len(done.spans) == (0 if n > 9 else n)
+
+
 @pytest.mark.parametrize("n", [5, 100])
 def test_other_templates(n):
     """A number that depends on all turns before: the pieces of a long one are not the whole."""
