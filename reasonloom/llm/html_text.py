@@ -7,13 +7,18 @@ holds its density above the least one on that path. So is every other subtree un
 reaches this least density, with the headings before it and the plain blocks between; where an
 article or main element holds the largest sum, only what is in that main, or in articles beside
 that one. Menus, headers, footers, forms, notices and the
-like are taken out of the tree first, by tag, role and names of classes and ids.
+like are taken out of the tree first, by tag, role and names of classes and ids. A form or a box of
+such a name stays if it holds the page's heading or article and most of its text; names that also
+serve for parts of a text, such as `widget` or `related`, count for boxes of links alone; headings
+are never judged by a name, nor what is inside an article by an id, unless it is a box of links.
 
-A page is parsed in one pass of a regular expression over its whole html; the tree is two lists.
+A page is parsed in one pass of a regular expression over its whole html, in time that grows with
+its length whatever is nested or left open.
 
 Defined results: null and empty html, and pages without text, give an empty text; unclosed and
 stray tags are closed as browsers do; repeated rows are extracted alike; null ids and urls are kept;
-an empty table gives no row; other columns are ignored.
+an empty table gives no row; other columns are ignored; of subtrees of equal sums that of more
+characters, then the first, is chosen. A very long page is held whole by its task.
 """
 
 from __future__ import annotations
@@ -31,13 +36,15 @@ from reasonloom.llm.tokens import arrow_rows, char_batches
 
 # Roles of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg math iframe object canvas title".split())
+RAW = frozenset(
+    "script style noscript template textarea svg annotation annotation-xml iframe object canvas title".split()
+)
 BLOCKS = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav "
     "ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CHROME_TAGS = frozenset("nav header footer aside form menu dialog button select fieldset head".split())
+CHROME_TAGS = frozenset("nav header footer aside menu dialog button select fieldset head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CHROME_ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split()
@@ -45,11 +52,17 @@ CHROME_ROLES = frozenset(
 CHROME_NAMES = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|"
     r"footer|masthead|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|notice\w*|"
-    r"newsletter|subscribe|signup|login|popup|modal|overlay|share|sharing|social|related|recommended|"
-    r"toolbar|pagination|pager|skip\w*|widget\w*|header|site-?header|page-?header)(?:$|[-_ \d])",
+    r"newsletter|subscribe|signup|login|popup|modal|overlay|share|sharing|pagination|pager|skip\w*|"
+    r"site-?header|page-?header)(?:$|[-_ \d])",
     re.IGNORECASE,
 )
-# An open element of the key is closed by the start of one of the values.
+# Names that also stand on parts of a text.
+LINK_BOX_NAMES = re.compile(
+    r"(?:^|[-_ ])(?:header|social|related|recommended|toolbar|widget\w*)(?:$|[-_ \d])", re.IGNORECASE
+)
+TEXT_TAGS = frozenset("article main".split())
+# An open element of the key is closed by the start of one of the values, within these borders.
+BORDERS = frozenset("div table ul ol article body section".split())
 CLOSED_BY = {
     "head": BLOCKS,
     "p": frozenset(
@@ -64,15 +77,14 @@ CLOSED_BY = {
     "th": frozenset(("td", "th", "tr", "tbody", "tfoot")),
     "option": frozenset(("option", "optgroup")),
 }
+CLOSING = frozenset().union(*CLOSED_BY.values())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(
-    r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?",
-    re.IGNORECASE,
-)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TELLING = re.compile(r"class|id|role|hidden", re.IGNORECASE)  # parts of the attributes that count
 BLANKS = re.compile(r"\s+")
 
 
@@ -81,7 +93,8 @@ class Node:
     tag: str
     parent: Node | None
     chrome: bool = False  # not main text by its kind; nothing below it is looked at
-    by_name: bool = False
+    doubt: str = ""  # why it is chrome, if that may turn out wrong: "name", "form" or "links"
+    heading: bool = False  # it is a heading or holds nothing else
     children: list[Node | str] = field(default_factory=list)
     chars: int = 0
     tags: int = 0
@@ -91,45 +104,88 @@ class Node:
     peak: float = 0.0  # the largest density of the node and all below it
 
 
-def _by_attributes(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether the attributes say that an element is not main text, and whether only by a name."""
-    named = False
-    if not attributes or tag in ("body", "html", "main", "article"):
-        return False, False
+def _by_attributes(tag: str, attributes: str, in_text: bool) -> tuple[bool, str]:
+    """Whether the attributes say that an element is not main text, and the doubt about it."""
+    if tag in ("body", "html") or tag in TEXT_TAGS or not TELLING.search(attributes):
+        return False, ""
+    doubt = ""
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True, False
+            return True, ""
         if name == "role" and value.lower() in CHROME_ROLES:
-            return True, False
-        named = named or (name in ("class", "id") and CHROME_NAMES.search(value) is not None)
-    return named, named
+            return True, ""
+        if name in ("class", "id") and tag not in HEADINGS:
+            if CHROME_NAMES.search(value):
+                doubt = "links" if in_text and name == "id" and doubt != "name" else "name"
+            elif not doubt and LINK_BOX_NAMES.search(value):
+                doubt = "links"
+    return bool(doubt), doubt
 
 
-def _new_node(tag: str, parent: Node, attributes: str) -> Node:
-    if tag in CHROME_TAGS and not (tag == "header" and _inside_article(parent)):
+def _new_node(tag: str, parent: Node, attributes: str, in_text: bool) -> Node:
+    if tag in CHROME_TAGS and not (tag == "header" and in_text):
         return Node(tag, parent, chrome=True)
-    chrome, by_name = _by_attributes(tag, attributes)
-    return Node(tag, parent, chrome, by_name)
+    chrome, doubt = _by_attributes(tag, attributes, in_text)
+    if tag == "form" and (doubt or not chrome):
+        return Node(tag, parent, True, "form")
+    return Node(tag, parent, chrome, doubt)
+
+
+class _Open:
+    """The open elements of a page: their number by tag, and those that others close."""
+
+    def __init__(self, root: Node):
+        self.root, self.here = root, root
+        self.counts: dict[str, int] = {}
+        self.closable: list[Node] = []
+
+    def start(self, node: Node) -> None:
+        self.here = node
+        self.counts[node.tag] = self.counts.get(node.tag, 0) + 1
+        if node.tag in CLOSED_BY or node.tag in BORDERS:
+            self.closable.append(node)
+
+    def end(self, node: Node) -> None:
+        """Close an element and all that is open inside it."""
+        here = self.here
+        while here is not node.parent:
+            self.counts[here.tag] -= 1
+            if self.closable and self.closable[-1] is here:
+                self.closable.pop()
+            here = here.parent
+        self.here = here
+
+    def end_tag(self, tag: str) -> None:
+        if self.counts.get(tag):
+            node = self.here
+            while node.tag != tag:
+                node = node.parent
+            self.end(node)
 
+    def imply_end(self, tag: str) -> None:
+        """What the start of an element closes before it."""
+        if tag in CLOSING:
+            for node in reversed(self.closable):
+                if node.tag in BORDERS:
+                    return
+                if tag in CLOSED_BY[node.tag]:
+                    self.end(node)
+                    return
 
-def _inside_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag == "article":
-            return True
-        node = node.parent
-    return False
+    def in_text(self) -> bool:
+        return any(self.counts.get(tag) for tag in TEXT_TAGS)
 
 
 def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("#root", None)
-    here, at, end = root, 0, len(page)
+    opened, at, end = _Open(root), 0, len(page)
     while at < end:
         found = TOKEN.search(page, at)
         stop = found.start() if found else end
         if stop > at:
-            here.children.append(html.unescape(page[at:stop]))
+            opened.here.children.append(html.unescape(page[at:stop]))
         if not found:
             break
         at = found.end()
@@ -138,53 +194,61 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if found.group(1):
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            opened.end_tag(tag)
             continue
         if tag in RAW and not found.group(3).rstrip().endswith("/"):
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
             at = close.end() if close else end
             continue
-        here = _close_implied(here, tag)
-        node = _new_node(tag, here, found.group(3))
-        here.children.append(node)
+        opened.imply_end(tag)
+        node = _new_node(tag, opened.here, found.group(3), opened.in_text())
+        opened.here.children.append(node)
         if tag not in VOID:
-            here = node
+            opened.start(node)
     _reprieve(root)
     return root
 
 
 def _reprieve(root: Node) -> None:
-    """A name like `with-sidebar` on what holds the page's heading or article and most of its text
-    says nothing of that text."""
-    nodes, waiting = [], [root]
+    """Take back what the tree shows to be wrong.
+
+    A name like `with-sidebar`, or a form, on what holds the page's heading or article, or most of
+    its text, says nothing of that text; names in doubt count for boxes of links alone.
+    """
+    nodes: list[Node] = []
+    waiting = [(root, False)]
+    links: dict[int, bool] = {}
     while waiting:
-        node = waiting.pop()
+        node, in_link = waiting.pop()
+        links[id(node)] = in_link = in_link or node.tag == "a"
         nodes.append(node)
-        if not node.chrome or node.by_name:
-            waiting.extend(c for c in node.children if not isinstance(c, str))
+        if not node.chrome or node.doubt:
+            waiting.extend((c, in_link) for c in node.children if not isinstance(c, str))
     sizes: dict[int, int] = {}
+    linked: dict[int, int] = {}
     heads: set[int] = set()  # nodes with a heading or an article inside
     for node in reversed(nodes):
         if node.parent is not None and (id(node) in heads or node.tag in ("article", "main", "h1")):
             heads.add(id(node.parent))
-        own = sum(len(c) if isinstance(c, str) else sizes.get(id(c), 0) for c in node.children)
-        sizes[id(node)] = own if not node.chrome or node.by_name else 0
+        own = in_links = 0
+        if not node.chrome or node.doubt:
+            for c in node.children:
+                if isinstance(c, str):
+                    size = len(BLANKS.sub("", c))
+                    own += size
+                    in_links += size if links[id(node)] else 0
+                else:
+                    own += sizes[id(c)]
+                    in_links += linked[id(c)]
+        sizes[id(node)], linked[id(node)] = own, in_links
     for node in nodes:
-        if node.by_name and id(node) in heads and 2 * sizes[id(node)] > sizes[id(root)]:
-            node.chrome = False
-
-
-def _close_implied(here: Node, tag: str) -> Node:
-    node = here
-    while node.parent is not None and node.tag not in ("div", "table", "ul", "ol", "article", "body", "section"):
-        if tag in CLOSED_BY.get(node.tag, ()):
-            return node.parent
-        node = node.parent
-    return here
+        size = sizes[id(node)]
+        if node.doubt == "links":
+            node.chrome = size > 0 and 2 * linked[id(node)] >= size
+        elif node.doubt:
+            most = 2 * size > sizes[id(root)]
+            holds = id(node) in heads
+            node.chrome = not ((holds or most) if node.doubt == "form" else (holds and most))
 
 
 def measure(root: Node) -> list[Node]:
@@ -214,9 +278,21 @@ def measure(root: Node) -> list[Node]:
         node.peak = max(node.peak, node.density)
         if node.parent is not None and not node.chrome:
             node.parent.peak = max(node.parent.peak, node.peak)
+        node.heading = node.tag in HEADINGS or _only_heading(node)
     return nodes
 
 
+def _only_heading(node: Node) -> bool:
+    """Whether all that a node holds is one heading; its children are measured."""
+    filled = None
+    for c in node.children:
+        if c.strip() if isinstance(c, str) else c.chars and not c.chrome:
+            if filled is not None:
+                return False
+            filled = c
+    return isinstance(filled, Node) and filled.heading
+
+
 def main_parts(root: Node) -> list[Node | str | None]:
     """The subtrees of the main text in page order; null where a block ends.
 
@@ -253,6 +329,7 @@ def _parts(path: list[Node], least: float, articles: int | None = None) -> list[
     beside = id(path[articles + 1]) if articles is not None and articles + 1 < len(path) else 0
     parts: list[Node | str | None] = []
     held: list[Node | str | None] = []  # stays if a kept part follows
+    solid = 0  # how many of them are not ends of blocks
     waiting: list[Node | str | None] = [path[-1]]
     while waiting:
         item = waiting.pop()
@@ -269,7 +346,7 @@ def _parts(path: list[Node], least: float, articles: int | None = None) -> list[
             if id(item) in above:
                 inner = item.children
                 if id(item) == beside:
-                    inner = [None if _left_out(c, path) else c for c in inner]
+                    inner = [None if _left_out(c, best, above) else c for c in inner]
                 waiting.extend((None, *reversed(inner), None))
                 continue
             plain, heading = not item.link_chars, _is_heading(item)
@@ -277,32 +354,28 @@ def _parts(path: list[Node], least: float, articles: int | None = None) -> list[
         if kept and not (heading and item is not best):
             parts.extend((*held, item))
             held.clear()
+            solid = 0
         elif not isinstance(item, str) and not heading and item.peak >= least > 0:
             waiting.extend((None, *reversed(item.children), None))
-        elif heading or (plain and (parts or any(h is not None for h in held))):
+        elif heading or (plain and (parts or solid)):
             held.append(item)
+            solid += 1
         elif not plain:  # links: they take their own heading along
             while held and (held[-1] is None or _is_heading(held[-1])):
-                held.pop()
+                solid -= held.pop() is not None
             held.append(None)
     return parts
 
 
-def _left_out(child: Node | str, path: list[Node]) -> bool:
+def _left_out(child: Node | str, best: Node, above: set[int]) -> bool:
     """Whether a child of what holds articles is neither an article, nor a heading, nor on the path."""
     if isinstance(child, str):
         return True
-    return child.tag != "article" and all(child is not n for n in path) and not _is_heading(child)
+    return child.tag != "article" and child is not best and id(child) not in above and not child.heading
 
 
-def _is_heading(item: Node | str) -> bool:
-    """Whether it is a heading, or holds nothing else."""
-    while not isinstance(item, str) and item.tag not in HEADINGS:
-        filled = [c for c in item.children if (c.strip() if isinstance(c, str) else c.chars and not c.chrome)]
-        if len(filled) != 1:
-            return False
-        item = filled[0]
-    return not isinstance(item, str)
+def _is_heading(item: Node | str | None) -> bool:
+    return isinstance(item, Node) and item.heading
 
 
 def text_of(parts: list[Node | str | None]) -> str:

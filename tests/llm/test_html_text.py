@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -95,6 +96,66 @@ def test_siblings_below_the_body(page, kept):
     assert extract(f"<html><body>{page}</body></html>") == kept
 
 
+ONE = " ".join(LONG.split())
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # a page that is one form
+        ("<form action=x><h1>Title</h1><p>{1}</p><p>{1}</p><input><button>Go</button></form>", "Title {1} {1}"),
+        ("<form><div id=all><p>{1}</p><select><option>a</select><p>{1}</p></div></form>", "{1} {1}"),
+        ("<form><p>Search</p><button>Go</button></form><div><h1>Title</h1><p>{1}</p></div>", "Title {1}"),
+        # boxes of a page builder
+        ('<div class="elementor"><div class="elementor-widget"><p>{1}</p></div>'
+         '<div class="elementor-widget"><p>{1}</p></div></div>', "{1} {1}"),
+        ('<div class="elementor-widget"><h1>Title</h1></div><div class="elementor-widget"><p>{1}</p></div>'
+         "<div class=elementor-widget><ul><li><a href=a>One link</a><li><a href=b>Another link</a></ul></div>",
+         "Title {1}"),
+        # names inside an article
+        ('<article><h1>T</h1><p>{1}</p><h2 id="social-effects">Social effects</h2><p>{1}</p>'
+         '<section id="related-work"><h2>Related work</h2><p>{1}</p></section></article>',
+         "T {1} Social effects {1} Related work {1}"),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>{1}</p></article>', "Title {1}"),
+        ('<article><p>{1}</p><div class="comments"><p>Great post!</p></div></article>', "{1}"),
+        ('<article><p>{1}</p><div id="share"><a href=x>Tell a friend</a> <a href=y>Print</a></div></article>', "{1}"),
+        # other attributes that speak of hidden things
+        ('<div><p title="how to show hidden files">{1}</p><p data-x=\'id="sidebar"\'>{1}</p></div>', "{1} {1}"),
+        ("<div><p>{1}</p><p hidden>no</p><p aria-hidden=true>no</p></div>", "{1}"),
+        # formulas, and headers inside main
+        ("<div><p>{1} so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></div>",
+         "{1} so x=2 holds."),
+        ("<main><header><h1>Title</h1></header><p>{1}</p></main>", "Title {1}"),
+        ("<header><h1>Site</h1></header><main><p>{1}</p></main>", "{1}"),
+    ],
+)
+def test_nothing_of_the_text_is_lost(page, text):
+    page, text = (x.replace("{1}", ONE) for x in (page, text))
+    assert extract(f"<html><body>{page}</body></html>") == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<p>" + "<b>" * 20_000 + "{1}",
+        "<p>" + "<b>x" * 20_000 + "{1}",
+        "<i>" * 20_000 + "</b>" * 20_000 + "{1}",
+        "<div><p>{1}</p></div>" + "<span>a</span>" * 20_000,
+        "<span></span>" * 20_000 + "<div><p>{1}</p></div>",
+        "<b><p>" * 10_000 + "{1}",
+        "<li><b>" * 20_000 + "{1}",
+        "<td><i>" * 20_000 + "{1}",
+        "<header>" * 20_000 + "</header>" * 20_000 + "<p>{1}",
+        "<section><h2>a</h2>" * 10_000 + "<p>{1}",
+    ],
+)
+def test_time_grows_with_the_page(page):
+    page = page.replace("{1}", ONE)
+    start = time.process_time()
+    text = extract(page)
+    assert time.process_time() - start < 1.5 and ONE in text
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 5000 + f"<p>{LONG}</p>"
     assert extract(deep) == LONG.strip()
