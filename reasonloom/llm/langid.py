@@ -5,14 +5,17 @@ score per language from the words, letters and letter n-grams of the training te
 pass over the words, in which a change of language costs a fixed penalty, labels spans. The
 language of a text is that of the most letters under its spans, the score its share of the letters.
 
-The model is fitted on a bounded sample: about `max_train` labelled rows, chosen by hash. Words
-and n-grams are counted in Spark, and at most `max_features` of them come to the driver. Nothing
-but the text enters a prediction.
+The model is fitted on a bounded sample of labelled rows, chosen by hash: about `max_train` rows in
+equal parts for all languages, but at least `least_train` of each, so a language is learned however
+rare it is. Words and n-grams are counted in Spark; the `max_features` most frequent of each
+language come to the driver. Nothing but the text enters a prediction.
 
 Defined results: `und` with score 0 for null, empty and letterless texts; repeated rows are
 labelled alike; a row with a null id has the checksum 0, so it counts as held out, and is never
 trained on; null languages are never trained on; without any training row all texts are `und`; an
-empty table gives no row; other columns are ignored.
+empty table gives no row; other columns are ignored. Letters of two scripts are two words, also
+without a blank between them. A very long text is cut into blocks that are chained exactly, and is
+held whole by its task.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reasonloom.llm.tokens import arrow_rows, char_batches, release_words
@@ -31,6 +34,7 @@ from reasonloom.session import write_once
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
+BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 NGRAMS = (1, 2, 3, 4)
 # The ranges of code points of common scripts.
 SCRIPTS = (
@@ -55,7 +59,8 @@ LOW = -1e9
 @dataclass(frozen=True)
 class LangConfig:
     max_train: int = 5_000
-    max_features: int = 40_000
+    least_train: int = 200  # of each language
+    max_features: int = 20_000  # of each language
     switch_penalty: float = 6.0
     folds: int = 5
     held_fold: int = 0
@@ -66,10 +71,6 @@ def has_letter(word: str) -> bool:
     return word.isalpha() or any(map(str.isalpha, word))
 
 
-def words_of(text: str | None) -> list[str]:
-    return list(filter(has_letter, WORD.findall(text.lower()))) if text else []
-
-
 def script_of(char: str) -> str:
     code = ord(char)
     for name, first, last in SCRIPTS:
@@ -78,6 +79,33 @@ def script_of(char: str) -> str:
     return "other"
 
 
+def word_places(text: str | None) -> list[tuple[int, int]]:
+    """Start and end of the words of a text: letters side by side, of one script."""
+    if not text:
+        return []
+    found = [m.span() for m in WORD.finditer(text) if has_letter(m.group())]
+    if not BEYOND_LATIN.search(text):
+        return found
+    out = []
+    for start, end in found:
+        first = start
+        for k in range(start + 1, end):
+            if script_of(text[k]) != script_of(text[k - 1]):
+                out.append((first, k))
+                first = k
+        out.append((first, end))
+    return [(a, b) for a, b in out if has_letter(text[a:b])]
+
+
+def words_of(text: str | None) -> list[str]:
+    if not text:
+        return []
+    lower = text.lower()
+    if not BEYOND_LATIN.search(lower):
+        return list(filter(has_letter, WORD.findall(lower)))
+    return [lower[a:b] for a, b in word_places(lower)]
+
+
 def fold(cfg: LangConfig) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % cfg.folds
 
@@ -240,6 +268,12 @@ def _chain(matrices: np.ndarray, n_blocks: np.ndarray) -> tuple[np.ndarray, np.n
     return entry, leave
 
 
+def sample_shares(counts: dict[str, int], cfg: LangConfig) -> dict[str, float]:
+    """The share of each language's labelled rows that is learned from."""
+    most = max(cfg.least_train, cfg.max_train // max(len(counts), 1))
+    return {lang: min(1.0, most / n) for lang, n in counts.items()}
+
+
 def training_words(docs: DataFrame, cfg: LangConfig) -> DataFrame:
     """lang, word, n of the bounded sample of labelled rows."""
     usable = docs.select(
@@ -248,30 +282,52 @@ def training_words(docs: DataFrame, cfg: LangConfig) -> DataFrame:
         F.col("lang").cast("string"),
     ).filter("doc_id is not null and text is not null and lang is not null")
     usable = usable.filter(fold(cfg) != cfg.held_fold)
-    share = min(1.0, cfg.max_train / max(usable.count(), 1))
-    parts = 1 << 20
-    some = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(share * parts))
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word")
-    return some.select("lang", word).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not counts:
+        return usable.select("lang", F.col("text").alias("word"), F.lit(0).cast("long").alias("n")).limit(0)
+    shares = sample_shares(counts, cfg)
+    share = F.create_map(*(F.lit(x) for item in shares.items() for x in item))[F.col("lang")]
+    # 53 bits of the hash as a fraction: exact at any number of rows
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(1 << 53)
+    some = usable.filter(place < share)
+    letters = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("letters")
+    return _one_script(some.select("lang", letters)).groupBy("lang", "word").agg(F.count("*").alias("n"))
+
+
+def _one_script(rows: DataFrame) -> DataFrame:
+    """lang, letters -> lang, word: letters cut where the script changes."""
+    ranges = [rf"[\x{{{first:X}}}-\x{{{last:X}}}]+" for _, first, last in SCRIPTS]
+    others = "".join(rf"\x{{{first:X}}}-\x{{{last:X}}}" for _, first, last in SCRIPTS)
+    pattern = "|".join([*ranges, f"[^{others}]+"])
+    plain = F.col("letters").rlike(r"^[\x{0}-\x{24F}]+$")
+    parts = F.when(plain, F.array("letters")).otherwise(
+        F.regexp_extract_all("letters", F.lit(f"({pattern})"), 1)
+    )
+    return rows.select("lang", F.explode(parts).alias("word"))
 
 
 def fit(docs: DataFrame, cfg: LangConfig | None = None) -> LangModel:
     cfg = cfg or LangConfig()
     words = write_once(training_words(docs, cfg), "training-words")
     langs = [r["lang"] for r in words.select("lang").distinct().orderBy("lang").collect()]
+    if not langs:
+        return LangModel([], {}, {}, cfg.switch_penalty)
     padded = F.concat(F.lit("^"), "word", F.lit("$"))
     grams = [F.array(F.concat(F.lit("="), "word")), F.split("word", "")]
     for n in NGRAMS:
         grams.append(_grams(padded, n))
     gram = F.explode(F.concat(*grams)).alias("gram")
-    per_lang = [
-        F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{k}")
-        for k, lang in enumerate(langs)
-    ]
+    numbers = [F.when(F.col("lang") == lang, F.col("n")) for lang in langs]
+    per_lang = [F.coalesce(F.sum(n), F.lit(0)).alias(f"n{k}") for k, n in enumerate(numbers)]
     counted = words.select("lang", "n", gram).groupBy("gram").agg(F.sum("n").alias("total"), *per_lang)
-    best = counted.filter("total >= 3").orderBy(F.desc("total"), "gram")
-    rows = best.limit(cfg.max_features).collect()
-    counts = np.array([[r[f"n{k}"] or 0 for k in range(len(langs))] for r in rows], float)
+    counted = write_once(counted.filter("total >= 3"), "grams")
+    # the most frequent of each language; a task ranks the n-grams of a bounded sample
+    pairs = [F.struct(F.lit(k).alias("k"), F.col(f"n{k}").alias("n")) for k in range(len(langs))]
+    each = counted.select("gram", F.explode(F.array(*pairs)).alias("p")).filter("p.n > 0")
+    order = Window.partitionBy("p.k").orderBy(F.desc("p.n"), "gram")
+    kept = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cfg.max_features)
+    rows = counted.join(kept.select("gram").distinct(), "gram").orderBy("gram").collect()
+    counts = np.array([[r[f"n{k}"] for k in range(len(langs))] for r in rows], float)
     counts = counts.reshape(len(rows), len(langs))
     shares = (counts + 0.5) / (counts.sum(axis=0) + 0.5 * max(len(rows), 1))
     odds = np.log(shares) - np.log(shares).mean(axis=1, keepdims=True)
@@ -325,8 +381,9 @@ def spans(docs: DataFrame, model: LangModel) -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
         for batch in batches:
             for group in char_batches(arrow_rows(batch)):
-                found = [[m for m in WORD.finditer(t or "") if has_letter(m.group())] for _, t in group]
-                labels = model.label([[m.group().lower() for m in ms] for ms in found])
+                found = [word_places(t) for _, t in group]
+                words = [[t[a:b].lower() for a, b in ms] for (_, t), ms in zip(group, found, strict=True)]
+                labels = model.label(words)
                 out = [_runs(ms, p, model.langs) for ms, p in zip(found, labels, strict=True)]
                 columns = [pa.array([d for d, _ in group], pa.int64()), pa.array(out, kind)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "spans"])
@@ -335,12 +392,12 @@ def spans(docs: DataFrame, model: LangModel) -> DataFrame:
     return rows.mapInArrow(apply, "doc_id long, spans array<struct<start:long,end:long,lang:string>>")
 
 
-def _runs(matches: list[re.Match], labels: np.ndarray, langs: list[str]) -> list[dict]:
+def _runs(places: list[tuple[int, int]], labels: np.ndarray, langs: list[str]) -> list[dict]:
     out: list[dict] = []
-    for match, label in zip(matches, labels.tolist(), strict=True):
+    for (start, end), label in zip(places, labels.tolist(), strict=True):
         lang = langs[label] if langs else UNKNOWN
         if out and out[-1]["lang"] == lang:
-            out[-1]["end"] = match.end()
+            out[-1]["end"] = end
         else:
-            out.append({"start": match.start(), "end": match.end(), "lang": lang})
+            out.append({"start": start, "end": end, "lang": lang})
     return out

@@ -87,3 +87,36 @@ def test_odd_rows(odd_documents, model, spark):
     untrained = langid.predict(odd_documents, langid.fit(none)).collect()
     assert {r.lang_pred for r in untrained} == {"und"}
     langid.fit(odd_documents)  # null languages and ids, repeated rows
+
+
+def test_the_sample_is_right_at_any_size():
+    cfg = langid.LangConfig()
+    counts = {"en": 10_000_000_000, "de": 2_000_000, "rare": 10, "und": 1_000}
+    shares = langid.sample_shares(counts, cfg)
+    for lang, n in counts.items():
+        assert shares[lang] * n == pytest.approx(min(n, 1_250))
+    many = {str(k): 10**6 for k in range(1_000)}
+    assert {round(s * 10**6) for s in langid.sample_shares(many, cfg).values()} == {200}
+    assert langid.sample_shares({}, cfg) == {}
+
+
+@pytest.mark.parametrize("common", [30, 6_000])
+def test_a_rare_language_is_learned_at_every_size(spark, common):
+    said = ("the cat sat on the mat", "all that glitters is not gold", "it was the best of times")
+    rare = ("kissa istui matolla", "kaikki ei ole kultaa joka kiiltää", "oli paras aika")
+    rows = [(k, f"{said[k % 3]} {k % 700}", "en") for k in range(common)]
+    rows += [(10**6 + k, rare[k % 3], "fi") for k in range(13)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["en", "fi"]
+    texts = spark.createDataFrame([(1, "kissa ei istui kultaa"), (2, "the best cat is gold")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(texts, model).collect()} == {1: "fi", 2: "en"}
+
+
+def test_scripts_without_blanks_between_them(spark):
+    rows = [(k, "\u6211\u4eec\u5728\u8fd9\u91cc\u5de5\u4f5c", "zh") for k in range(60)]
+    rows += [(100 + k, "this is some text about work", "en") for k in range(60)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    text = "\u6211\u4eec\u5728\u8fd9\u91ccthis is some text about work\u5de5\u4f5c\u6211\u4eec\u5728"
+    row = langid.spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert [(s.start, s.end, s.lang) for s in row.spans] == [(0, 5, "zh"), (5, 33, "en"), (33, 38, "zh")]
+    assert langid.words_of("\u6211Abc \u0439i1z") == ["\u6211", "abc", "\u0439", "i", "z"]
