@@ -84,6 +84,44 @@ def test_rows_leave_the_cascade_at_the_first_rule_they_fail(spark):
         rows.select(quality.cascade(rules, F.col("text"))).collect()
 
 
+def test_base_rules_in_the_cascade(spark, medium_dir, odd_documents):
+    """`keep_good` and `assess` agree, whatever the order of the rules."""
+    docs = spark.read.parquet(f"{medium_dir}/documents.parquet")
+    odd = spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(odd)
+    wanted = sorted(r.doc_id for r in quality.assess(docs).filter("kept").collect())
+    assert sorted(r.doc_id for r in quality.keep_good(docs).collect()) == wanted
+    cfg = quality.QualityConfig()
+    prepared, _, name = quality._with_words(quality.measure(docs, "text"), "text")
+    words = F.col(name)
+    rules = (*quality.base_rules(cfg), *quality.RULES)
+    for given in (rules, rules[::-1]):
+        verdict = quality.cascade(given, F.coalesce("text", F.lit("")), words)
+        assert sorted(r.doc_id for r in prepared.filter(verdict.isNull()).collect()) == wanted
+    bounds = prepared.select("n_repeat_words", quality.most_repeated_words(words).alias("most"))
+    assert bounds.filter("n_repeat_words > most").isEmpty()
+
+
+def test_repeats_are_judged_exactly(spark):
+    single = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    rows = [(k, " ".join(single[: 100 - k] + ["xxx yyy zzz"] * k)) for k in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+    for k, text in rows:
+        n, *_, repeats = base_measures(text)
+        assert (k in kept) == (100 * repeats <= 50 * n)
+
+
+def test_other_scripts(spark):
+    hindi = "\u092f\u0939 \u090f\u0915 \u0938\u093e\u0927\u093e\u0930\u0923 \u0935\u093e\u0915\u094d\u092f \u0939\u0948 \u091c\u093f\u0938\u092e\u0947\u0902 \u0915\u0908 \u0936\u092c\u094d\u0926 \u0939\u0948\u0902 "
+    chinese = "".join(chr(0x4E00 + (i * 37) % 5000) + ("\uff0c " if i % 17 == 16 else "") for i in range(1700))
+    latin = " ".join("x" * 15 + f"y{i}" for i in range(80))
+    rows = [(1, " ".join(f"{hindi}{chr(0x0915 + i % 20)}{chr(0x0915 + i // 20)}" for i in range(12))), (2, chinese), (3, latin)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    verdicts = quality.measure(docs, "text").select("doc_id", quality.cascade(quality.RULES, F.col("text")).alias("v"))
+    assert {r.doc_id: r.v for r in verdicts.collect()} == {1: None, 2: None, 3: "long words"}
+
+
 def test_odd_rows(odd_documents):
     rows = quality.assess(odd_documents)
     assert rows.count() == odd_documents.count()
