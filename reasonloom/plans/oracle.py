@@ -231,7 +231,8 @@ ORACLE: dict[str, str] = {
     "src_parquet_dir": VOLUME,
     "src_parquet_file": VOLUME,
     "src_discover": VOLUME,
-    "src_split": VOLUME,
+    "src_split": "SELECT CASE WHEN doc_id % 3 = 0 THEN 'validation' ELSE 'train' END AS split, "
+    "count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS n_chars_sum FROM documents GROUP BY 1",
     "src_glob": VOLUME,
     "src_jsonl": f"""SELECT CASE WHEN ok THEN 'good' ELSE 'bad' END AS kind, count(*) AS n_rows,
         CASE WHEN ok THEN {_content("text")} ELSE 0 END AS content
@@ -241,7 +242,7 @@ ORACLE: dict[str, str] = {
         (VALUES ('folder'), ('json lines'), ('parquet file')) v(kind) GROUP BY kind""",
     "path_select": r"""SELECT page_id, url FROM pages
         WHERE regexp_matches(url, '.*\.com/fr.*|.*/es/.*') AND NOT regexp_matches(url, 'ref=.*')""",
-    "manifest_files": """SELECT page_id, array_to_string(string_split(url, '/')[:-2], '/') AS dir,
+    "manifest_files": """SELECT page_id // 20 AS block, array_to_string(string_split(url, '/')[:-2], '/') AS dir,
         string_split(url, '/')[-1] AS name FROM pages WHERE url IS NOT NULL""",
     "write_filtered": _with(
         REASONING,

@@ -61,7 +61,12 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def src_parquet_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _volume(readers.read_parquet_dir(spark, sf_dir, "documents.parquet"))
+    """A folder of several files; those of a folder below it are not read."""
+    path = scratch_path(spark, "folder")
+    documents = _documents(spark, sf_dir)
+    documents.repartition(5, "doc_id").write.parquet(path)
+    documents.limit(3).write.parquet(f"{path}/below")
+    return _volume(readers.read_parquet_dir(spark, path))
 
 
 def src_parquet_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +117,21 @@ def src_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "split")
-    _documents(spark, sf_dir).write.parquet(path)
-    return _volume(readers.read_split(spark, path, "part"))
+    """Two splits in one folder, of several files each."""
+    path, parts = scratch_path(spark, "splits"), scratch_path(spark, "parts")
+    split = F.when(F.col("doc_id") % 3 == 0, "validation").otherwise("train")
+    rows = _documents(spark, sf_dir).withColumn("split", split)
+    rows.repartition(4, F.col("doc_id") % 12).write.partitionBy("split").parquet(parts)
+    listed = paths.list_files(spark, parts, recursive=True)
+    of_file = F.regexp_extract("path", "split=([a-z]+)/([^/]+)$", 1)
+    name = F.concat(of_file, F.lit("-"), F.regexp_extract("path", "([^/]+)$", 1))
+    named = listed.select(name.alias("source_file"), paths.plain_path(F.col("path")).alias("path"), "length")
+    copies.copy_files(named, path)
+    found = [
+        _volume(readers.read_split(spark, path, one)).withColumn("split", F.lit(one))
+        for one in ("train", "validation")
+    ]
+    return found[0].unionByName(found[1])
 
 
 def src_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,11 +145,10 @@ def path_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    entry = F.struct(F.col("url").alias("rfilename"))
-    manifests = pages.select(
-        "page_id", F.to_json(F.struct(F.array(entry).alias("siblings"))).alias("manifest")
-    )
-    return paths.manifest_files(manifests).select("page_id", "dir", "name")
+    entries = F.sort_array(F.collect_list(F.struct(F.col("url").alias("rfilename"))))
+    block = F.floor(F.col("page_id") / 20).alias("block")  # twenty files a manifest
+    manifests = pages.groupBy(block).agg(F.to_json(F.struct(entries.alias("siblings"))).alias("manifest"))
+    return paths.manifest_files(manifests).select("block", "dir", "name")
 
 
 def write_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
