@@ -176,28 +176,60 @@ class Buckets:
         return (self.bits[bucket >> 6] >> (bucket & 63)) & 1 == 1
 
 
+CHUNK_BITS = 16  # buckets travel in chunks of 65,536
+CHUNKED = "chunk int, gaps binary, counts binary"
+MOST = 255  # to which buckets are counted; a larger min_count prunes as if it were this
+
+
+def _packed(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The counts above zero, a row per chunk: the gaps between their places, and their values."""
+    for chunk, part in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)):
+        at = np.flatnonzero(part)
+        if len(at):
+            gaps = np.diff(at, prepend=0).astype(np.uint16).tobytes()
+            columns = [pa.array([chunk], pa.int32()), pa.array([gaps]), pa.array([part[at].tobytes()])]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "gaps", "counts"])
+
+
+def _add(counts: np.ndarray, at: np.ndarray, more: np.ndarray) -> None:
+    counts[at] = np.minimum(counts[at].astype(np.int64) + more, MOST)
+
+
 def _count_buckets(
     docs: DataFrame, cfg: PhraseConfig, hashes_of: Callable[[Block], np.ndarray]
 ) -> np.ndarray:
-    """A bit for every bucket with `min_count` or more of the hashes of all blocks."""
+    """A bit for every bucket with `min_count` or more of the hashes of all blocks.
+
+    A task holds a byte for each bucket and sends what it counted as one row per chunk of buckets;
+    rows of a chunk are added up one by one, whatever their number.
+    """
     shift = np.uint64(64 - cfg.bucket_bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << cfg.bucket_bits, np.uint8)
         for block, _ in _blocks(batches, cfg.block_chars):
-            buckets, counts = np.unique(hashes_of(block) >> shift, return_counts=True)
-            columns = [pa.array(buckets.astype(np.int32)), pa.array(counts.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "n"])
-
-    counted = _texts(docs).mapInArrow(count, "bucket int, n long").groupBy("bucket")
-    often = counted.agg(F.sum("n").alias("n")).filter(F.col("n") >= cfg.min_count)
-    # 64 buckets a row: at most 2 ** (bucket_bits - 6) rows reach the driver
-    packed = often.groupBy(F.shiftright("bucket", 6).alias("at")).agg(
-        F.expr("bit_or(shiftleft(1L, bucket & 63))").alias("bits")
-    )
-    table = packed.toArrow()
-    bits = np.zeros(2**cfg.bucket_bits // 64, np.int64)
-    bits[table["at"].to_numpy()] = table["bits"].to_numpy()
-    return bits
+            _add(counts, *np.unique(hashes_of(block) >> shift, return_counts=True))
+        yield from _packed(counts)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, gaps, counts in arrow_rows(batch):
+                total = chunks.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.uint8))
+                at = np.cumsum(np.frombuffer(gaps, np.uint16), dtype=np.int64)
+                _add(total, at, np.frombuffer(counts, np.uint8))
+        for chunk, total in chunks.items():
+            bits = np.packbits(total >= min(cfg.min_count, MOST), bitorder="little").tobytes()
+            columns = [pa.array([chunk], pa.int32()), pa.array([bits])]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "bits"])
+
+    sent = _texts(docs).mapInArrow(count, CHUNKED)
+    # one row per chunk reaches the driver: 2 ** bucket_bits bits
+    table = sent.repartition("chunk").mapInArrow(add_up, "chunk int, bits binary").toArrow()
+    bits = np.zeros((1 << (cfg.bucket_bits - CHUNK_BITS), 1 << (CHUNK_BITS - 3)), np.uint8)
+    for chunk, row in zip(table["chunk"].to_pylist(), table["bits"].to_pylist(), strict=True):
+        bits[chunk] = np.frombuffer(row, np.uint8)
+    return bits.reshape(-1).view(np.int64)
 
 
 def _words_and_pairs(block: Block) -> np.ndarray:

@@ -145,3 +145,4 @@ def shared_encoder(path: str) -> WordEncoder:
 def release_words() -> None:
     """Drop what `shared_encoder` remembers: for tasks of other work in the same Python worker."""
     shared_encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
