@@ -111,7 +111,8 @@ def _range_column(splitters: np.ndarray, h: str, t: str) -> Column:
 
 def _drawn(keys: DataFrame, per_sample: float) -> pd.DataFrame:
     """Keys drawn by weight, with the number of draws of each: about one for `per_sample` bytes."""
-    chance = F.pmod(F.xxhash64("t", "h", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
+    # 53 bits of the hash as a fraction: rows of any smallness are drawn at their rate
+    chance = F.shiftrightunsigned(F.xxhash64("t", "h", F.lit(17)), 11).cast("double") / float(1 << 53)
     draws = F.floor(F.col("size") / F.lit(float(per_sample)) + chance)
     table = keys.select("h", "t", draws.alias("draws")).filter("draws > 0").toArrow()
     return table.to_pandas().sort_values(["h", "t"], ignore_index=True)
