@@ -11,7 +11,8 @@ Files are written through the file system of the folder's address, from the task
 
 Defined results: null and empty texts hold the end id alone; rows with one document id follow
 each other by a hash of their text; null ids come first; an empty table gives a manifest
-without files; other columns are ignored.
+without files; other columns are ignored. A very long text is encoded whole by its task, and its
+ids go to as many chunks as they fill.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Equal n-gram sets are one node whatever their number, so copies are never paired
 Defined results: words are runs of letters, digits and underscores in lower case; a text of
 fewer than n words has one n-gram of all its words; a text without words (null, empty) links to
 nothing and is a class of its own; repeated rows are copies of each other; null ids are kept; an
-empty table gives no row; other columns are ignored. Texts are told apart by 64-bit hashes.
+empty table gives no row; other columns are ignored. Texts are told apart by 64-bit hashes. A very
+long text is one set of n-grams, held whole by a task; of equal ids the row of least hash stays.
 """
 
 from __future__ import annotations

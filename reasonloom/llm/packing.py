@@ -3,10 +3,12 @@
 Documents are tokenized where they are read; only their numbers travel: 40 bytes a piece.
 Pieces of full length are sequences of their own. All others are dealt by hash to blocks of
 about `block_rows`, each packed by best fit and then improved by exchanges between underfull
-bins. A block wastes less than one sequence more than a packing of everything could save.
+bins. Blocks do not exchange pieces, so each may end with underfull sequences of its own.
 
 Defined results: null and empty texts hold the end id alone; repeated rows and repeated or
-null ids are packed row by row; an empty table gives no row; other columns are ignored.
+null ids are packed row by row; an empty table gives no row; other columns are ignored; pieces of
+one length may stand for each other, so which of them goes where depends on the order in which they
+come. A very long text is encoded whole by its task, and cut into pieces there.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ text enters a score.
 Defined results: null and empty texts get a score; repeated rows are scored alike; a row with a
 null id counts as a training row (`held_out` false) but is never labelled; contradictory labels of
 one id are averaged; null labels are left out; without any labelled row the fixed words alone
-decide; an empty table gives no row; other columns are ignored.
+decide; an empty table gives no row; other columns are ignored; training rows of equal hashes are
+ordered by id, word beginnings of equal gain by name. A very long text is held whole by its task.
 """
 
 from __future__ import annotations
