@@ -185,9 +185,11 @@ def row_at_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def global_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = readers.read_parquet_dir(spark, sf_dir, "documents.parquet")
+    """`documents.parquet` may be a file or a folder of files, numbered by name; its name is given."""
+    rows = readers.read_parquet_dir(spark, f"{sf_dir}/documents.parquet", "*")
     rows = readers.with_source_file(rows, sf_dir)
-    return files.with_global_index(rows).select("doc_id", "source_file", "global_idx")
+    table = F.regexp_replace("source_file", r"^documents\.parquet/.*$", "documents.parquet")
+    return files.with_global_index(rows).select("doc_id", table.alias("source_file"), "global_idx")
 
 
 def rows_at(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Every registered query against its DuckDB text, values and types."""
 
+import glob
 import math
 
+import duckdb
 import pytest
 
 import __spark_entry__ as contract
@@ -37,5 +39,17 @@ def test_query_equals_oracle(spark, duck, small_dir, name):
     assert comparable(got) == comparable(wanted)
 
 
+def test_global_index_of_a_table_of_several_files(spark, tmp_path):
+    folder = str(tmp_path / "documents.parquet")
+    rows = spark.range(300).selectExpr("3 * id + 5 AS doc_id", "cast(id AS string) AS text")
+    rows.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(folder)
+    assert len(glob.glob(f"{folder}/part-*")) == 4
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/*.parquet'")
+    result = QUERIES["global_index"](spark, str(tmp_path)).select("doc_id", "source_file", "global_idx")
+    got = [tuple(row) for row in result.collect()]
+    assert comparable(got) == comparable(con.execute(ORACLE["global_index"]).fetchall())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
