@@ -53,6 +53,11 @@ def _longs(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in cols})
 
 
+def _tasks(df: DataFrame, least: int) -> int:
+    """At least so many, and one for each split of the input, so that a task does not grow with it."""
+    return max(least, df.rdd.getNumPartitions())
+
+
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
@@ -64,7 +69,7 @@ def src_parquet_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of several files; those of a folder below it are not read."""
     path = scratch_path(spark, "folder")
     documents = _documents(spark, sf_dir)
-    documents.repartition(5, "doc_id").write.parquet(path)
+    documents.repartition(_tasks(documents, 5)).write.parquet(path)
     documents.limit(3).write.parquet(f"{path}/below")
     return _volume(readers.read_parquet_dir(spark, path))
 
@@ -121,7 +126,7 @@ def src_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, parts = scratch_path(spark, "splits"), scratch_path(spark, "parts")
     split = F.when(F.col("doc_id") % 3 == 0, "validation").otherwise("train")
     rows = _documents(spark, sf_dir).withColumn("split", split)
-    rows.repartition(4, F.col("doc_id") % 12).write.partitionBy("split").parquet(parts)
+    rows.repartition(_tasks(rows, 4)).write.partitionBy("split").parquet(parts)
     listed = paths.list_files(spark, parts, recursive=True)
     of_file = F.regexp_extract("path", "split=([a-z]+)/([^/]+)$", 1)
     name = F.concat(of_file, F.lit("-"), F.regexp_extract("path", "([^/]+)$", 1))

@@ -1,8 +1,13 @@
 """Hot keys: the paths taken when a side is too large to broadcast."""
 
+import glob
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from reasonloom.operators import curate, vocab
+from reasonloom.plans import queries
 from reasonloom.plans.reasoning import reasoning
 
 
@@ -35,3 +40,42 @@ def test_one_hot_file(spark, small_dir):
     )
     funnel = {r.source_file: r.n0 for r in curate.funnel(rows).collect()}
     assert funnel["hot"] == 100 and sum(funnel.values()) == 200
+
+
+def one_large_id_and_source(spark, folder):
+    """2,000 documents of 2 KB in sixteen files: half have one id, half of the others none; half are of one source."""
+    n = F.col("id")
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.md5(F.concat_ws(":", n, i))), " ")
+    rows = spark.range(2000).select(
+        F.when(n % 2 == 0, 7).when(n % 4 == 1, n).alias("doc_id"),
+        text.alias("text"),
+        F.lit("en").alias("lang"),
+        F.when(n % 2 == 0, "large").otherwise(F.concat(F.lit("s"), n % 5)).alias("source"),
+        F.length(text).cast("long").alias("n_chars"),
+    )
+    rows.repartition(16, "id").drop("id").write.parquet(f"{folder}/documents.parquet")
+
+
+@pytest.mark.parametrize(
+    "name, written",
+    [
+        ("src_parquet_dir", "folder"),
+        ("src_split", "parts"),
+        ("src_split", "splits"),
+    ],
+)
+def test_no_task_writes_a_share_of_a_larger_table(spark, tmp_path, monkeypatch, name, written):
+    """With sixteen splits of input a file holds about a sixteenth, whatever the keys."""
+    one_large_id_and_source(spark, str(tmp_path))
+    at = {}
+    monkeypatch.setattr(queries, "scratch_path", lambda _, kind: at.setdefault(kind, str(tmp_path / kind)))
+    sizes = {"spark.sql.files.maxPartitionBytes": "256k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k"}
+    for key, value in sizes.items():
+        spark.conf.set(key, value)
+    try:
+        assert queries.QUERIES[name](spark, str(tmp_path)).count()
+    finally:
+        for key in sizes:
+            spark.conf.unset(key)
+    found = [os.path.getsize(p) for p in glob.glob(f"{at[written]}/**/*.parquet", recursive=True)]
+    assert max(found) < sum(found) / 8
