@@ -220,10 +220,10 @@ def row_group_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three whole source files, copied byte for byte, and what the copies hold."""
+    """Three whole sources, copied byte for byte, and what the copies hold; a large one is several files."""
     path = scratch_path(spark, "by-source")
-    rows = reasoning(spark, sf_dir)
-    rows.repartition(4, "source_file").write.partitionBy("source_file").parquet(path)
+    rows = reasoning(spark, sf_dir).hint("rebalance", "source_file")  # a large source is several tasks
+    rows.write.partitionBy("source_file").parquet(path)
     listed = paths.list_files(spark, path, recursive=True)
     file = paths.plain_path(F.col("path"))
     below = paths.relative_path(file, path)

@@ -62,6 +62,7 @@ def one_large_id_and_source(spark, folder):
         ("src_parquet_dir", "folder"),
         ("src_split", "parts"),
         ("src_split", "splits"),
+        ("sample_copies", "by-source"),
     ],
 )
 def test_no_task_writes_a_share_of_a_larger_table(spark, tmp_path, monkeypatch, name, written):
