@@ -58,6 +58,16 @@ def _tasks(df: DataFrame, least: int) -> int:
     return max(least, df.rdd.getNumPartitions())
 
 
+def _in_ranges(documents: DataFrame, least: int) -> DataFrame:
+    """Ranges of ids for as many tasks, each sorted; rows of one id stay in the order of the input.
+
+    That order also cuts the ranges, so rows of one id, or of none, may be many tasks.
+    """
+    rows = documents.withColumn("_place", F.monotonically_increasing_id())
+    ranged = rows.repartitionByRange(_tasks(documents, least), "doc_id", "_place")
+    return ranged.sortWithinPartitions("doc_id", "_place").drop("_place")
+
+
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
@@ -211,8 +221,7 @@ def row_group_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 50th row and the last one, out of files with many row groups; whole texts."""
     path = scratch_path(spark, "grouped")
     documents = _documents(spark, sf_dir)
-    rows = documents.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
-    rows.write.option("parquet.block.size", 1 << 20).parquet(path)
+    _in_ranges(documents, 3).write.option("parquet.block.size", 1 << 20).parquet(path)
     last = documents.count() - 1
     wanted = sorted({*range(0, last + 1, 50), last} - {-1})
     found = footers.lookup(spark, path, wanted, readers.schema_of_file(spark))
