@@ -211,7 +211,7 @@ def rows_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows 0, 7, 500 and the last one of a folder of several files."""
     path = scratch_path(spark, "numbered")
     documents = _documents(spark, sf_dir)
-    documents.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    _in_ranges(documents, 4).write.parquet(path)
     last = documents.count() - 1
     found = files.rows_at(spark, path, [i for i in (0, 7, 500, last) if i <= last])
     return found.select("global_idx", "doc_id")

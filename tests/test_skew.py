@@ -64,6 +64,7 @@ def one_large_id_and_source(spark, folder):
         ("src_split", "splits"),
         ("sample_copies", "by-source"),
         ("row_group_lookup", "grouped"),
+        ("rows_at", "numbered"),
     ],
 )
 def test_no_task_writes_a_share_of_a_larger_table(spark, tmp_path, monkeypatch, name, written):
