@@ -23,6 +23,7 @@ from reasonloom.sources.stores import opens, store_of
 
 GROUP = "struct<grp: int, first_row: long, n_rows: long, n_bytes: long>"
 FOOTER = f"path string, length long, n_rows long, columns string, grps array<{GROUP}>, error string"
+TASK_BYTES = 64 << 20  # of row groups that one task of a lookup reads
 SPARK_SCHEMA = b"org.apache.spark.sql.parquet.row.metadata"  # fixed value: written by Spark
 
 
@@ -180,8 +181,9 @@ def lookup(
     wanted = F.array(*map(F.lit, sorted(set(indexes)))).cast("array<bigint>")
     inside = F.filter(wanted, lambda i: (i >= first) & (i < after))
     places = groups.withColumn("wanted", inside).filter(F.size("wanted") > 0)
-    # as many numbers as the caller listed, at most
-    there = {i for row in places.select("wanted").collect() for i in row["wanted"]}
+    # as many groups and numbers as the caller listed, at most
+    chosen = places.select("wanted", "n_bytes").collect()
+    there = {i for row in chosen for i in row["wanted"]}
     if there != set(indexes):
         raise IndexError(f"no row {sorted(set(indexes) - there)}")
     out = StructType(
@@ -203,4 +205,8 @@ def lookup(
         content = _listed(spark, root, "*.parquet", False)
         content = content.select(plain_path(F.col("path")).alias("path"), "content")
         places = places.join(content, "path")
-    return places.repartition("path", "grp").mapInArrow(read, out)
+    # a number of tasks of our own: by the size of `places` the adaptive planner would make it one
+    cores = spark.sparkContext.defaultParallelism
+    by_size = -(-sum(row["n_bytes"] for row in chosen) // TASK_BYTES)
+    tasks = max(1, min(len(chosen), max(cores, by_size)))
+    return places.repartition(tasks, "path", "grp").mapInArrow(read, out)

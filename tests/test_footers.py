@@ -140,6 +140,17 @@ def test_lookup(spark, grouped):
     assert sorted(r["id"] for r in by_file.collect()) == wanted
 
 
+def test_lookup_deals_row_groups_to_tasks(spark, grouped, monkeypatch):
+    schema_of = readers.schema_of_file(spark)
+    found = footers.lookup(spark, grouped, list(range(0, 6000, 100)), schema_of)
+    tasks = found.select(F.spark_partition_id().alias("task"), "id").collect()
+    assert [r["id"] for r in sorted(tasks, key=lambda r: r["id"])] == list(range(0, 6000, 100))
+    assert len({r["task"] for r in tasks}) > 2  # of sixty groups, on eight cores
+    monkeypatch.setattr(footers, "TASK_BYTES", 1 << 18)  # a group has 0.2 MB
+    found = footers.lookup(spark, grouped, list(range(0, 6000, 100)), schema_of)
+    assert len({r["task"] for r in found.select(F.spark_partition_id().alias("task")).collect()}) > 16
+
+
 def test_lookup_reads_one_row_group(grouped):
     class Counting:
         """A file that adds up the bytes read from it."""
